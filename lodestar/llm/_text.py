@@ -47,12 +47,12 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets.astype(np.int64)
 
 
-def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows of about limit bytes: first row, end row, bytes, offsets from 0."""
+def pieces(column: pa.Array, limit: int = PIECE, most: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of at most most rows and of about limit bytes: first row, end row, bytes, offsets from 0."""
     raw, offsets = utf8(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
+        end = min(row + most, max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1))
         yield row, end, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
