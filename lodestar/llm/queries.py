@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, lines, minhash, packing
+from . import decontaminate, edit_sketch, language, lines, minhash, packing, pii, secret_scan, sharding, warc
 from .sql import ORACLES
 
 
@@ -18,14 +18,34 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_sketch.report(_table(spark, sf_dir, "documents"))
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(_table(spark, sf_dir, "pages"))
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(_table(spark, sf_dir, "documents"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(_table(spark, sf_dir, "documents"))
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(_table(spark, sf_dir, "documents"))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(_table(spark, sf_dir, "documents"))
 
@@ -36,8 +56,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25_packing": op1,
+    "op2_pii_bilstm_crf": op2,
     "op3_minhash_lsh_forest": op3,
+    "op4_edit_embedding": op4,
+    "op5_warc_gzip_normaliser": op5,
+    "op6_secret_structures": op6,
     "op7_language_centroids": op7,
+    "op8_virtual_slots": op8,
     "op9_fuzzy_line_dedup": op9,
     "op10_benchmark_decontamination": op10,
 }

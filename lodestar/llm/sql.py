@@ -34,3 +34,19 @@ FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_
 """
 
 ORACLES = {"op3_minhash_lsh_forest": OP3, "op10_benchmark_decontamination": OP10}
+
+_B32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+_GROUP = f"""list_transform(range(0, 8), lambda g: CAST('0x' || substr(h, CAST(5 * g + 1 AS BIGINT), 5) AS BIGINT))"""
+
+OP5 = f"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha1(coalesce(html, '')) AS h, md5(coalesce(html, '')) AS m FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h, m, n) AS first FROM p)
+SELECT page_id, n AS payload_bytes,
+       array_to_string(list_transform({_GROUP}, lambda v: substr({_B32}, (v >> 15) + 1, 1) || substr({_B32}, ((v >> 10) & 31) + 1, 1)
+         || substr({_B32}, ((v >> 5) & 31) + 1, 1) || substr({_B32}, (v & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+ORACLES["op5_warc_gzip_normaliser"] = OP5
