@@ -69,20 +69,24 @@ class Tagger:
     def emissions(self, x: np.ndarray) -> np.ndarray:
         return self._states(x, False)[0] @ self.w["out"] + self.w["out_bias"]
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss of windows with labels y, and its gradients."""
-        n, length = x.shape
-        states, held = self._states(x, True)
-        e, a = states @ self.w["out"] + self.w["out_bias"], self.w["step"]
-        labels = a.shape[0]
-        # the CRF: forward and backward sums, then marginals
+    def _sums(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The CRF's forward and backward sums and the logarithm of the total, for emissions."""
+        a, length = self.w["step"], e.shape[1]
         alpha, beta = np.empty_like(e), np.zeros_like(e)
         alpha[:, 0] = e[:, 0]
         for t in range(1, length):
             alpha[:, t] = e[:, t] + _logsum(alpha[:, t - 1, :, None] + a, 1)
         for t in range(length - 2, -1, -1):
             beta[:, t] = _logsum(a + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-        z = _logsum(alpha[:, -1], 1)
+        return alpha, beta, _logsum(alpha[:, -1], 1)
+
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss of windows with labels y, and its gradients."""
+        n, length = x.shape
+        states, held = self._states(x, True)
+        e, a = states @ self.w["out"] + self.w["out_bias"], self.w["step"]
+        labels = a.shape[0]
+        alpha, beta, z = self._sums(e)
         rows = np.arange(n)[:, None]
         gold = e[rows, np.arange(length), y].sum(1) + a[y[:, :-1], y[:, 1:]].sum(1)
         de = np.exp(alpha + beta - z[:, None, None])
@@ -123,15 +127,16 @@ class Tagger:
             loss, grad = self.gradients(x[rows], y[rows])
             losses.append(loss)
             size = sum(float((g**2).sum()) for g in grad.values()) ** 0.5
-            now = rate * min(1, 5 / max(size, 1e-9)) * (1 if step < 0.7 * steps else 0.2)
+            now = rate * (1 if step < 0.75 * steps else 0.2)
             for k, g in grad.items():
+                g = g * min(1, 100 / max(size, 1e-9))
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g**2
                 self.w[k] -= now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
         return float(np.mean(losses[-20:]))
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best labels of each window, and each character's own probability of its label."""
+        """The best labels of each window, and the probability of each; 1 where a window has label 0 alone."""
         e, a = self.emissions(x), self.w["step"]
         n, length, labels = e.shape
         score, back = e[:, 0], np.empty((length, n, labels), np.int8)
@@ -143,6 +148,10 @@ class Tagger:
         best[:, -1] = score.argmax(axis=1)
         for t in range(length - 1, 0, -1):
             best[:, t - 1] = back[t][np.arange(n), best[:, t]]
-        p = np.exp(e - e.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        return best, np.take_along_axis(p, best[:, :, None], 2)[:, :, 0]
+        sure = np.ones((n, length), np.float32)
+        some = np.flatnonzero(best.any(axis=1))
+        if len(some):
+            alpha, beta, z = self._sums(e[some])
+            p = np.exp(alpha + beta - z[:, None, None])
+            sure[some] = np.take_along_axis(p, best[some][:, :, None], 2)[:, :, 0]
+        return best, sure

@@ -26,7 +26,7 @@ from .spans import Span, digest, found, ordered, redact
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, SURE = 96, 48, 0.9
 TRIGGERS = re.compile(r"[0-9@\[(]")
-HIDDEN, STEPS, TEXTS = 16, 300, 3000
+HIDDEN, STEPS, TEXTS = 16, 400, 3000
 #: Windows decoded at a time.
 BATCH = 1024
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -152,7 +152,7 @@ def train(texts: list[tuple[str, list[Span]]], steps: int = STEPS, seed: int = 5
         part = classes(text)[at : at + WINDOW]
         x[r, : len(part)], y[r, : len(part)] = part, label[at : at + WINDOW]
     tagger = Tagger.fresh(_CLASSES, 1 + len(KINDS), HIDDEN, seed)
-    tagger.train(x, y, steps, 64, 0.02, seed)
+    tagger.train(x, y, steps, 64, 0.03, seed)
     return tagger
 
 
