@@ -16,8 +16,8 @@ _SPACE = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\
 #: The tokenizer's own split of a chunk (a fixed value of its file).
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Chunks that a worker remembers; twice as many for a while.
-REMEMBERED = 150_000
+#: Chunks that a worker remembers; twice as many for a while. About 0.2 kB each.
+REMEMBERED = 400_000
 
 
 def _byte_letters() -> list[str]:
@@ -44,47 +44,46 @@ class Encoder:
         if self._whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self._letters = _byte_letters()
-        self._chunks: dict[str, bytes] = {}
+        self._recent: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        if not unicodedata.is_normalized("NFC", text) and "<|" not in text:
-            text = unicodedata.normalize("NFC", text)
+        if "<|" in text:  # may hold a special token, which the library finds before anything else
+            return b"".join([self._special(c) if "<|" in c else self.encode(c) for c in _SPACE.split(text) if c])
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # each letter by itself: no final sigma
         chunks = [c for c in _SPACE.split(text) if c] if any(c in text for c in _CONTROL) else text.split()
-        get = self._chunks.get
+        get = self._recent.get
         found = [get(c) for c in chunks]
         if None in found:
             for i, ids in enumerate(found):
                 if ids is None:
-                    found[i] = self._chunks.get(chunks[i]) or self._missing(chunks[i])
+                    found[i] = self._known(chunks[i])
         return b"".join(found)
 
-    def _missing(self, chunk: str) -> bytes:
-        if len(self._chunks) >= REMEMBERED:
-            self._older, self._chunks = self._chunks, {}
-        ids = self._older.get(chunk)
+    def _known(self, chunk: str) -> bytes:
+        """The ids of a chunk, or of a part of one."""
+        ids = self._recent.get(chunk)
         if ids is None:
-            ids = self._new(chunk)
-        if len(chunk) <= 64:
-            self._chunks[chunk] = ids
+            ids = self._older.get(chunk)
+            if ids is None:
+                ids = self._new(chunk)
+            if len(chunk) <= 64:
+                if len(self._recent) >= REMEMBERED:
+                    self._older, self._recent = self._recent, {}
+                self._recent[chunk] = ids
         return ids
 
     def _new(self, chunk: str) -> bytes:
-        if "<|" in chunk:  # may hold a special token, which the library finds before anything else
-            return np.array(self._whole.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
-        out = []
-        for part in _SPLIT.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()):
-            ids = self._parts.get(part)
-            if ids is None:
-                spelled = "".join([self._letters[b] for b in part.encode()])
-                ids = np.array([t.id for t in self._model.tokenize(spelled)], "<u2").tobytes()
-                if len(self._parts) >= REMEMBERED:
-                    self._parts.clear()
-                if len(part) <= 64:
-                    self._parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        if not chunk.isalpha():
+            # letters and one more character are two parts without asking the pattern
+            parts = [chunk[:-1], chunk[-1]] if chunk[:-1].isalpha() else _SPLIT.findall(chunk)
+            if len(parts) > 1:
+                return b"".join([self._known(p) for p in parts])
+        spelled = chunk if chunk.isascii() and chunk.isprintable() else "".join([self._letters[b] for b in chunk.encode()])
+        return np.array([t.id for t in self._model.tokenize(spelled)], "<u2").tobytes()
+
+    def _special(self, chunk: str) -> bytes:
+        return np.array(self._whole.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
