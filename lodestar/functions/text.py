@@ -42,9 +42,10 @@ def topic_tokens(text: Column) -> Column:
     return _without(TOPIC_STOPWORDS, "[a-z][a-z0-9]+", text)
 
 
-def planner_tokens(text: Column) -> Column:
-    """Tokens of three characters or more that are not all digits, without planner stopwords."""
-    return F.filter(_without(PLANNER_STOPWORDS, "[a-z0-9]+", text), lambda t: ~t.rlike("^[0-9]+$"))
+def planner_tokens(text: Column, digits: bool = False) -> Column:
+    """Tokens of three characters or more, without planner stopwords and, unless wanted, numbers."""
+    found = _without(PLANNER_STOPWORDS, "[a-z0-9]+", text)
+    return found if digits else F.filter(found, lambda t: ~t.rlike("^[0-9]+$"))
 
 
 def stripped(text: Column) -> Column:

@@ -1,6 +1,6 @@
 """Every query of the engine, with the SQL that must give the same rows."""
 
-from . import retrieval
+from . import analysis, retrieval
 
-QUERIES = {**retrieval.QUERIES}
-ORACLES = {**retrieval.ORACLES}
+QUERIES = {**retrieval.QUERIES, **analysis.QUERIES}
+ORACLES = {**retrieval.ORACLES, **analysis.ORACLES}
