@@ -128,7 +128,25 @@ def search_text(*parts: Column) -> Column:
     return F.concat_ws("\n", F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != "")))
 
 
+#: US patent numbers in prose; the parts of examiners' search logs.
+US_NUMBER = r"(?i)\b(?:U\.?S\.?\s*(?:Pat(?:ent)?\.?\s*(?:No\.?)?)?\s*)?\d{1,2},\d{3},\d{3}\b|\bUS[-\s]?\d{7,8}\b"
+_FIELD = "(?:clm|clms|dclm|ab|abs|ti|spec|ccls|cpc|ipc|in|as|kwic)"
+LOG_FIELD = rf"(?i)\.\s*{_FIELD}(?:\s*,\s*{_FIELD})*\s*\."
+LOG_BOOLEAN = r"(?i)\b(?:and|or|not|adj\d*|near\d*|same|with)\b"
+LOG_PREFIX = r"^[LS]\d+\b[\s|:]*(?:[\d,]+[\s|]+)?(?=.)"
+LOG_TRAILER = r"(?i)\s+(?:US-PGPUB|USPAT|USOCR|FPRS|EPO|JPO|DERWENT|IBM[_-]TDB)\b.*$"
+
+
 def us_numbers(text: Column) -> Column:
     """Distinct keys of the US patent numbers named in prose, in order."""
-    pattern = r"(?i)(?:U\.?S\.?\s*(?:Pat(?:ent)?\.?)?\s*(?:Nos?\.?)?\s*)(\d{1,2},\d{3},\d{3}|\d{7,8})"
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda n: F.concat(F.lit("US"), F.translate(n, ",", ""))))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(US_NUMBER), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda m: F.concat(F.lit("US"), F.regexp_replace(m, "[^0-9]", ""))))
+
+
+def log_queries(text: Column) -> Column:
+    """Distinct search queries of an examiner's log, in order: lines with a field suffix, or a boolean word and structure."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda line: stripped(F.regexp_replace(F.regexp_replace(stripped(line), LOG_PREFIX, ""), LOG_TRAILER, "")))
+    structure = lambda q: q.contains('"') | (q.contains("(") & q.contains(")")) | q.contains("$")
+    queries = F.filter(lines, lambda q: (q != "") & (q.rlike(LOG_FIELD) | (q.rlike(LOG_BOOLEAN) & structure(q))))
+    lower = F.transform(queries, lambda q: F.lower(q))
+    return F.filter(queries, lambda q, i: F.array_position(lower, F.lower(q)) == i + 1)

@@ -1,6 +1,6 @@
 """Every query of the engine, with the SQL that must give the same rows."""
 
-from . import analysis, retrieval
+from . import analysis, connect, retrieval
 
-QUERIES = {**retrieval.QUERIES, **analysis.QUERIES}
-ORACLES = {**retrieval.ORACLES, **analysis.ORACLES}
+QUERIES = {**retrieval.QUERIES, **analysis.QUERIES, **connect.QUERIES}
+ORACLES = {**retrieval.ORACLES, **analysis.ORACLES, **connect.ORACLES}
