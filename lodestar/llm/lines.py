@@ -16,6 +16,7 @@ their own, before all others. Rows with equal doc_id and text are one document a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,6 +39,8 @@ BROADCAST_ROWS = 500_000
 CROWD = 128
 _FOLD = LOWER.copy()
 _FOLD[48:58] = 48
+_FOLD_BYTES = _FOLD.tobytes()
+_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,9 +150,7 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
 
 def words_of(line: str) -> str:
     """The words of a line, as they are compared."""
-    data = _FOLD[np.frombuffer(line.encode(), np.uint8)]
-    starts, ends = word_bounds(data, np.array([0, len(data)]), ALNUM)
-    return b" ".join(data[s:e].tobytes() for s, e in zip(starts, ends)).decode()
+    return b" ".join(_WORD.findall(line.encode().translate(_FOLD_BYTES))).decode()
 
 
 def simhash(line: str) -> int:
@@ -161,7 +162,9 @@ def simhash(line: str) -> int:
 
 
 def _load(column: pa.Array) -> list[tuple[str, int]]:
-    return [(words_of(x), simhash(x)) for x in column.to_pylist()]
+    """The words and the SimHash of payloads, which are the SimHash, a blank and the line."""
+    parts = [x.split(" ", 1) for x in column.to_pylist()]
+    return [(words_of(line), int(sim)) for sim, line in parts]
 
 
 def _linked(items: list[tuple[str, int]]):
@@ -190,13 +193,13 @@ def removals(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     found = found.unionByName(found.select(F.col("region").alias("sim"), "region").distinct())
     twice = classes.groupBy("sim").count().where("count > 1").select("sim")
     found = stored(found.unionByName(twice.join(found, "sim", "left_anti").withColumn("region", F.col("sim"))), "regions")
-    members = stored(classes.join(found, "sim").select("region", F.col("k1").alias("id"), "weight", "first"), "members")
+    members = stored(classes.join(found, "sim").select("region", F.col("k1").alias("id"), "weight", "sim", "first"), "members")
     few = members.count() <= BROADCAST_ROWS
 
     def attach(deal: DataFrame) -> DataFrame:
-        need = deal.join(members.select("id", "first.*").dropDuplicates(["id"]), "id")
+        need = deal.join(members.select("id", "sim", "first.*").dropDuplicates(["id"]), "id")
         on = [docs["doc_id"].eqNullSafe(need["doc_id"]), docs["text_hash"] == need["text_hash"]]
-        return docs.join(F.broadcast(need) if few else need, on).select(*[need[c] for c in deal.columns], F.get(F.split("text", "\n"), F.col("line")).alias("payload"))
+        return docs.join(F.broadcast(need) if few else need, on).select(*[need[c] for c in deal.columns], F.concat_ws(" ", need["sim"].cast("string"), F.get(F.split("text", "\n"), F.col("line"))).alias("payload"))
 
     edges = links(members.select("region", "id", "weight"), attach, _load, _linked, chunk)
     groups = components(edges).select(F.col("node").alias("k1"), F.col("component").alias("group"))
