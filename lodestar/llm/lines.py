@@ -2,8 +2,8 @@
 
 Lines end at \\n. A line's words are its runs of digits, a-z (A-Z lower-cased) and code points beyond ASCII, with
 every digit as 0; a line of fewer than MIN_WORDS words is left alone. Lines with equal words are one
-class. Two classes are linked if the 64-bit SimHashes of their words differ in MAX_BITS bits at most
-and the edit similarity of their words, 1 - distance / longer length in characters, is SIMILARITY or more.
+class. Two classes are linked if the 64-bit SimHashes of their pairs of neighbouring words (frequent
+words alone would make all long lines of a language alike) differ in MAX_BITS bits at most and the edit similarity of their words, 1 - distance / longer length in characters, is SIMILARITY or more.
 Of each connected group the first occurrence stays, by doc_id and then line; the others are removed.
 
 Candidates come from a join on blocks of the SimHash: of m blocks, m - MAX_BITS are alike in any pair within
@@ -43,6 +43,15 @@ _FOLD_BYTES = _FOLD.tobytes()
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
+def _simhashes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The SimHash of each line's pairs of neighbouring words; at: where the lines begin and end, of two words or more."""
+    pairs = mix(words[:-1] * np.uint64(0x9FB21C651E98DF25) + words[1:] * np.uint64(0xD6E8FEB86659FD93))
+    pairs = pairs[np.delete(np.arange(len(pairs)), at[1:-1] - 1)]
+    first = at[:-1] - np.arange(len(at) - 1)
+    ones = np.add.reduceat(np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1), first, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > (np.diff(at) - 1)[:, None], axis=1).view(np.int64).ravel()
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text_hash, line, two hashes of the words, the SimHash, the bytes; for each line that counts."""
     for batch in batches:
@@ -65,9 +74,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             factor = mix(place.astype(np.uint64) + np.uint64(0x51ED270B)) | np.uint64(1)
             k1 = mix(np.add.reduceat(words * factor, at[:-1]))
             k2 = mix(np.add.reduceat(mix(words + np.uint64(1)) * factor, at[:-1]))
-            bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
-            ones = np.add.reduceat(bits, at[:-1], axis=0, dtype=np.int64)
-            sim = np.packbits(2 * ones > size[:, None], axis=1).view(np.int64).ravel()
+            sim = _simhashes(words, at)
             take = pa.array(first + doc[rows])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(line[rows], pa.int32()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(sim), pa.array(np.diff(cuts)[rows])], ["doc_id", "text_hash", "line", "k1", "k2", "sim", "size"])
 
@@ -154,11 +161,10 @@ def words_of(line: str) -> str:
 
 
 def simhash(line: str) -> int:
+    """The SimHash of a line of two words or more."""
     data = _FOLD[np.frombuffer(line.encode(), np.uint8)]
     starts, ends = word_bounds(data, np.array([0, len(data)]), ALNUM)
-    words = word_hashes(data, starts, ends)
-    ones = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(words)).view(np.int64)[0])
+    return int(_simhashes(word_hashes(data, starts, ends), np.array([0, len(starts)]))[0])
 
 
 def _load(column: pa.Array) -> list[tuple[str, int]]:
