@@ -33,8 +33,8 @@ from .regions import links
 MIN_WORDS, MAX_BITS, SIMILARITY = 5, 3, 0.9
 #: Characters that a task may hold of a region.
 CHUNK = 8_000_000
-#: Rows of ids that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows of ids and numbers that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Lines that may share a block's value by chance before more blocks are taken.
 CROWD = 128
 _FOLD = LOWER.copy()
@@ -186,7 +186,7 @@ def _linked(items: list[tuple[str, int]]):
 
 
 def removals(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, text_hash and the numbers of the lines to remove, from 0, for each document that loses any."""
+    """doc_id, text_hash and number, from 0, of each line to remove."""
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
     seen = stored(docs.mapInArrow(_occurrences, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, line int, k1 long, k2 long, sim long, size long"), "occurrences")
     place = F.struct("doc_id", "text_hash", "line")
@@ -199,7 +199,7 @@ def removals(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     found = found.unionByName(found.select(F.col("region").alias("sim"), "region").distinct())
     twice = classes.groupBy("sim").count().where("count > 1").select("sim")
     found = stored(found.unionByName(twice.join(found, "sim", "left_anti").withColumn("region", F.col("sim"))), "regions")
-    members = stored(classes.join(found, "sim").select("region", F.col("k1").alias("id"), "weight", "sim", "first"), "members")
+    members = stored(classes.join(_small(found), "sim").select("region", F.col("k1").alias("id"), "weight", "sim", "first"), "members")
     few = members.count() <= BROADCAST_ROWS
 
     def attach(deal: DataFrame) -> DataFrame:
@@ -210,17 +210,25 @@ def removals(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     edges = links(members.select("region", "id", "weight"), attach, _load, _linked, chunk)
     groups = components(edges).select(F.col("node").alias("k1"), F.col("component").alias("group"))
     groups = stored(groups.unionByName(groups.select(F.col("group").alias("k1"), "group").distinct()), "groups")
-    fuzzy = classes.join(groups, "k1").select("k1", "k2", "first", "group")
+    fuzzy = classes.join(_small(groups), "k1").select("k1", "k2", "first", "group")
     keep = fuzzy.groupBy("group").agg(F.min("first").alias("keeper"))
     affected = fuzzy.join(keep, "group").select("k1", "k2", "keeper")
-    affected = affected.unionByName(classes.where("many").join(groups, "k1", "left_anti").select("k1", "k2", F.col("first").alias("keeper")))
+    affected = affected.unionByName(classes.where("many").join(_small(groups), "k1", "left_anti").select("k1", "k2", F.col("first").alias("keeper")))
+    affected = _small(stored(affected, "affected"))
     lost = seen.join(affected, ["k1", "k2"]).where(~place.eqNullSafe(F.col("keeper")))
-    return lost.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    return lost.select("doc_id", "text_hash", "line").distinct()
+
+
+def _small(frame: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it is known to be small."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
 def deduplicate(docs: DataFrame, removed: str = "_removed") -> DataFrame:
     """docs without the lines to remove; removed: a further column with their numbers."""
-    cut = removals(docs).withColumnRenamed("doc_id", "_cut_id").withColumnRenamed("text_hash", "_cut_hash").withColumnRenamed("lines", removed)
+    lost = stored(removals(docs), "removals")
+    cut = lost.groupBy(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash")).agg(F.sort_array(F.collect_list("line")).alias(removed))
+    cut = F.broadcast(cut) if lost.count() <= BROADCAST_ROWS else cut
     key = unused(docs, "_text_hash")
     out = docs.withColumn(key, F.xxhash64("text"))
     out = out.join(cut, [out["doc_id"].eqNullSafe(cut["_cut_id"]), out[key] == cut["_cut_hash"], out["text"].isNotNull()], "left")
