@@ -48,11 +48,12 @@ class SlotMap:
             raise LookupError(f"no version {version} in {folder}")
         return SlotMap(row[0], row[1], tuple(row[2]), {int(k): v for k, v in json.loads(row[3]).items()})
 
-    def rebalanced(self, load: dict[int, int], shards: int | None = None, tolerance: float = 0.01) -> SlotMap:
+    def rebalanced(self, load: dict[int, int], shards: int | None = None, tolerance: float = 0.05) -> SlotMap:
         """The next version, for these bytes of each slot and this number of shards.
 
-        Slots of shards that are gone are placed anew; then slots move from the heaviest to the lightest
-        shard while that brings the two nearer and the heaviest is over the mean by more than tolerance.
+        Slots of shards that are gone are placed anew. New shards are filled to the mean from the heaviest ones.
+        Then, while a shard is off the mean by more than tolerance, the slot moves from the heaviest to the
+        lightest that brings the two nearest. No other slot moves.
         """
         count = shards or self.shards
         of = list(self.shard_of)
@@ -63,22 +64,32 @@ class SlotMap:
         for slot in sorted((s for s in range(len(of)) if of[s] >= count), key=lambda s: (-load.get(s, 0), s)):
             of[slot] = min(range(count), key=lambda k: (total[k], k))
             total[of[slot]] += load.get(slot, 0)
-        held: list[list[int]] = [[] for _ in range(count)]
+        held: list[set[int]] = [set() for _ in range(count)]
         for slot, shard in enumerate(of):
             if load.get(slot, 0):
-                held[shard].append(slot)
+                held[shard].add(slot)
         mean = sum(total) / count
+
+        def move(slot: int, to: int) -> None:
+            held[of[slot]].remove(slot), held[to].add(slot)
+            total[of[slot]] -= load[slot]
+            total[to] += load[slot]
+            of[slot] = to
+
+        for new in range(self.shards, count):
+            while True:
+                high = max(range(self.shards), key=lambda k: (total[k], -k))
+                fit = [s for s in held[high] if load[s] <= min(mean - total[new], total[high] - mean * (1 - tolerance))]
+                if not fit:
+                    break
+                move(max(fit, key=lambda s: (load[s], -s)), new)
         for _ in range(len(of)):
             high, low = max(range(count), key=lambda k: (total[k], -k)), min(range(count), key=lambda k: (total[k], k))
             gap = total[high] - total[low]
             fit = [s for s in held[high] if load[s] < gap]
             if total[high] <= mean * (1 + tolerance) and total[low] >= mean * (1 - tolerance) or not fit:
                 break
-            slot = min(fit, key=lambda s: (abs(gap / 2 - load[s]), s))
-            held[high].remove(slot), held[low].append(slot)
-            of[slot] = low
-            total[high] -= load[slot]
-            total[low] += load[slot]
+            move(min(fit, key=lambda s: (abs(gap / 2 - load[s]), s)), low)
         return SlotMap(self.version + 1, count, tuple(of), self.spread)
 
 
