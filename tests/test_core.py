@@ -245,3 +245,23 @@ def test_sessions(tmp_path):
         s.execute(lambda x: [])
     assert session.json_of('text ```json\n{"a": "x\ny"}\n``` end') == {"a": "x\ny"} and session.json_of("so [1, 2] it is") == [1, 2]
     assert session.serialised("x" * 30_000).endswith("chars]")
+
+
+def test_records(spark):
+    from lodestar.functions import records as R
+
+    claim = "struct<number:int,text:string,depends_on:int>"
+    rows = spark.createDataFrame(
+        [([(1, "a", None), (2, "b" * 2000, 1)], [("US2", True), ("US1", True), ("US3", False)], {"a": "1"}, {"a": "2", "b": "3"}, [("Application granted", dt.date(2020, 1, 1)), ("Expiration", dt.date(2030, 1, 1)), ("Adjusted expiration", dt.date(2031, 1, 1))])],
+        f"claims array<{claim}>, citations array<struct<doc_key:string,is_examiner:boolean>>, p map<string,string>, s map<string,string>, events array<struct<title:string,date:date>>",
+    )
+    c = F.col("claims")
+    r = rows.select(
+        F.size(R.independent(c)).alias("independent"), R.claim(c, 2)["depends_on"].alias("of"), R.claim(c, 9).alias("none"), F.size(R.selected(c, [2])).alias("picked"), F.size(R.selected(c, [7])).alias("else_"),
+        R.examiner_cited(F.col("citations")).alias("cited"), R.merged_map(F.col("p"), F.col("s")).alias("m"), R.last_event(F.col("events"), "expiration").alias("ends"), R.cpc_code(F.lit("H"), [F.lit("04"), F.lit("L"), F.lit("65")], F.lit("403")).alias("code"),
+        F.length(R.compact(F.lit("t"), F.lit("a" * 1500), c, F.array(F.lit("x")))["abstract"]).alias("abstract"), R.clamped(F.lit(99)).alias("limit"), R.earlier(F.lit(dt.date(2021, 1, 1)), F.lit(dt.date(2020, 1, 1))).alias("cutoff"),
+    ).first()
+    assert (r["independent"], r["of"], r["none"], r["picked"], r["else_"], r["cited"]) == (1, 1, None, 1, 1, ["US1", "US2"])
+    assert r["m"] == {"a": "1", "b": "3"} and r["ends"] == dt.date(2031, 1, 1) and r["code"] == "H04L65/403" and r["abstract"] == 1003
+    assert r["limit"] == 25 and r["cutoff"] == dt.date(2020, 1, 1)
+    assert rows.withColumn("x", F.lit(None).cast("int")).where(R.equal(x=None)).count() == 1
