@@ -27,12 +27,15 @@ from pyspark.sql import functions as F
 
 from ._shared import stored
 from .components import components
+from .regions import links
 
 SAMPLES, SYMBOLS, LOWEST = 64, 64, 4
 #: Texts walked at a time; characters of them at most, unless one has more.
 TEXTS, CHARACTERS = 20_000, 12_000_000
 #: Rows that a range of ids should have, and ranges at most.
 ROWS, RANGES = 4000, 5000
+#: Fingerprints that a task may hold of a region.
+NODES = 10_000
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 _PERIOD = 256
 _rng = np.random.default_rng(19)
@@ -168,7 +171,7 @@ def near_pairs(docs: DataFrame, least: float = 0.8, bands: int = 16, width: int
     """doc_id and group, the smallest doc_id that likeness of at least least links it with, for documents linked at all.
 
     Candidates share the samples of a band, drawn at random from those of a scale; equal fingerprints are
-    one node. Within a band's bucket each fingerprint is compared with the smallest, and the next by order.
+    one node. Connected candidates are a region for regions.links().
     """
     prints = stored(fingerprint(docs.select("doc_id", "text")).where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.collect_set("doc_id").alias("ids")), "fingerprints")
     rng = np.random.default_rng(3)
@@ -178,17 +181,15 @@ def near_pairs(docs: DataFrame, least: float = 0.8, bands: int = 16, width: int
     half = F.substring("fingerprint", F.lit(3) + F.col("half") * SAMPLES, F.lit(SAMPLES))
     band = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.concat(*[F.substring("_half", p + 1, 1) for p in pick]).alias("key")) for i, pick in enumerate(picks)]))
     rows = rows.withColumn("_half", half).select("id", "fingerprint", "scale", band.alias("b")).select("id", "fingerprint", "scale", "b.band", "b.key")
-    bucket = Window.partitionBy("scale", "band", "key").orderBy("fingerprint")
-    pairs = rows.withColumn("before", F.lag(F.struct("id", "fingerprint")).over(bucket)).withColumn("first", F.first(F.struct("id", "fingerprint")).over(bucket))
-    pairs = pairs.select("id", "fingerprint", F.explode(F.array_distinct(F.array("before", "first"))).alias("o")).where("o is not null and o.id <> id").select("id", "fingerprint", F.col("o.id").alias("other"), F.col("o.fingerprint").alias("other_print")).distinct()
+    chain = rows.select("id", F.lag("id").over(Window.partitionBy("scale", "band", "key").orderBy("fingerprint", "id")).alias("near")).where("near is not null and near <> id")
+    near = components(chain).select(F.col("node").alias("id"), F.col("component").alias("region"))
+    near = near.unionByName(near.select(F.col("region").alias("id"), "region").distinct()).withColumn("weight", F.lit(1).cast("long"))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, p, b, q = (c.to_pylist() for c in batch.columns)
-            ok = [likeness(x, y) >= least for x, y in zip(p, q)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, o in zip(a, ok) if o], pa.int64()), pa.array([x for x, o in zip(b, ok) if o], pa.int64())], ["a", "b"])
+    def linked(items: list[str]):
+        return lambda i, others: np.array([likeness(items[i], items[k]) >= least for k in others])
 
-    found = components(pairs.mapInArrow(verify, "a long, b long"))
+    edges = links(stored(near, "near"), lambda deal: prints.select("id", F.col("fingerprint").alias("payload")).join(deal, "id"), lambda column: column.to_pylist(), linked, NODES)
+    found = components(edges)
     many = prints.select("id", F.explode("ids").alias("doc_id")).join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("group"))
     size = many.groupBy("group").count().where("count > 1").select("group")
     return many.join(size, "group", "left_semi").select("doc_id", "group")
