@@ -2,7 +2,7 @@
 
 A document is its token ids and an end id. Documents are put in the order of several minimum hashes of
 their ids, so that those with ids in common come together, and dealt by ranges of that order; a range is
-cut into shards of about SHARD ids. Each shard has an inverted index of BM25 weights, whose document frequencies and
+cut into shards of about SHARD ids, or PIECES documents. Each shard has an inverted index of BM25 weights, whose document frequencies and
 mean length are those of all documents. A seed, the rest of the document cut last or else the first unused
 one, asks the index; unused documents fill the window by falling score, and the last is cut where the
 window ends. A document longer than a window first gives windows of its own. What a shard leaves open goes on
@@ -27,8 +27,8 @@ from ._shared import stored
 from .tokens import encoder
 
 WINDOW, END = 4096, 2
-#: Ids of a shard, ids of a range, and ranges at most.
-SHARD, RANGE, RANGES = 600_000, 8_000_000, 20_000
+#: Ids and documents of a shard, ids of a range, and ranges at most.
+SHARD, PIECES, RANGE, RANGES = 600_000, 5_000, 8_000_000, 20_000
 K1, B = 1.2, 0.75
 _rng = np.random.default_rng(7)
 _ORDERS = [_rng.permutation(1 << 16).astype(np.uint16) for _ in range(3)]
@@ -97,11 +97,12 @@ class Shard:
         order = np.argsort(self._term, kind="stable")
         self._term, self._weight, self._piece = self._term[order], self._weight[order], self._piece[order]
         self._first = np.searchsorted(self._term, np.arange((1 << 16) + 1))
-        self._live = int(self.unused.sum())
+        self._free = self._live = int(self.unused.sum())
 
     def use(self, at: int) -> None:
         self.unused[at] = False
-        if self.unused.sum() * 2 < self._live:
+        self._free -= 1
+        if self._free * 2 < self._live:
             keep = self.unused[self._piece]
             self._term, self._weight, self._piece = self._term[keep], self._weight[keep], self._piece[keep]
             self._sort()
@@ -231,7 +232,7 @@ def pack(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> Da
                 ids.append(np.frombuffer(row.as_py(), "<u2"))
                 pool.append((len(ids) - 1, 0, len(ids[-1])))
                 held_ids += len(ids[-1])
-                if held_ids >= SHARD:
+                if held_ids >= SHARD or len(pool) >= PIECES:
                     yield from shard()
         if pool:
             yield from shard()
