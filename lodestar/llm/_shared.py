@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch while a table is written: whole texts in batches of the usual 10,000 take much memory.
+ROWS = 2000
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -41,7 +44,12 @@ def stored(frame: DataFrame, what: str = "table") -> DataFrame:
     """
     spark = frame.sparkSession
     path = new_path(spark, what)
-    frame.write.parquet(path)
+    usual = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(usual), ROWS) if int(usual) > 0 else ROWS))
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, usual)
     return spark.read.schema(frame.schema).parquet(path)
 
 

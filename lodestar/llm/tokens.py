@@ -6,9 +6,10 @@ repeat: each worker keeps the ids of the chunks it has seen lately. The merging
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from array import array
 
-import numpy as np
 import regex
 
 #: White space as the tokenizer sees it; str.split() takes four control characters more.
@@ -17,7 +18,7 @@ _SPACE = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Chunks that a worker remembers; twice as many for a while. About 0.2 kB each.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def _byte_letters() -> list[str]:
@@ -33,6 +34,13 @@ def _byte_letters() -> list[str]:
     return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """encode(text) gives the ids as little-endian 16-bit bytes."""
 
@@ -80,10 +88,10 @@ class Encoder:
             if len(parts) > 1:
                 return b"".join([self._known(p) for p in parts])
         spelled = chunk if chunk.isascii() and chunk.isprintable() else "".join([self._letters[b] for b in chunk.encode()])
-        return np.array([t.id for t in self._model.tokenize(spelled)], "<u2").tobytes()
+        return _packed([t.id for t in self._model.tokenize(spelled)])
 
     def _special(self, chunk: str) -> bytes:
-        return np.array(self._whole.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
+        return _packed(self._whole.encode(chunk, add_special_tokens=False).ids)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -94,3 +102,8 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Drops what the encoders of this process remember."""
+    _encoders.clear()
