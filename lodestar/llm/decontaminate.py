@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import stored, unused
-from ._text import ALNUM, LOWER, pieces, rows_of, run_hashes, word_bounds, word_hashes
+from ._text import ALNUM, LOWER, pieces, released, rows_of, run_hashes, word_bounds, word_hashes
 
 _BITS = 20
 #: What scan() adds.
@@ -137,6 +137,7 @@ def _scan_block(docs: DataFrame, held, text: str, found: str, again: bool) -> Da
     at = [f.name for f in docs.schema.fields].index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         lookup = _Lookup(held.value)
         for batch in batches:
             n_words, hit_words, hit_bytes, items = _scan_batch(batch.column(at), lookup)

@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import stored, unused
-from ._text import pieces
+from ._text import pieces, released
 
 DIMS, CENTROIDS, ROUNDS = 4096, 4, 12
 SAMPLE, SAMPLE_ALL = 500, 4000
+#: Rows counted at a time.
+ROWS = 128
 #: Of the lowest cosine that one in a thousand training texts has with its language. A text of one repeated word
 #: of a language has about half of that, and stays; other scripts have a tenth.
 MARGIN = 0.25
@@ -120,11 +122,12 @@ def kmeans(rows: np.ndarray, k: int) -> np.ndarray:
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors of the sampled rows (lang, vector) and, at the end, in how many rows each gram is (dim, df)."""
+    released()
     df, rows = np.zeros(DIMS, np.int64), 0
     names = ["lang", "vector", "dim", "df"]
     for batch in batches:
         lang, picked = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        for first, end, data, offsets in pieces(batch.column(0), most=512):
+        for first, end, data, offsets in pieces(batch.column(0), most=ROWS):
             counts = _counts(data, offsets)
             has = _letters(data, offsets)
             df += (counts[has] > 0).sum(axis=0)
@@ -179,9 +182,10 @@ def classify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             langs, scores, out = [], [], []
-            for _, _, data, offsets in pieces(batch.column(at), most=512):
+            for _, _, data, offsets in pieces(batch.column(at), most=ROWS):
                 found = held.value.predict(data, offsets)
                 for to, new in zip((langs, scores, out), found):
                     to.extend(new)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import stored, unused
-from ._text import ALNUM, LOWER, mix, pieces, word_bounds, word_hashes
+from ._text import ALNUM, LOWER, mix, pieces, released, word_bounds, word_hashes
 from .components import components, forest
 from .regions import links
 
@@ -54,6 +54,7 @@ def _simhashes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text_hash, line, two hashes of the words, the SimHash, the bytes; for each line that counts."""
+    released()
     for batch in batches:
         for first, _, data, offsets in pieces(batch.column(2)):
             cuts = np.union1d(offsets, np.flatnonzero(data == 10) + 1)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import stored
-from ._text import LOWER, NONSPACE, mix, pieces, rows_of, run_hashes, whole_hash, word_bounds, word_hashes
+from ._text import LOWER, NONSPACE, mix, pieces, released, rows_of, run_hashes, whole_hash, word_bounds, word_hashes
 from .components import components
 from .regions import links
 
@@ -81,6 +81,7 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n_shingles, two sums over the set, and a hash of each DEPTH hashes of the signature."""
+    released()
     for batch in batches:
         row = 0
         for hashes, bounds in shingles(batch.column(1)):
