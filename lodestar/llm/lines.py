@@ -1,16 +1,17 @@
 """Fuzzy line deduplication.
 
-Lines end at \\n. A line's words are its runs of digits, a-z (A-Z lower-cased) and code points beyond ASCII, with
-every digit as 0; a line of fewer than MIN_WORDS words is left alone. Lines with equal words are one
-class. Two classes are linked if the 64-bit SimHashes of their pairs of neighbouring words (frequent
-words alone would make all long lines of a language alike) differ in MAX_BITS bits at most and the edit similarity of their words, 1 - distance / longer length in characters, is SIMILARITY or more.
+Lines end at \n. A line's words are its runs of digits, a-z (A-Z lower-cased) and code points beyond ASCII; in lines
+of FOLD words or more every digit is 0. The words of a line with none of these are its runs of other than blanks; a
+blank line is left alone. Lines with equal words are one class. Two classes are linked if the edit similarity of their
+words, 1 - distance / longer length in characters, is SIMILARITY or more, and they are candidates.
 Of each connected group the first occurrence stays, by doc_id and then line; the others are removed.
 
-Candidates come from a join on blocks of the SimHash: of m blocks, m - MAX_BITS are alike in any pair within
-MAX_BITS bits. The number of blocks depends on how many lines there are and changes the cost only.
+Candidates share one of KEYS keys of their length's tier; a key is made of minimum hashes of the words' byte grams. A
+line just below a tier has the keys of both, so that no pair is parted by its lengths. This step is by chance: the
+README gives its recall. Candidates are dropped only where counts of their characters rule the similarity out.
 Connected candidates are a region for regions.links(), which confirms the links on the words.
 
-Null text stays null, with no lines; an empty text has one line, too short to count. Null doc_ids are an id of
+Null text stays null, with no lines; an empty text has one line, a blank one. Null doc_ids are an id of
 their own, before all others. Rows with equal doc_id and text are one document and get the same result.
 """
 
@@ -18,29 +19,36 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import stored, unused
-from ._text import ALNUM, LOWER, mix, pieces, released, word_bounds, word_hashes
+from ._text import ALNUM, LOWER, NONSPACE, mix, pieces, released, word_bounds, word_hashes
 from .components import components, forest
 from .regions import links
 
-MIN_WORDS, MAX_BITS, SIMILARITY = 5, 3, 0.9
+#: A line counts from one word on, and SimHashes may differ in any of their bits: edit similarity alone decides.
+MIN_WORDS, MAX_BITS, SIMILARITY = 1, 64, 0.9
+#: Lines of fewer words keep their digits.
+FOLD = 5
+#: Characters from which a tier begins, the bytes of its grams, and the minimum hashes in one of its keys.
+TIERS, KEYS = ((10, 5, 1), (64, 7, 2), (200, 7, 3)), 12
 #: Characters that a task may hold of a region.
 CHUNK = 8_000_000
+#: Characters that a line counts for besides its own: the counts of its pairs.
+WEIGHT = 512
 #: Rows of ids and numbers that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Lines that may share a block's value by chance before more blocks are taken.
-CROWD = 128
 _FOLD = LOWER.copy()
 _FOLD[48:58] = 48
-_FOLD_BYTES = _FOLD.tobytes()
+_FOLD_BYTES, _LOWER_BYTES = _FOLD.tobytes(), LOWER.tobytes()
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+_FACTORS = (mix(np.arange(1, 3 * KEYS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
+#: Of a character's last byte; letters have buckets of their own.
+_BUCKET = (np.arange(256) % 32).astype(np.int64)
 
 
 def _simhashes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -52,75 +60,135 @@ def _simhashes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > (np.diff(at) - 1)[:, None], axis=1).view(np.int64).ravel()
 
 
+def _joined(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of the words, each followed by a blank."""
+    size = ends - starts
+    word = np.repeat(np.arange(len(size)), size)
+    out = np.full(len(word) + len(size), 32, np.uint8)
+    at = np.arange(len(word))
+    out[at + word] = folded[at + np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size)]
+    return out
+
+
+def _characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lines data[at[k]:at[k + 1]]: characters, and how many fall in each of 32 buckets, modulo 16, in two numbers."""
+    last = np.append((data[1:] & 0xC0) != 0x80, True)
+    line = np.repeat(np.arange(len(at) - 1), np.diff(at))[last]
+    counts = np.bincount(line * 32 + _BUCKET[data[last]], minlength=32 * (len(at) - 1)).reshape(-1, 32)
+    nibbles = (counts & 15).astype(np.uint8)
+    return counts.sum(axis=1), (nibbles[:, ::2] | nibbles[:, 1::2] << 4).copy().view(np.int64)
+
+
+def _keys(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines and their keys, in the order of the lines."""
+    lines, keys = [], []
+    hashes: dict[int, np.ndarray] = {}
+    for tier, (least, q, r) in enumerate(TIERS):
+        most = TIERS[tier + 1][0] if tier + 1 < len(TIERS) else np.inf
+        rows = np.flatnonzero((length >= SIMILARITY * least - 1e-9) & (length < most))
+        rows = rows[np.diff(at)[rows] > q]
+        if not len(rows):
+            continue
+        if q not in hashes:
+            h = np.zeros(len(data) - q + 1, np.uint64)
+            for k in range(q):
+                h = h * np.uint64(0x100000001B3) + data[k : k + len(h)]
+            hashes[q] = (mix(h) >> np.uint64(32)).astype(np.uint32)
+        size = at[rows + 1] - at[rows] - q + 1
+        first = np.cumsum(size) - size
+        grams = hashes[q][np.arange(first[-1] + size[-1]) + np.repeat(at[rows] - first, size)]
+        for k in range(KEYS):
+            key = np.full(len(rows), k + 1, np.uint64)
+            for n in range(r):
+                key = mix(key * np.uint64(0x9FB21C651E98DF25) + np.minimum.reduceat(grams * _FACTORS[r * k + n], first))
+            lines.append(rows)
+            keys.append((key >> np.uint64(24) | np.uint64(tier * KEYS + k) << np.uint64(40)).view(np.int64))
+    if not lines:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lines, keys = np.concatenate(lines), np.concatenate(keys)
+    order = np.argsort(lines, kind="stable")
+    return lines[order], keys[order]
+
+
+_OCCURRENCE = "text_hash long, line int, k1 long, k2 long, length int, c1 long, c2 long, keys array<long>, size long"
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text_hash, line, two hashes of the words, the SimHash, the bytes; for each line that counts."""
+    """doc_id, text_hash, line, two hashes of the words, characters and their counts, keys, the bytes; for each line that counts."""
     released()
     for batch in batches:
         for first, _, data, offsets in pieces(batch.column(2)):
             cuts = np.union1d(offsets, np.flatnonzero(data == 10) + 1)
             doc = np.searchsorted(offsets, cuts[:-1], "right") - 1  # of each line; empty texts have none
             line = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            folded = _FOLD[data]
-            starts, ends = word_bounds(folded, offsets, ALNUM)
-            words = word_hashes(folded, starts, ends)
-            bounds = np.searchsorted(starts, cuts)
-            size = np.diff(bounds)
+            starts, ends = word_bounds(data, offsets, ALNUM)
+            size = np.diff(np.searchsorted(starts, cuts))
+            filled = np.concatenate([[0], np.cumsum(NONSPACE[data])])
+            bare = (size == 0) & (filled[cuts[1:]] > filled[cuts[:-1]])
+            if bare.any():
+                inside = ALNUM[data] | NONSPACE[data] & np.repeat(bare, np.diff(cuts))
+                starts, ends = word_bounds(inside.view(np.uint8), offsets, np.array([False, True]))
+                size = np.diff(np.searchsorted(starts, cuts))
             rows = np.flatnonzero(size >= MIN_WORDS)
             if not len(rows):
                 continue
-            used = np.repeat(size >= MIN_WORDS, size)
-            words, size = words[used], size[rows]
+            folded = np.where(np.repeat(size >= FOLD, np.diff(cuts)), _FOLD[data], LOWER[data])
+            words, joined = word_hashes(folded, starts, ends), _joined(folded, starts, ends)
+            size = size[rows]
             at = np.concatenate([[0], np.cumsum(size)])
             place = np.arange(len(words)) - np.repeat(at[:-1], size)
             factor = mix(place.astype(np.uint64) + np.uint64(0x51ED270B)) | np.uint64(1)
             k1 = mix(np.add.reduceat(words * factor, at[:-1]))
             k2 = mix(np.add.reduceat(mix(words + np.uint64(1)) * factor, at[:-1]))
-            sim = _simhashes(words, at)
+            at = np.concatenate([[0], np.cumsum(ends - starts + 1)])[at]
+            length, counts = _characters(joined, at)
+            length -= 1  # the blank at the end
+            of, keys = _keys(joined, at, length)
+            keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(rows) + 1)), pa.int32()), pa.array(keys))
             take = pa.array(first + doc[rows])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(line[rows], pa.int32()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(sim), pa.array(np.diff(cuts)[rows])], ["doc_id", "text_hash", "line", "k1", "k2", "sim", "size"])
+            columns = [line[rows].astype(np.int32), k1.view(np.int64), k2.view(np.int64), length.astype(np.int32), counts[:, 0], counts[:, 1]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x) for x in columns), keys, pa.array(np.diff(cuts)[rows])], ["doc_id", "text_hash", "line", "k1", "k2", "length", "c1", "c2", "keys", "size"])
 
 
-def _blocks(lines: int) -> list[Column]:
-    """Keys of which every pair of SimHashes within MAX_BITS bits shares one."""
-    m = MAX_BITS + 1
-    while m < MAX_BITS + 4 and lines / 2 ** (64 * (m - MAX_BITS) // m) > CROWD:
-        m += 1
-    edge = [64 * k // m for k in range(m + 1)]
-    out = []
-    for t, kept in enumerate(combinations(range(m), m - MAX_BITS)):
-        mask = sum(((1 << (edge[k + 1] - edge[k])) - 1) << edge[k] for k in kept)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        out.append(F.struct(F.lit(t).cast("byte").alias("t"), F.col("sim").bitwiseAND(F.lit(signed)).alias("key")))
-    return out
-
-
-def _bits(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x.view(np.uint64))  # of signed numbers it would count the absolute value's
+def _most(longer: np.ndarray) -> np.ndarray:
+    """The largest distance of similar words, the longer of that length."""
+    return np.floor((1 - SIMILARITY) * longer + 1e-6).astype(np.int64)
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (t, key, sim) in the order of the first two: edges that connect the SimHashes near each other."""
-    rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
-
-    def edges(t: np.ndarray, key: np.ndarray, sim: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])]))
-        a, b = [], []
-        for lo, hi in zip(new, np.append(new[1:], len(t))):
-            group = sim[lo:hi]
-            for i in range(0, len(group) if len(group) > 1 else 0, 256):
-                rows = group[i : i + 256]
-                for j in range(i, len(group), 4096):
-                    x, y = np.nonzero(_bits(rows[:, None] ^ group[None, j : j + 4096]) <= MAX_BITS)
-                    if len(x):
-                        p, q = forest(rows[x], group[j + y])
-                        a.append(p), b.append(q)
+    """For rows (key, length, id, c1, c2) in the order of the first two: edges that connect the candidates."""
+    rest: list[np.ndarray] = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64, np.int64)]
+
+    def edges(key: np.ndarray, length: np.ndarray, node: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        end = np.repeat(np.append(new[1:], len(key)), np.diff(np.append(new, len(key))))
+        packed = np.stack([c1, c2], 1).view(np.uint8)
+        counts = np.concatenate([packed & 15, packed >> 4], axis=1)
+        a, b, held = [], [], 0
+        active, step = np.arange(len(key)), 1
+        while True:
+            active = active[active + step < end[active]]
+            active = active[length[active] >= length[active + step] - _most(length[active + step])]
+            if not len(active):
+                break
+            for lo in range(0, len(active), 1 << 16):
+                i = active[lo : lo + (1 << 16)]
+                gap = (counts[i] - counts[i + step]) & 15
+                gap = np.minimum(gap, 16 - gap).sum(axis=1, dtype=np.int64)
+                i = i[gap <= 2 * _most(length[i + step])]
+                a.append(node[i]), b.append(node[i + step])
+                held += len(i)
+            if held > 400_000:
+                p, q = forest(np.concatenate(a), np.concatenate(b))
+                a, b, held = [p], [q], 0
+            step += 1
         if a:
             p, q = forest(np.concatenate(a), np.concatenate(b))
             yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], ["a", "b"])
 
     for batch in batches:
         now = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns)]
-        earlier = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+        earlier = np.flatnonzero(now[0] != now[0][-1])
         last = int(earlier[-1]) + 1 if len(earlier) else 0
         rest = [x[last:] for x in now]
         if last:
@@ -158,29 +226,42 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
 
 def words_of(line: str) -> str:
     """The words of a line, as they are compared."""
-    return b" ".join(_WORD.findall(line.encode().translate(_FOLD_BYTES))).decode()
+    raw = line.encode()
+    words = _WORD.findall(raw.translate(_LOWER_BYTES)) or raw.translate(_LOWER_BYTES).split()
+    joined = b" ".join(words)
+    return (joined.translate(_FOLD_BYTES) if len(words) >= FOLD else joined).decode()
 
 
 def simhash(line: str) -> int:
-    """The SimHash of a line of two words or more."""
+    """The SimHash of a line of two words or more; no candidates come from it."""
     data = _FOLD[np.frombuffer(line.encode(), np.uint8)]
     starts, ends = word_bounds(data, np.array([0, len(data)]), ALNUM)
     return int(_simhashes(word_hashes(data, starts, ends), np.array([0, len(starts)]))[0])
 
 
-def _load(column: pa.Array) -> list[tuple[str, int]]:
-    """The words and the SimHash of payloads, which are the SimHash, a blank and the line."""
-    parts = [x.split(" ", 1) for x in column.to_pylist()]
-    return [(words_of(line), int(sim)) for sim, line in parts]
+def _load(column: pa.Array) -> list[tuple[str, np.ndarray]]:
+    """The words of lines, and how many pairs of neighbouring characters fall in each of 256 buckets."""
+    out = []
+    for line in column.to_pylist():
+        words = words_of(line)
+        codes = np.frombuffer(words.encode("utf-32-le"), np.uint32)
+        pairs = (codes[:-1] * np.uint32(0x9E3779B1) + codes[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(24)
+        out.append((words, np.minimum(np.bincount(pairs, minlength=256), 32767).astype(np.int16)))
+    return out
 
 
-def _linked(items: list[tuple[str, int]]):
-    sims = np.array([s for _, s in items], np.int64)
+def _linked(items: list[tuple[str, np.ndarray]]):
+    length = np.array([len(words) for words, _ in items])
+    counts = np.stack([c for _, c in items])
 
     def test(i: int, others: np.ndarray) -> np.ndarray:
-        out = _bits(sims[others] ^ sims[i]) <= MAX_BITS
-        for k in np.flatnonzero(out):
-            out[k] = similar(items[i][0], items[others[k]][0])
+        out = np.zeros(len(others), bool)
+        most = _most(np.maximum(length[others], length[i]))
+        for lo in range(0, len(others), 4096):
+            part = np.flatnonzero(np.abs(length[others[lo : lo + 4096]] - length[i]) <= most[lo : lo + 4096]) + lo
+            gap = np.abs(counts[others[part]] - counts[i]).sum(axis=1, dtype=np.int64)
+            for k in part[gap <= 4 * most[part]]:  # an edit changes two pairs of each at most
+                out[k] = similar(items[i][0], items[others[k]][0])
         return out
 
     return test
@@ -189,24 +270,22 @@ def _linked(items: list[tuple[str, int]]):
 def removals(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, text_hash and number, from 0, of each line to remove."""
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
-    seen = stored(docs.mapInArrow(_occurrences, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, line int, k1 long, k2 long, sim long, size long"), "occurrences")
+    seen = stored(docs.mapInArrow(_occurrences, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_OCCURRENCE}"), "occurrences")
     place = F.struct("doc_id", "text_hash", "line")
-    classes = stored(seen.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.min(place).alias("_a"), F.max(place).alias("_b"), F.first("sim").alias("sim"), F.max("size").alias("weight")).withColumn("many", F.col("_a") != F.col("_b")).drop("_a", "_b"), "classes")
-
-    sims = classes.select("sim").distinct()
-    blocks = sims.select("sim", F.explode(F.array(*_blocks(classes.count()))).alias("k")).select("k.t", "k.key", "sim").repartition("t", "key")
-    near = blocks.sortWithinPartitions("t", "key").mapInArrow(_near, "a long, b long")
-    found = components(near).select(F.col("node").alias("sim"), F.col("component").alias("region"))
-    found = found.unionByName(found.select(F.col("region").alias("sim"), "region").distinct())
-    twice = classes.groupBy("sim").count().where("count > 1").select("sim")
-    found = stored(found.unionByName(twice.join(found, "sim", "left_anti").withColumn("region", F.col("sim"))), "regions")
-    members = stored(classes.join(_small(found), "sim").select("region", F.col("k1").alias("id"), "weight", "sim", "first"), "members")
+    once = [F.first(c).alias(c) for c in ("length", "c1", "c2", "keys")]
+    classes = stored(seen.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.min(place).alias("_a"), F.max(place).alias("_b"), *once, F.max("size").alias("weight")).withColumn("many", F.col("_a") != F.col("_b")).drop("_a", "_b"), "classes")
+
+    keyed = classes.select(F.explode("keys").alias("key"), "length", F.col("k1").alias("id"), "c1", "c2").repartition("key")
+    found = components(keyed.sortWithinPartitions("key", "length").mapInArrow(_near, "a long, b long")).select(F.col("node").alias("id"), F.col("component").alias("region"))
+    found = stored(found.unionByName(found.select(F.col("region").alias("id"), "region").distinct()), "regions")
+    members = classes.select(F.col("k1").alias("id"), (F.col("weight") + WEIGHT).alias("weight"), "first")
+    members = stored(members.join(_small(found), "id").select("region", "id", "weight", "first"), "members")
     few = members.count() <= BROADCAST_ROWS
 
     def attach(deal: DataFrame) -> DataFrame:
-        need = deal.join(members.select("id", "sim", "first.*").dropDuplicates(["id"]), "id")
+        need = deal.join(members.select("id", "first.*").dropDuplicates(["id"]), "id")
         on = [docs["doc_id"].eqNullSafe(need["doc_id"]), docs["text_hash"] == need["text_hash"]]
-        return docs.join(F.broadcast(need) if few else need, on).select(*[need[c] for c in deal.columns], F.concat_ws(" ", need["sim"].cast("string"), F.get(F.split("text", "\n"), F.col("line"))).alias("payload"))
+        return docs.join(F.broadcast(need) if few else need, on).select(*[need[c] for c in deal.columns], F.get(F.split("text", "\n"), F.col("line")).alias("payload"))
 
     edges = links(members.select("region", "id", "weight"), attach, _load, _linked, chunk)
     groups = components(edges).select(F.col("node").alias("k1"), F.col("component").alias("group"))

@@ -207,6 +207,27 @@ def test_lines_equal_brute_force(spark, few, monkeypatch):
         assert clean[d] == want
 
 
+def test_lines_by_edit_similarity_alone(spark):
+    rng = random.Random(4)
+    rows = []
+    for n in (6, 12, 20, 50, 100):
+        for _ in range(4):
+            words = prose(rng, n).split()
+            words[rng.randrange(n)] = rng.choice(WORDS[:4])
+            rows.append(" ".join(words))
+            words[rng.randrange(n)] = "other"
+            rows.append(" ".join(words))
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(60))
+    rows += ["Les.", "les", "And ornd.", "and ornd", "page 1", "page 2", "* * *", "* * *", "}", "}", "---", han, han, han[:30] + "中" + han[31:], " \t", " \t", "", ""]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"] for r in lines.report(frame).collect() if r["n_removed"]}
+    forms = [lines.words_of(r) for r in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if forms[i] and forms[j] and 1 - lines.distance(forms[i], forms[j]) / max(len(forms[i]), len(forms[j])) >= 0.9]
+    root = brute.roots(range(len(rows)), links)
+    assert got == {i for i, r in root.items() if i != r} and len(got) > 20
+    assert [lines.words_of(x) for x in ("Page 12", "a b c d 12", "* *", han + "。", " ")] == ["page 12", "a b c d 00", "* *", han + "。", ""]
+
+
 def test_lines_awkward(docs, empty):
     out = lines.deduplicate(docs)
     assert out.count() == docs.count() and out.columns == [*docs.columns, "_removed"]
