@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stored
+from ._shared import kept, scratch, stored
+from ._text import tidy
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,14 +58,19 @@ _STARS = "node long, root long"
 
 def contracted(edges: DataFrame) -> DataFrame:
     """node, root: within each partition a star for each component of its edges; no shuffle."""
-    return edges.mapInArrow(_local, _STARS)
+    return edges.mapInArrow(tidy(_local), _STARS)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component, the smallest node it is linked with, for each node that is not itself the smallest.
 
-    edges has two long columns; nulls are not allowed, loops and repeats are.
+    edges has two long columns; nulls are not allowed, loops and repeats are. An empty frame has no components.
     """
+    with scratch():
+        return kept(_components(edges))
+
+
+def _components(edges: DataFrame) -> DataFrame:
     left, right = edges.columns
     edges = contracted(edges.select(F.greatest(left, right).alias("node"), F.least(left, right).alias("root")))
     found: DataFrame | None = None
@@ -73,7 +79,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = stars.groupBy("node").agg(F.min("root").alias("component"), F.max("root").alias("top"))
         split = stored(low, "roots")
         torn = split.where("component <> top").select("node", "component")
-        parents = _flattened(split.select("node", "component"))
+        parents = _flattened(split)
         rest = stars.join(torn, "node").where("root <> component").select(F.col("root").alias("a"), F.col("component").alias("b"))
         if found is None:
             found = parents
@@ -90,8 +96,10 @@ def components(edges: DataFrame) -> DataFrame:
         edges = contracted(rest.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")))
 
 
-def _flattened(parents: DataFrame) -> DataFrame:
-    """Follows the parents until each node points to a root."""
+def _flattened(roots: DataFrame) -> DataFrame:
+    """Follows the stored roots until each node points to one that has none itself; a stored frame."""
+    parents = roots.select("node", "component")
+    parents._stored_at = roots._stored_at
     while True:
         deeper = parents.join(parents.select(F.col("node").alias("component"), F.col("component").alias("_up")), "component", "left")
         if deeper.where("_up is not null").isEmpty():

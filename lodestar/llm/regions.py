@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import stored
+from ._shared import kept, scratch, stored
+from ._text import tidy
 from .components import components
 
 PIVOTS = 4
@@ -83,25 +84,30 @@ def _compare(load: Load, linked: Linked) -> Callable[[Iterator[pa.RecordBatch]],
 def _run(deal: DataFrame, attach: Callable[[DataFrame], DataFrame], load: Load, linked: Linked) -> DataFrame:
     rows = attach(deal).select("region", "chunk", "block", "active", "known", "id", "payload")
     keys = ["region", "chunk", "block"]
-    return stored(rows.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(_compare(load, linked), _EDGES), "links")
+    return stored(rows.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(tidy(_compare(load, linked)), _EDGES), "links")
 
 
 def links(members: DataFrame, attach: Callable[[DataFrame], DataFrame], load: Load, linked: Linked, chunk: int) -> DataFrame:
     """Edges a, b that connect what the links connect.
 
-    members: region, id, weight (long). attach adds the column payload to a frame with the column id. chunk: the
-    weight that a task may hold of a region; one node may weigh more.
+    members: region, id, weight (long), none of them null; stored, and so may be empty. attach adds the column payload
+    to a frame with the column id. chunk: the weight that a task may hold of a region; one node may weigh more.
     """
+    with scratch():
+        return _links(members, attach, load, linked, chunk)
+
+
+def _links(members: DataFrame, attach: Callable[[DataFrame], DataFrame], load: Load, linked: Linked, chunk: int) -> DataFrame:
     large = stored(members.groupBy("region").agg(F.sum("weight").alias("_w")).where(F.col("_w") > chunk).select("region", F.ceil(F.col("_w") / chunk).alias("chunks")), "large")
     deal = members.join(large, "region", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     deal = deal.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")).withColumn("block", F.lit(0).cast("long")).withColumn("active", F.lit(True)).withColumn("known", F.col("id"))
     if large.isEmpty():
-        return _run(deal, attach, load, linked)
+        return kept(_run(deal, attach, load, linked))
     deal = stored(deal, "deal")
     nth = Window.partitionBy("region").orderBy("id")
     pivots = deal.where("chunks > 1").withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= PIVOTS).drop("_n")
     pivots = pivots.withColumn("_to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("_to <> chunk").withColumn("chunk", F.col("_to")).drop("_to")
-    first = _run(deal.unionByName(pivots), attach, load, linked)
+    first = kept(_run(deal.unionByName(pivots), attach, load, linked))
 
     joined = components(first)
     nodes = deal.where("chunks > 1").drop("known").join(joined.select(F.col("node").alias("id"), F.col("component").alias("known")), "id", "left").withColumn("known", F.coalesce("known", "id"))
@@ -116,4 +122,4 @@ def links(members: DataFrame, attach: Callable[[DataFrame], DataFrame], load: Lo
     asked = rest.withColumn("_to", each("chunks")).withColumn("chunk", F.col("_to")).withColumn("active", F.lit(True))
     held = nodes.join(blocks, "region").withColumn("_to", each("blocks")).withColumn("block", F.col("_to")).withColumn("active", F.lit(False))
     columns = ["region", "chunk", "block", "active", "known", "id"]
-    return first.unionByName(_run(asked.select(columns).unionByName(held.select(columns)), attach, load, linked))
+    return first.unionByName(kept(_run(asked.select(columns).unionByName(held.select(columns)), attach, load, linked)))
