@@ -6,13 +6,20 @@ blank line is left alone. Lines with equal words are one class. Two classes are
 words, 1 - distance / longer length in characters, is SIMILARITY or more, and they are candidates.
 Of each connected group the first occurrence stays, by doc_id and then line; the others are removed.
 
-Candidates share one of KEYS keys of their length's tier; a key is made of minimum hashes of the words' byte grams. A
-line just below a tier has the keys of both, so that no pair is parted by its lengths. This step is by chance: the
-README gives its recall. Candidates are dropped only where counts of their characters rule the similarity out.
-Connected candidates are a region for regions.links(), which confirms the links on the words.
+A line's SimHash has BLOCKS blocks of BITS bits. A hash deals the byte grams of the words to the blocks, about
+GRAMS to each; a bit of a block is the sign of its grams' sum, a block with less than LEAST grams is left out, and of a
+long line as many grams stay undealt as there are too many. An edit changes only blocks to which grams that it touches are
+dealt: while it leaves one block as it was, the two lines share that block (pigeonhole), and so are candidates. Blocks
+are of a tier of lengths; a line just below a tier has the blocks of both, so that no pair is parted by its lengths.
+Which grams share a block is chance: the README gives the recall. Of lines that share a block with few others,
+candidates are dropped only where counts of their characters rule the similarity out; those that share one with
+more than CROWD others are all taken. Connected candidates are a region for regions.links(), which confirms the links
+on the words.
 
 Null text stays null, with no lines; an empty text has one line, a blank one. Null doc_ids are an id of
-their own, before all others. Rows with equal doc_id and text are one document and get the same result.
+their own, before all others. Rows with equal doc_id and text are one document and get the same result. Very long texts
+and lines are taken whole. An empty table has no rows. Other columns are passed through by deduplicate(), whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,39 +32,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stored, unused
-from ._text import ALNUM, LOWER, NONSPACE, mix, pieces, released, word_bounds, word_hashes
+from ._shared import kept, scratch, small, stored, unused
+from ._text import ALNUM, LOWER, NONSPACE, mix, pieces, tidy, word_bounds, word_hashes
 from .components import components, forest
 from .regions import links
 
-#: A line counts from one word on, and SimHashes may differ in any of their bits: edit similarity alone decides.
-MIN_WORDS, MAX_BITS, SIMILARITY = 1, 64, 0.9
+SIMILARITY = 0.9
 #: Lines of fewer words keep their digits.
 FOLD = 5
-#: Characters from which a tier begins, the bytes of its grams, and the minimum hashes in one of its keys.
-TIERS, KEYS = ((10, 5, 1), (64, 7, 2), (200, 7, 3)), 12
+#: Of a SimHash: blocks, bits of one, grams dealt to one on average, and the least it must have.
+BLOCKS, BITS, GRAMS, LEAST = 12, 40, 4, 3
+#: Characters from which a tier begins: the shortest line that an edit can leave similar, then by this factor.
+FIRST, FACTOR, TIERS = 10, 1.6, 30
+#: Rows that share a block and are compared in pairs; more are compared by regions alone.
+CROWD = 2000
 #: Characters that a task may hold of a region.
-CHUNK = 8_000_000
+CHUNK = 1_000_000
 #: Characters that a line counts for besides its own: the counts of its pairs.
 WEIGHT = 512
-#: Rows of ids and numbers that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 _FOLD = LOWER.copy()
 _FOLD[48:58] = 48
 _FOLD_BYTES, _LOWER_BYTES = _FOLD.tobytes(), LOWER.tobytes()
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_FACTORS = (mix(np.arange(1, 3 * KEYS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 #: Of a character's last byte; letters have buckets of their own.
 _BUCKET = (np.arange(256) % 32).astype(np.int64)
 
 
-def _simhashes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The SimHash of each line's pairs of neighbouring words; at: where the lines begin and end, of two words or more."""
-    pairs = mix(words[:-1] * np.uint64(0x9FB21C651E98DF25) + words[1:] * np.uint64(0xD6E8FEB86659FD93))
-    pairs = pairs[np.delete(np.arange(len(pairs)), at[1:-1] - 1)]
-    first = at[:-1] - np.arange(len(at) - 1)
-    ones = np.add.reduceat(np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1), first, axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > (np.diff(at) - 1)[:, None], axis=1).view(np.int64).ravel()
+def gram_size(characters: int) -> int:
+    """Bytes of a gram for lines of a tier that begins there: long lines have most short grams in common."""
+    return 2 if characters < 25 else 4 if characters < 40 else 5 if characters < 100 else 7
+
+
+def _tiers() -> list[tuple[int, int, int]]:
+    """Characters from which each tier begins, bytes of its grams, and blocks to which all grams of a line are dealt."""
+    out, least = [], float(FIRST)
+    for _ in range(TIERS):
+        q = gram_size(int(least))
+        out.append((int(least), q, max(2, round((1.25 * int(least) - q + 2) / GRAMS))))
+        least *= FACTOR
+    return out
+
+
+_TIERS = _tiers()
 
 
 def _joined(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -79,43 +95,61 @@ def _characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return counts.sum(axis=1), (nibbles[:, ::2] | nibbles[:, 1::2] << 4).copy().view(np.int64)
 
 
-def _keys(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lines and their keys, in the order of the lines."""
-    lines, keys = [], []
+def _simhashes(cell: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells with LEAST grams or more, and the SimHash of the grams of each."""
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    count = np.diff(np.append(first, len(cell)))
+    bits = np.unpackbits(gram[order].view(np.uint8).reshape(-1, 8)[:, : BITS // 8], axis=1)
+    signs = np.packbits(2 * np.add.reduceat(bits, first, axis=0, dtype=np.int32) > count[:, None], axis=1)
+    out = np.zeros(len(first), np.uint64)
+    for k in range(BITS // 8):
+        out = out << np.uint64(8) | signs[:, k].astype(np.uint64)
+    full = count >= LEAST
+    return cell[first[full]], out[full]
+
+
+def blocks_of(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines data[at[k]:at[k + 1]] of length characters, and the blocks of their SimHashes, in the order of the lines."""
+    lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     hashes: dict[int, np.ndarray] = {}
-    for tier, (least, q, r) in enumerate(TIERS):
-        most = TIERS[tier + 1][0] if tier + 1 < len(TIERS) else np.inf
-        rows = np.flatnonzero((length >= SIMILARITY * least - 1e-9) & (length < most))
-        rows = rows[np.diff(at)[rows] > q]
+    for tier, (least, q, dealt) in enumerate(_TIERS):
+        most = _TIERS[tier + 1][0] if tier + 1 < TIERS else np.inf
+        rows = np.flatnonzero((length >= SIMILARITY * least - 1e-9) & (length < most) & (np.diff(at) >= q))
         if not len(rows):
             continue
         if q not in hashes:
             h = np.zeros(len(data) - q + 1, np.uint64)
             for k in range(q):
                 h = h * np.uint64(0x100000001B3) + data[k : k + len(h)]
-            hashes[q] = (mix(h) >> np.uint64(32)).astype(np.uint32)
+            hashes[q] = mix(h)
         size = at[rows + 1] - at[rows] - q + 1
         first = np.cumsum(size) - size
-        grams = hashes[q][np.arange(first[-1] + size[-1]) + np.repeat(at[rows] - first, size)]
-        for k in range(KEYS):
-            key = np.full(len(rows), k + 1, np.uint64)
-            for n in range(r):
-                key = mix(key * np.uint64(0x9FB21C651E98DF25) + np.minimum.reduceat(grams * _FACTORS[r * k + n], first))
-            lines.append(rows)
-            keys.append((key >> np.uint64(24) | np.uint64(tier * KEYS + k) << np.uint64(40)).view(np.int64))
-    if not lines:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lines, keys = np.concatenate(lines), np.concatenate(keys)
-    order = np.argsort(lines, kind="stable")
-    return lines[order], keys[order]
+        grams = hashes[q][np.arange(size.sum()) + np.repeat(at[rows] - first, size)]
+        line = np.repeat(np.arange(len(rows)), size)
+        for done in range(0, BLOCKS, dealt):  # short lines have few grams: they are dealt several times
+            gram = mix(grams + np.uint64(done * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            count = min(dealt, BLOCKS - done)
+            block = ((gram >> np.uint64(40)) * np.uint64(dealt) >> np.uint64(24)).astype(np.int64)
+            mine = np.flatnonzero(block < count)
+            if len(mine):
+                cell, bits = _simhashes(line[mine] * count + block[mine], gram[mine] * np.uint64(0x9FB21C651E98DF25))
+                lines.append(rows[cell // count])
+                keys.append(bits | (np.uint64(tier * BLOCKS + done) + (cell % count).astype(np.uint64)) << np.uint64(BITS))
+    line, key = np.concatenate(lines), np.concatenate(keys).view(np.int64)
+    order = np.argsort(line, kind="stable")
+    return line[order], key[order]
 
 
 _OCCURRENCE = "text_hash long, line int, k1 long, k2 long, length int, c1 long, c2 long, keys array<long>, size long"
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text_hash, line, two hashes of the words, characters and their counts, keys, the bytes; for each line that counts."""
-    released()
+    """doc_id, text_hash, line, two hashes of the words, characters and their counts, blocks, the bytes; for each line that counts.
+
+    A line that occurs again soon has no blocks: those of its first occurrence do.
+    """
     for batch in batches:
         for first, _, data, offsets in pieces(batch.column(2)):
             cuts = np.union1d(offsets, np.flatnonzero(data == 10) + 1)
@@ -129,7 +163,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 inside = ALNUM[data] | NONSPACE[data] & np.repeat(bare, np.diff(cuts))
                 starts, ends = word_bounds(inside.view(np.uint8), offsets, np.array([False, True]))
                 size = np.diff(np.searchsorted(starts, cuts))
-            rows = np.flatnonzero(size >= MIN_WORDS)
+            rows = np.flatnonzero(size)
             if not len(rows):
                 continue
             folded = np.where(np.repeat(size >= FOLD, np.diff(cuts)), _FOLD[data], LOWER[data])
@@ -143,7 +177,10 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.concatenate([[0], np.cumsum(ends - starts + 1)])[at]
             length, counts = _characters(joined, at)
             length -= 1  # the blank at the end
-            of, keys = _keys(joined, at, length)
+            of, keys = blocks_of(joined, at, length)
+            new = np.zeros(len(rows), bool)
+            new[np.unique(k1, return_index=True)[1]] = True
+            of, keys = of[new[of]], keys[new[of]]
             keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(rows) + 1)), pa.int32()), pa.array(keys))
             take = pa.array(first + doc[rows])
             columns = [line[rows].astype(np.int32), k1.view(np.int64), k2.view(np.int64), length.astype(np.int32), counts[:, 0], counts[:, 1]]
@@ -155,46 +192,107 @@ def _most(longer: np.ndarray) -> np.ndarray:
     return np.floor((1 - SIMILARITY) * longer + 1e-6).astype(np.int64)
 
 
+def _counts(c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+    """The 32 counts of each row."""
+    packed = np.stack([c1, c2], 1).view(np.uint8)
+    return np.concatenate([packed & 15, packed >> 4], axis=1)
+
+
+def _possible(length: np.ndarray, counts: np.ndarray, i, j: np.ndarray) -> np.ndarray:
+    """Whether the characters of rows i and j allow for them to be similar; each j is at least as long as its i."""
+    gap = (counts[i] - counts[j]) & 15
+    most = _most(length[j])
+    return (length[i] >= length[j] - most) & (np.minimum(gap, 16 - gap).sum(axis=1, dtype=np.int64) <= 2 * most)
+
+
+def _pairs(key: np.ndarray, length: np.ndarray, node: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates among rows in the order of key and length, each with those after it of its key."""
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    end = np.repeat(np.append(new[1:], len(key)), np.diff(np.append(new, len(key))))
+    active, step = np.arange(len(key)), 1
+    while True:
+        active = active[active + step < end[active]]
+        active = active[length[active] >= length[active + step] - _most(length[active + step])]
+        if not len(active):
+            return
+        for lo in range(0, len(active), 1 << 16):
+            i = active[lo : lo + (1 << 16)]
+            i = i[_possible(length, counts, i, i + step)]
+            yield node[i], node[i + step]
+        step += 1
+
+
+def _joined_up(length: np.ndarray, node: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges that connect the candidates among rows of one key, in the order of length: a row is compared with those not yet connected with it."""
+    label = np.arange(len(node))
+    for i in range(len(node) - 1):
+        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        j = j[_possible(length, counts, i, j)]
+        if len(j):
+            names, where = np.unique(label[j], return_index=True)
+            yield np.full(len(where), node[i]), node[j[where]]
+            label[np.isin(label, names)] = label[i]
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For rows (key, length, id, c1, c2) in the order of the first two: edges that connect the candidates."""
     rest: list[np.ndarray] = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64, np.int64)]
-
-    def edges(key: np.ndarray, length: np.ndarray, node: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> Iterator[pa.RecordBatch]:
+    crowd: int | None = None  # the key of the rows held, if there have been more than CROWD
+
+    def found(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for a, b in pairs:
+            held.append((a, b))
+            size += len(a)
+            if size > 400_000:
+                held = [forest(*(np.concatenate(x) for x in zip(*held)))]
+                size = len(held[0][0])
+                if size > 200_000:
+                    yield batch_of(*held.pop())
+                    size = 0
+        if size:
+            yield batch_of(*forest(*(np.concatenate(x) for x in zip(*held))))
+
+    def batch_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def pairs(rows: list[np.ndarray], crowded: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of whole keys; crowded: the first key has other rows besides."""
+        key, length, node, c1, c2 = rows
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        end = np.repeat(np.append(new[1:], len(key)), np.diff(np.append(new, len(key))))
-        packed = np.stack([c1, c2], 1).view(np.uint8)
-        counts = np.concatenate([packed & 15, packed >> 4], axis=1)
-        a, b, held = [], [], 0
-        active, step = np.arange(len(key)), 1
-        while True:
-            active = active[active + step < end[active]]
-            active = active[length[active] >= length[active + step] - _most(length[active + step])]
-            if not len(active):
-                break
-            for lo in range(0, len(active), 1 << 16):
-                i = active[lo : lo + (1 << 16)]
-                gap = (counts[i] - counts[i + step]) & 15
-                gap = np.minimum(gap, 16 - gap).sum(axis=1, dtype=np.int64)
-                i = i[gap <= 2 * _most(length[i + step])]
-                a.append(node[i]), b.append(node[i + step])
-                held += len(i)
-            if held > 400_000:
-                p, q = forest(np.concatenate(a), np.concatenate(b))
-                a, b, held = [p], [q], 0
-            step += 1
-        if a:
-            p, q = forest(np.concatenate(a), np.concatenate(b))
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], ["a", "b"])
+        size = np.diff(np.append(new, len(key)))
+        many = size > 64
+        if crowded:
+            many[0] = True
+        few = np.repeat(~many, size)
+        yield from _pairs(key[few], length[few], node[few], _counts(c1[few], c2[few]))
+        for k in np.flatnonzero(many).tolist():
+            at = slice(new[k], new[k] + size[k])
+            if size[k] > CROWD or crowded and k == 0:
+                near = np.flatnonzero(length[at][:-1] >= length[at][1:] - _most(length[at][1:]))
+                yield node[at][near], node[at][near + 1]
+            else:
+                yield from _joined_up(length[at], node[at], _counts(c1[at], c2[at]))
 
     for batch in batches:
-        now = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns)]
-        earlier = np.flatnonzero(now[0] != now[0][-1])
+        if not batch.num_rows:
+            continue
+        rows = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns)]
+        once = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[2][1:] != rows[2][:-1])])
+        rows = [x[once] for x in rows]
+        earlier = np.flatnonzero(rows[0] != rows[0][-1])
         last = int(earlier[-1]) + 1 if len(earlier) else 0
-        rest = [x[last:] for x in now]
+        crowded = crowd is not None and crowd == int(rows[0][0])
         if last:
-            yield from edges(*(x[:last] for x in now))
+            yield from found(pairs([x[:last] for x in rows], crowded))
+            crowded, crowd = False, None
+        rest = [x[last:] for x in rows]
+        if crowded or len(rest[0]) > CROWD:  # linked in a row, so that the last is all there is to keep
+            crowd = int(rest[0][0])
+            yield from found(pairs(rest, True))
+            rest = [x[-1:] for x in rest]
     if len(rest[0]):
-        yield from edges(*rest)
+        yield from found(pairs(rest, crowd is not None))
 
 
 def distance(a: str, b: str) -> int:
@@ -232,13 +330,6 @@ def words_of(line: str) -> str:
     return (joined.translate(_FOLD_BYTES) if len(words) >= FOLD else joined).decode()
 
 
-def simhash(line: str) -> int:
-    """The SimHash of a line of two words or more; no candidates come from it."""
-    data = _FOLD[np.frombuffer(line.encode(), np.uint8)]
-    starts, ends = word_bounds(data, np.array([0, len(data)]), ALNUM)
-    return int(_simhashes(word_hashes(data, starts, ends), np.array([0, len(starts)]))[0])
-
-
 def _load(column: pa.Array) -> list[tuple[str, np.ndarray]]:
     """The words of lines, and how many pairs of neighbouring characters fall in each of 256 buckets."""
     out = []
@@ -268,19 +359,24 @@ def _linked(items: list[tuple[str, np.ndarray]]):
 
 
 def removals(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, text_hash and number, from 0, of each line to remove."""
+    """doc_id, text_hash and number, from 0, of each line to remove; stored."""
+    with scratch():
+        return kept(stored(_removals(docs, chunk), "removals"))
+
+
+def _removals(docs: DataFrame, chunk: int) -> DataFrame:
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
-    seen = stored(docs.mapInArrow(_occurrences, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_OCCURRENCE}"), "occurrences")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    seen = stored(docs.mapInArrow(tidy(_occurrences), f"doc_id {kind}, {_OCCURRENCE}"), "occurrences")
     place = F.struct("doc_id", "text_hash", "line")
-    once = [F.first(c).alias(c) for c in ("length", "c1", "c2", "keys")]
-    classes = stored(seen.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.min(place).alias("_a"), F.max(place).alias("_b"), *once, F.max("size").alias("weight")).withColumn("many", F.col("_a") != F.col("_b")).drop("_a", "_b"), "classes")
+    classes = stored(seen.groupBy("k1", "k2").agg(F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("many"), F.max("size").alias("weight")), "classes")
 
-    keyed = classes.select(F.explode("keys").alias("key"), "length", F.col("k1").alias("id"), "c1", "c2").repartition("key")
-    found = components(keyed.sortWithinPartitions("key", "length").mapInArrow(_near, "a long, b long")).select(F.col("node").alias("id"), F.col("component").alias("region"))
+    keyed = seen.select(F.explode("keys").alias("key"), "length", F.col("k1").alias("id"), "c1", "c2").repartition("key")
+    found = components(keyed.sortWithinPartitions("key", "length", "id").mapInArrow(tidy(_near), "a long, b long")).select(F.col("node").alias("id"), F.col("component").alias("region"))
     found = stored(found.unionByName(found.select(F.col("region").alias("id"), "region").distinct()), "regions")
     members = classes.select(F.col("k1").alias("id"), (F.col("weight") + WEIGHT).alias("weight"), "first")
-    members = stored(members.join(_small(found), "id").select("region", "id", "weight", "first"), "members")
-    few = members.count() <= BROADCAST_ROWS
+    members = stored(members.join(_small(found, 32), "id").select("region", "id", "weight", "first"), "members")
+    few = small(members, 128)
 
     def attach(deal: DataFrame) -> DataFrame:
         need = deal.join(members.select("id", "first.*").dropDuplicates(["id"]), "id")
@@ -290,30 +386,31 @@ def removals(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     edges = links(members.select("region", "id", "weight"), attach, _load, _linked, chunk)
     groups = components(edges).select(F.col("node").alias("k1"), F.col("component").alias("group"))
     groups = stored(groups.unionByName(groups.select(F.col("group").alias("k1"), "group").distinct()), "groups")
-    fuzzy = classes.join(_small(groups), "k1").select("k1", "k2", "first", "group")
+    fuzzy = classes.join(_small(groups, 32), "k1").select("k1", "k2", "first", "group")
     keep = fuzzy.groupBy("group").agg(F.min("first").alias("keeper"))
     affected = fuzzy.join(keep, "group").select("k1", "k2", "keeper")
-    affected = affected.unionByName(classes.where("many").join(_small(groups), "k1", "left_anti").select("k1", "k2", F.col("first").alias("keeper")))
-    affected = _small(stored(affected, "affected"))
+    affected = affected.unionByName(classes.where("many").join(_small(groups, 32), "k1", "left_anti").select("k1", "k2", F.col("first").alias("keeper")))
+    affected = _small(stored(affected, "affected"), 80)
     lost = seen.join(affected, ["k1", "k2"]).where(~place.eqNullSafe(F.col("keeper")))
     return lost.select("doc_id", "text_hash", "line").distinct()
 
 
-def _small(frame: DataFrame) -> DataFrame:
+def _small(frame: DataFrame, row_bytes: int) -> DataFrame:
     """A stored table, to be broadcast if it is known to be small."""
-    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+    return F.broadcast(frame) if small(frame, row_bytes) else frame
 
 
 def deduplicate(docs: DataFrame, removed: str = "_removed") -> DataFrame:
-    """docs without the lines to remove; removed: a further column with their numbers."""
-    lost = stored(removals(docs), "removals")
-    cut = lost.groupBy(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash")).agg(F.sort_array(F.collect_list("line")).alias(removed))
-    cut = F.broadcast(cut) if lost.count() <= BROADCAST_ROWS else cut
-    key = unused(docs, "_text_hash")
-    out = docs.withColumn(key, F.xxhash64("text"))
-    out = out.join(cut, [out["doc_id"].eqNullSafe(cut["_cut_id"]), out[key] == cut["_cut_hash"], out["text"].isNotNull()], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(removed, i)), "\n")
-    return out.withColumn("text", F.when(F.col(removed).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns, F.coalesce(removed, F.array().cast("array<int>")).alias(removed))
+    """docs without the lines to remove; removed: a further column with their numbers, named with underscores if need be."""
+    removed = unused(docs, removed)
+    lost = removals(docs)
+    cut = lost.groupBy(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash")).agg(F.sort_array(F.collect_list("line")).alias("_cut"))
+    cut = F.broadcast(cut) if small(lost, 64) else cut
+    columns = [docs[c] for c in docs.columns]
+    out = docs.join(cut, [docs["doc_id"].eqNullSafe(cut["_cut_id"]), F.xxhash64(docs["text"]) == cut["_cut_hash"], docs["text"].isNotNull()], "left")
+    left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda _, i: ~F.array_contains(cut["_cut"], i)), "\n")
+    text = F.when(cut["_cut"].isNull(), docs["text"]).otherwise(left).alias("text")
+    return out.select(*[text if name == "text" else column for name, column in zip(docs.columns, columns)], F.coalesce(cut["_cut"], F.array().cast("array<int>")).alias(removed))
 
 
 def report(docs: DataFrame) -> DataFrame:
