@@ -22,7 +22,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 @dataclass
 class Tagger:
-    """w: weights by name. x: windows x characters, classes of characters; class 0 is padding."""
+    """w: weights by name. x: windows x characters, classes of characters; class 0 is padding, at a window's end."""
 
     w: dict[str, np.ndarray]
 
@@ -67,7 +67,69 @@ class Tagger:
         return np.concatenate([out[0], out[1]], axis=2).transpose(1, 0, 2), held
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        return self._states(x, False)[0] @ self.w["out"] + self.w["out_bias"]
+        """Labels x characters x windows. Padding has label 0, and what precedes it does not depend on how much there is."""
+        n, length = x.shape
+        hidden, labels = self.w["inner"].shape[1], self.w["out"].shape[1]
+        # a sigmoid is half of 1 + tanh of half; cells and states are kept doubled, so that the halves need no pass of their own
+        half = np.append(np.full(3 * hidden, 0.5), np.ones(hidden)).astype(np.float32)
+        table, inner, out = (self.w["table"] + self.w["bias"]) * half, self.w["inner"] * half * np.float32(0.5), self.w["out"] * np.float32(0.5)
+        by_gate = lambda w: np.ascontiguousarray(w.reshape(-1, 4, hidden).transpose(1, 0, 2), np.float32)
+        total = np.zeros((labels, length * n), np.float32)
+        states = np.empty((length, n, hidden), np.float32)
+        gates, drawn, part = np.empty((4, n, hidden), np.float32), np.empty((4, n, hidden), np.float32), np.empty((n, hidden), np.float32)
+        i, f, o, g = gates
+        by_step = np.ascontiguousarray(x.T)
+        there = by_step != 0
+        padded = ~there.all(axis=1)
+        for d in (0, 1):
+            own, back = by_gate(table[d]), by_gate(inner[d])
+            h, c = np.zeros((n, hidden), np.float32), np.zeros((n, hidden), np.float32)
+            for t in range(length) if d == 0 else range(length - 1, -1, -1):
+                np.matmul(h, back, out=gates)
+                own.take(by_step[t], axis=1, out=drawn, mode="clip")
+                gates += drawn
+                np.tanh(gates, out=gates)
+                np.multiply(f, c, out=part)
+                c += part
+                c *= 0.5
+                i += 1
+                i *= g
+                c += i
+                h = states[t]
+                if padded[t]:
+                    c *= there[t][:, None]
+                np.multiply(c, 0.5, out=part)
+                np.tanh(part, out=part)
+                o += 1
+                np.multiply(o, part, out=h)
+            total += out[d * hidden : (d + 1) * hidden].T.astype(np.float32) @ states.reshape(-1, hidden).T
+        total = total.reshape(labels, length, n)
+        total += self.w["out_bias"].astype(np.float32)[:, None, None]
+        total[0][~there] = 0
+        total[1:, ~there] = -1e4
+        return total
+
+    def _stretches(self, e: np.ndarray) -> list[tuple[int, int, int]]:
+        """Window, start and end of each stretch outside which its best labels are 0: no run of other labels there makes
+        up for itself, even at its very best. With a character of label 0 on either side, where there is one."""
+        a = self.w["step"]
+        gain = np.maximum.reduce(list(e[1:])) - e[0]
+        enter, leave, stay = a[0, 1:].max() - a[0, 0], a[1:, 0].max() - a[0, 0], a[1:, 1:].max() - a[0, 0]
+        length = len(gain)
+        ending = np.empty_like(gain)  # the most that a run ending here can gain, its beginning paid for
+        ending[0] = run = gain[0]
+        for t in range(1, length):
+            ending[t] = run = gain[t] + np.maximum(run + stay, enter)
+        some = np.flatnonzero((ending + leave).max(axis=0) > 0) if leave < 0 else np.arange(gain.shape[1])
+        gain, ending = gain[:, some], ending[:, some]
+        inside = np.zeros((len(some), length + 2), bool)
+        run = gain[-1]
+        for t in range(length - 1, -1, -1):
+            run = gain[t] + np.maximum(run + stay, leave) if t < length - 1 else run
+            inside[:, t + 1] = ending[t] + run - gain[t] > 0
+        window, start = np.nonzero(inside[:, 1:] & ~inside[:, :-1])
+        _, end = np.nonzero(inside[:, :-1] & ~inside[:, 1:])
+        return list(zip(some[window].tolist(), np.maximum(start - 1, 0).tolist(), np.minimum(end + 1, length).tolist()))
 
     def _sums(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The CRF's forward and backward sums and the logarithm of the total, for emissions."""
@@ -99,22 +161,22 @@ class Tagger:
         hidden = self.w["inner"].shape[1]
         ds = (de @ self.w["out"].T).transpose(1, 0, 2)
         dh_out = np.stack([ds[:, :, :hidden], ds[::-1, :, hidden:]])
-        table, inner = np.zeros_like(self.w["table"]), np.zeros_like(self.w["inner"])
-        bias = np.zeros_like(self.w["bias"])
         both = np.stack([x, x[:, ::-1]])
         dh, dc = np.zeros((2, n, hidden), np.float32), np.zeros((2, n, hidden), np.float32)
         back = self.w["inner"].transpose(0, 2, 1)
+        slopes = np.empty((2, length, n, 4 * hidden), de.dtype)
         for t in range(length - 1, -1, -1):
-            h, c, i, f, o, g, tanh_c = held[t]
+            _, c, i, f, o, g, tanh_c = held[t]
             dh = dh + dh_out[:, t]
             dc = dc + dh * o * (1 - tanh_c**2)
-            dg = np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), dh * tanh_c * o * (1 - o), dc * i * (1 - g**2)], axis=2)
-            for d in (0, 1):
-                np.add.at(table[d], both[d, :, t], dg[d])
-            inner += np.matmul(h.transpose(0, 2, 1), dg)
-            bias += dg.sum(axis=1, keepdims=True)
+            dg = slopes[:, t]
+            np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), dh * tanh_c * o * (1 - o), dc * i * (1 - g**2)], axis=2, out=dg)
             dh, dc = np.matmul(dg, back), dc * f
-        return float((z - gold).mean()), grad | {"table": table, "inner": inner, "bias": bias}
+        flat = slopes.reshape(2, length * n, -1)
+        entered = np.stack([h[0] for h in held], axis=1).reshape(2, length * n, hidden)
+        classes = np.arange(self.w["table"].shape[1])
+        table = np.stack([(classes[:, None] == both[d].T.ravel()).astype(de.dtype) @ flat[d] for d in (0, 1)])
+        return float((z - gold).mean()), grad | {"table": table, "inner": np.matmul(entered.transpose(0, 2, 1), flat), "bias": flat.sum(axis=1, keepdims=True)}
 
     def train(self, x: np.ndarray, y: np.ndarray, steps: int, batch: int, rate: float, seed: int) -> float:
         """The last steps' mean loss."""
@@ -135,23 +197,53 @@ class Tagger:
                 self.w[k] -= now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
         return float(np.mean(losses[-20:]))
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best labels of each window, and the probability of each; 1 where a window has label 0 alone."""
-        e, a = self.emissions(x), self.w["step"]
-        n, length, labels = e.shape
-        score, back = e[:, 0], np.empty((length, n, labels), np.int8)
+    def _best(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best labels for emissions, characters x labels x stretches, and the probability of each."""
+        a = self.w["step"][:, :, None]
+        length, labels, n = e.shape
+        score, back = e[0], np.empty((length, labels, n), np.int8)
         for t in range(1, length):
-            total = score[:, :, None] + a
-            back[t] = total.argmax(axis=1)
-            score = np.take_along_axis(total, back[t][:, None, :].astype(np.intp), 1)[:, 0] + e[:, t]
-        best = np.empty((n, length), np.int64)
-        best[:, -1] = score.argmax(axis=1)
+            total = score[:, None] + a
+            back[t] = total.argmax(axis=0)
+            score = total.max(axis=0) + e[t]
+        best, every = np.empty((length, n), np.int64), np.arange(n)
+        best[-1] = score.argmax(axis=0)
         for t in range(length - 1, 0, -1):
-            best[:, t - 1] = back[t][np.arange(n), best[:, t]]
-        sure = np.ones((n, length), np.float32)
-        some = np.flatnonzero(best.any(axis=1))
-        if len(some):
-            alpha, beta, z = self._sums(e[some])
-            p = np.exp(alpha + beta - z[:, None, None])
-            sure[some] = np.take_along_axis(p, best[some][:, :, None], 2)[:, :, 0]
+            best[t - 1] = back[t][best[t], every]
+        sure = np.ones((length, n), np.float32)
+        some = np.flatnonzero(best.any(axis=0))
+        if len(some):  # what comes before and after each character, scaled to a sum of 1
+            weight, step = np.exp(e[:, :, some] - e[:, :, some].max(axis=1, keepdims=True)), np.exp(self.w["step"])
+            before, after = np.empty_like(weight), np.ones_like(weight)
+            before[0] = weight[0] / weight[0].sum(axis=0)
+            for t in range(1, length):
+                now = (step.T @ before[t - 1]) * weight[t]
+                before[t] = now / now.sum(axis=0)
+            for t in range(length - 2, -1, -1):
+                now = step @ (weight[t + 1] * after[t + 1])
+                after[t] = now / now.sum(axis=0)
+            both = before * after
+            sure[:, some] = np.take_along_axis(both / both.sum(axis=1, keepdims=True), best[:, None, some], 1)[:, 0]
+        return best, sure
+
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best labels of each window, and the probability of each; 1 beyond the stretches that may have any but 0."""
+        e = self.emissions(x)
+        best, sure = np.zeros(x.shape, np.int64), np.ones(x.shape, np.float32)
+        todo = sorted(self._stretches(e), key=lambda s: s[2] - s[1])
+        at = 0
+        while at < len(todo):
+            _, start, end = todo[min(at + 1023, len(todo) - 1)]
+            part = todo[at : at + max(1, min(1024, 200_000 // (end - start + 1)))]
+            at += len(part)
+            longest = max(end - start for _, start, end in part)
+            rows = np.zeros((longest + 1, e.shape[0], len(part)), np.float32)
+            rows[:, 1:] = -1e4
+            for k, (window, start, end) in enumerate(part):
+                rows[: end - start, :, k] = e[:, start:end, window].T
+                if start:  # label 0, as before it
+                    rows[0, 1:, k] = -1e4
+            labels, chance = self._best(rows)
+            for k, (window, start, end) in enumerate(part):
+                best[window, start:end], sure[window, start:end] = labels[: end - start, k], chance[: end - start, k]
         return best, sure

@@ -2,18 +2,22 @@
 
 The base kinds are patterns for e-mail addresses, IP addresses, payment cards and phone numbers. The model, a
 bidirectional LSTM over characters with CRF transitions, is trained in numpy from labelled spans that
-training_texts() makes by rule. A text is cut into overlapping windows; each is decoded by itself, and
-of all the windows' spans the set without overlaps and with the largest total score stays. A window in
-which no character of TRIGGERS occurs is not decoded: a span without one is never reported. Model spans that touch a
-base span or score below SURE are left out; base spans always stay.
-
-A null or empty text has none. Very long texts take time in proportion. Repeated rows get equal spans. Columns
-other than text are passed through.
+training_texts() makes by rule: written-out and masked forms, among prose and things that look alike. A text is cut
+into windows of WINDOW characters that overlap by OVERLAP, and every window is decoded, so that a span of up to OVERLAP
+characters lies whole in one of them. Then the windows are reconciled over the whole text: spans of a kind that
+touch a window's edge and overlap those of the next window are joined, and of all spans the set without overlaps and
+with the largest total score stays. Model spans that touch a base span, score below SURE, or have fewer digits or
+signs than any span of their kind are left out; base spans always stay.
+
+A null or empty text has none. Very long texts take time in proportion. Repeated rows get equal spans; of equally good
+sets of spans the one that ends first is taken. An empty table has no rows. Columns other than text are passed through;
+the column of spans is named with underscores if its name is taken.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -24,11 +28,11 @@ from .bilstm_crf import Tagger
 from .spans import Span, digest, found, ordered, redact
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, SURE = 96, 48, 0.9
-TRIGGERS = re.compile(r"[0-9@\[(]")
-HIDDEN, STEPS, TEXTS = 16, 700, 4000
+WINDOW, OVERLAP, SURE = 1024, 64, 0.9
+#: Characters of a training window, hidden units, and how long to train on how many texts.
+TAUGHT, HIDDEN, STEPS, TEXTS = 128, 16, 900, 6000
 #: Windows decoded at a time.
-BATCH = 1024
+BATCH = 512
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
@@ -91,69 +95,133 @@ def classes(text: str) -> np.ndarray:
     return np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], 97)
 
 
-def training_texts(count: int = TEXTS, seed: int = 11) -> list[tuple[str, list[Span]]]:
-    """Invented texts with their labelled spans, in the written forms that the patterns miss as well as those they find."""
-    rng = np.random.default_rng(seed)
-    pick = lambda *options: options[int(rng.integers(len(options)))]
-    number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-    letters = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
-
-    def word() -> str:
-        w = letters(int(rng.integers(1, 10)))
-        return pick(w, w, w, w.title(), w.replace("a", "é").replace("o", "ü"), w + pick(",", ".", ";", ":", "***", "%%%", "###"))
-
-    def card() -> str:
-        body = number(15)
+#: Words that training texts mix with invented ones, so that prose about times, places and numbers is known to be none.
+_PROSE = (
+    "the of and to in is that it was for on are with as be at one two three four five six seven eight nine zero ten dot com point "
+    "from this have by not but what all were when we there can an your which their said if do will each about how up out them then "
+    "mail phone card address call write meet look arrived stay noon home work school least first once night page number "
+    "der die das und ist nicht ein eine mit auf von zu den im an bei um le la les des un une est dans pour que qui sur el los las del por con para una"
+).split()
+_DIGITS = "zero one two three four five six seven eight nine".split()
+_ENDS = "com org net de fr es co.uk info example.com io edu".split()
+
+
+class _Maker:
+    """Invented texts and values."""
+
+    def __init__(self, seed: int) -> None:
+        self.rng = np.random.default_rng(seed)
+
+    def pick(self, *options):
+        return options[int(self.rng.integers(len(options)))]
+
+    def upto(self, low: int, high: int) -> int:
+        return int(self.rng.integers(low, high))
+
+    def number(self, n: int) -> str:
+        return "".join(map(str, self.rng.integers(0, 10, n)))
+
+    def letters(self, low: int, high: int) -> str:
+        if self.rng.random() < 0.5:
+            return "".join(chr(97 + c) for c in self.rng.integers(0, 26, self.upto(low, high)))
+        return "".join(self.pick(*"bcdfghklmnprstvwz") + self.pick(*"aeiou") for _ in range(max(1, self.upto(low, high) // 2 + 1)))
+
+    def word(self) -> str:
+        w = self.pick(*_PROSE) if self.rng.random() < 0.5 else self.letters(1, 10)
+        w = self.pick(w, w, w, w, w, w.title(), w.upper(), w.replace("a", "é").replace("o", "ü"))
+        return w + self.pick("", "", "", "", "", ",", ".", ";", ":", "!", "***", "%%%", "###")
+
+    def user(self) -> str:
+        a, b = self.letters(2, 9), self.letters(2, 9)
+        return self.pick(a, a + self.number(2), f"{a}.{b}", f"{a}_{b}", f"{a}-{b}", f"{a[0]}.{b}", f"{a}.{self.number(2)}")
+
+    def email(self) -> str:
+        user, host, end = self.user(), self.letters(3, 10), self.pick(*_ENDS)
+        name = f"{host}.{end}"
+        case = self.pick(str, str, str.upper, str.title)
+        at, dot = case("at"), case("dot")
+        opened, closed = self.pick("()", "[]", "{}", "<>")
+        spelled = self.pick(f" {dot} ", f" {opened}{dot}{closed} ", f"{opened}{dot}{closed}", f" {opened}.{closed} ")
+        said = user.replace(".", f" {dot} ") if spelled == f" {dot} " and self.rng.random() < 0.5 else user
+        form = self.upto(0, 8)
+        if form == 0:
+            return f"{user}@{name}"
+        if form == 1:
+            return f"{user}{self.pick(' @ ', ' @', '@ ')}{name}"
+        if form == 2:
+            return f"{user}{opened}{at}{closed}{name}"
+        if form == 3:
+            return f"{user} {opened}{at}{closed} {name}"
+        if form == 4:
+            return f"{user}{opened}{at}{closed}{name.replace('.', f'{opened}{dot}{closed}')}"
+        if form == 5:
+            return f"{user} {opened}{at}{closed} {name.replace('.', spelled)}"
+        if form == 6 and ("." in user or any(c in "0123456789" for c in user)):
+            return f"{user} {at} {name}"
+        return f"{said} {at} {name.replace('.', f' {dot} ')}"
+
+    def card(self) -> str:
+        body = self.number(15)
         digits = next(body + str(d) for d in range(10) if luhn(body + str(d)))
-        sep = pick("", " ", "-", ".")
-        return sep.join(digits[i : i + 4] for i in range(0, 16, 4))
-
-    def email() -> str:
-        user, host, end = letters(int(rng.integers(2, 9))) + pick("", number(2), "." + letters(4)), letters(int(rng.integers(3, 9))), pick("com", "org", "net", "example.com", "de")
-        return pick(f"{user}@{host}.{end}", f"{user} (at) {host}.{end}", f"{user}[at]{host}[dot]{end}", f"{user} [at] {host} [dot] {end}", f"{user} @ {host}.{end}", f"{user}.{number(2)}@mail{number(1)}.{host}.{end}")
-
-    def ip() -> str:
-        parts = [str(p) for p in rng.integers(0, 256, 4)]
-        return pick(".".join(parts), ".".join(parts), "[.]".join(parts), ".".join(parts) + "/24")
+        return self.pick("", " ", "-", ".", "_", "/", " - ", "  ").join(digits[i : i + 4] for i in range(0, 16, 4))
+
+    def ip(self) -> str:
+        parts = [str(p) for p in self.rng.integers(0, 256, 4)]
+        dot = self.pick("dot", "DOT", "point")
+        return self.pick(".", ".", "[.]", "(.)", f" {dot} ", f"[{dot}]", f"({dot})", " . ").join(parts) + self.pick("", "", "", "/24")
+
+    def phone(self) -> str:
+        a, b, c = self.number(3), self.number(3), self.number(4)
+        if self.rng.random() < 0.25:
+            said = [_DIGITS[int(d)] for d in self.number(self.upto(7, 12))]
+            return self.pick(str, str, str.upper, str.title)(self.pick(" ", " ", "-", ", ").join(said))
+        return self.pick(f"+{self.number(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"({a}){b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{self.number(2)} {a} {b}{c}", f"0{a}/{b}{c}", f"0{a} {b} {c}", f"+{self.number(2)}-{a}-{b}-{c}", f"+1 ({a}) {b}-{c}")
+
+    def other(self) -> str:
+        a, n = self.letters, self.number
+        return self.pick(
+            n(self.upto(1, 6)), f"20{n(2)}-0{n(1)}-1{n(1)}", f"1{n(1)}:{n(2)}", f"v{n(1)}.{n(1)}.{n(2)}", f"{n(2)}.{n(2)}", f"[{n(2)}]", f"({a(2, 6)})", f"${n(3)}.00",
+            "".join("0123456789abcdef"[c] for c in self.rng.integers(0, 16, self.upto(8, 64))), f"AKIA{a(6, 10).upper()}{n(8)}", f"password={a(3, 7)}{n(4)}", f"{a(2, 6)}@{a(2, 5)}",
+            f"https://{a(3, 9)}.{self.pick(*_ENDS)}/{n(4)}", f"{a(3, 9)}.{self.pick(*_ENDS)}", f"{self.pick('look', 'meet', 'stay', 'arrived', 'call')} at {a(3, 9)}.{self.pick(*_ENDS)}", f"at {n(2)}:{n(2)}",
+            n(self.upto(20, 40)), f"{n(1)}.{n(1)}.{n(1)}.{n(1)}.{n(1)}", f"({n(4)})", f"§ {n(3)}", f"{n(3)},{n(3)}", f"x{n(10)}", f"{n(2)}, {n(2)}, {n(2)} and {n(2)}", f"{self.pick(*_DIGITS)} or {self.pick(*_DIGITS)}",
+            f"{self.pick(*_DIGITS)}, {self.pick(*_DIGITS)}, {self.pick(*_DIGITS)}", f"at {a(3, 8)} the dot is {a(2, 6)}", f"a dot com {a(3, 8)}", f"{a(3, 8)} at the {a(3, 8)}", f"{a(3, 8)}. At {a(3, 8)}", f"{a(3, 8)}. {a(2, 6)} at {a(3, 8)}.", f"{n(2)} {n(2)} {n(2)}", f"1{n(3)}-2{n(3)}", f"{a(3, 6)}_{n(3)}", f"| {a(2, 8)} | {n(2)} |",
+        )
 
-    def phone() -> str:
-        a, b, c = number(3), number(3), number(4)
-        return pick(f"+{number(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1 ({a}) {b}-{c}", f"00{number(2)} {a} {b}{c}", f"0{a}/{b}{c}", f"+{number(2)}-{a}-{b}-{c}")
 
-    def other() -> str:
-        return pick(number(int(rng.integers(1, 6))), f"20{number(2)}-0{number(1)}-1{number(1)}", f"1{number(1)}:{number(2)}", f"v{number(1)}.{number(1)}.{number(2)}", f"{number(2)}.{number(2)}", f"[{number(2)}]", f"({letters(4)})", f"${number(3)}.00", "".join("0123456789abcdef"[c] for c in rng.integers(0, 16, 32)), f"AKIA{letters(8).upper()}{number(8)}", f"password={letters(5)}{number(4)}", f"{letters(4)}@{letters(3)}", f"https://{letters(5)}.example.org/{number(4)}", number(int(rng.integers(16, 40))), f"{number(1)}.{number(1)}.{number(1)}.{number(1)}.{number(1)}", f"({number(4)})", f"§ {number(3)}", f"{number(3)},{number(3)}", f"x{number(10)}")
-
-    makers = {"email": email, "ip": ip, "card": card, "phone": phone}
+def training_texts(count: int = TEXTS, seed: int = 11) -> list[tuple[str, list[Span]]]:
+    """Invented texts with their labelled spans, in the written forms that the patterns miss as well as those they find."""
+    maker = _Maker(seed)
     out = []
     for _ in range(count):
         text, spans = "", []
-        while len(text) < WINDOW:
-            for _ in range(int(rng.integers(0, 5))):
-                text += word() + " "
-            kind = pick(*KINDS, "other", "other", "other", "other")
-            value = makers[kind]() if kind in makers else other()
-            text += pick("", "", "", "(", '"', ": ")
-            if kind in makers:
+        words = maker.pick(3, 6, 6, 14, 40)
+        while len(text) < TAUGHT:
+            for _ in range(maker.upto(0, words)):
+                text += maker.word() + " "
+            kind = maker.pick(*KINDS, "other", "other", "other", "other")
+            value = getattr(maker, kind)()
+            text += maker.pick("", "", "", "(", '"', ": ")
+            if kind in KINDS:
                 spans.append((kind, len(text), len(text) + len(value)))
-            text += value + pick(" ", ". ", ", ", ") ", "\n", "### ", "*** ")
+            text += value + maker.pick(" ", " ", ". ", ", ", ") ", "\n", '" ', "! ")
         out.append((text, spans))
     return out
 
 
 def train(texts: list[tuple[str, list[Span]]], steps: int = STEPS, seed: int = 5) -> Tagger:
-    """A tagger fitted to labelled texts, each cut at the window's length or less from a random place."""
+    """A tagger fitted to labelled texts, each cut at TAUGHT characters or less from a random place."""
     rng = np.random.default_rng(seed)
-    x, y = np.zeros((len(texts), WINDOW), np.int64), np.zeros((len(texts), WINDOW), np.int64)
+    x, y = np.zeros((len(texts), TAUGHT), np.int64), np.zeros((len(texts), TAUGHT), np.int64)
     for r, (text, spans) in enumerate(texts):
         label = np.zeros(len(text), np.int64)
         for kind, start, end in spans:
             label[start:end] = 1 + KINDS.index(kind)
-        at = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
-        end = at + (WINDOW if rng.random() < 0.7 else int(rng.integers(20, WINDOW)))  # some texts end within a window
+        at = int(rng.integers(0, max(1, len(text) - TAUGHT + 1)))
+        end = at + (TAUGHT if rng.random() < 0.7 else int(rng.integers(20, TAUGHT)))  # some texts end within a window
         part = classes(text)[at:end]
         x[r, : len(part)], y[r, : len(part)] = part, label[at:end]
     tagger = Tagger.fresh(_CLASSES, 1 + len(KINDS), HIDDEN, seed)
-    tagger.train(x, y, steps, 64, 0.03, seed)
+    tagger.train(x, y, steps, 128, 0.02, seed)
     return tagger
 
 
@@ -162,14 +230,34 @@ def default_tagger() -> Tagger:
     return train(training_texts())
 
 
-def reconciled(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+Scored = tuple[str, int, int, float]
+
+
+def joined_up(spans: list[tuple[Scored, bool, bool]]) -> list[Scored]:
+    """Spans with whether a window's edge cuts their beginning and their end: those that go on in the next window are
+    joined, what stays cut keeps half its score."""
+    out: list[tuple[Scored, bool, bool]] = []
+    for span in sorted(spans, key=lambda s: (s[0][0], s[0][1], s[0][2])):
+        if out:
+            (kind, start, end, score), left, right = out[-1]
+            (kind_, start_, end_, score_), left_, right_ = span
+            if kind == kind_ and start_ < end and (right or left_):
+                size, size_ = end - start, end_ - start_
+                ends_here = right if end > end_ else right_ if end_ > end else right and right_
+                out[-1] = (kind, start, max(end, end_), (score * size + score_ * size_) / (size + size_)), left and (left_ or start < start_), ends_here
+                continue
+        out.append(span)
+    return [(k, s, e, score * (0.5 if left or right else 1)) for (k, s, e, score), left, right in out]
+
+
+def reconciled(spans: list[Scored]) -> list[Scored]:
     """The set of spans without overlaps that has the largest sum of score times length."""
     spans = sorted(set(spans), key=lambda s: (s[2], s[1], s[0], s[3]))
     ends = [s[2] for s in spans]
     best = [0.0] * (len(spans) + 1)
     take = [-1] * (len(spans) + 1)
     for i, (_, start, end, score) in enumerate(spans, 1):
-        before = int(np.searchsorted(ends[: i - 1], start, "right"))
+        before = bisect_right(ends, start, 0, i - 1)
         with_it = best[before] + score * (end - start)
         best[i], take[i] = (with_it, before) if with_it > best[i - 1] else (best[i - 1], -1)
     out, i = [], len(spans)
@@ -182,55 +270,50 @@ def reconciled(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int,
     return out[::-1]
 
 
-def _starts(text: str) -> list[int]:
-    """Where the windows with a trigger begin; neighbours overlap by half."""
-    steps: set[int] = set()
-    at = 0
-    while m := TRIGGERS.search(text, at):
-        step = m.start() // STRIDE
-        steps.update((max(0, step - 1), step))
-        at = (step + 1) * STRIDE
-    return [s * STRIDE for s in sorted(steps)]
-
-
-def model_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int, int, float]]]:
+def model_spans(texts: list[str], tagger: Tagger) -> list[list[Scored]]:
     """The model's spans of each text with their scores, after reconciling its windows."""
-    places, rows = [], []
-    for r, text in enumerate(texts):
-        starts = _starts(text)
-        if starts:
-            coded = classes(text)
-            for start in starts:
-                part = coded[start : start + WINDOW]
-                rows.append(part if len(part) == WINDOW else np.pad(part, (0, WINDOW - len(part))))
-                places.append((r, start))
-    got: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
-    for lo in range(0, len(rows), BATCH):
-        label, sure = tagger.decode(np.stack(rows[lo : lo + BATCH]))
-        some = np.flatnonzero(label.any(axis=1))
-        for k in some.tolist():
-            r, start = places[lo + k]
+    coded = [classes(t) for t in texts]
+    places = [(r, start) for r, t in enumerate(coded) for start in range(0, max(1, len(t) - OVERLAP), WINDOW - OVERLAP) if len(t)]
+    places.sort(key=lambda p: -min(WINDOW, len(coded[p[0]]) - p[1]))  # windows of a length together
+    got: list[list[tuple[Scored, bool, bool]]] = [[] for _ in texts]
+    for lo in range(0, len(places), BATCH):
+        part = places[lo : lo + BATCH]
+        r, start = part[0]
+        x = np.zeros((len(part), 1 + min(WINDOW, len(coded[r]) - start)), np.int64)  # one of padding at least
+        for k, (r, start) in enumerate(part):
+            window = coded[r][start : start + WINDOW]
+            x[k, : len(window)] = window
+        label, sure = tagger.decode(x)
+        for k in np.flatnonzero(label.any(axis=1)).tolist():
+            r, start = part[k]
+            text = texts[r]
             cut = np.flatnonzero(np.diff(label[k])) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), WINDOW]):
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), label.shape[1]]):
                 if label[k, a]:
-                    text = texts[r]
                     s, e = start + a, min(start + b, len(text))
+                    left, right = a == 0 and start > 0, b >= WINDOW and start + WINDOW < len(text)
                     while e > s and text[e - 1].isspace():
                         e -= 1
                     while s < e and text[s].isspace():
                         s += 1
-                    open_ = a == 0 and start > 0 or b == WINDOW and start + WINDOW < len(text)
-                    if e > s and TRIGGERS.search(text, s, e):
-                        got[r].append((KINDS[label[k, a] - 1], s, e, float(sure[k, a:b].mean()) * (0.5 if open_ else 1)))
-    return [reconciled(g) for g in got]
+                    if e > s:
+                        got[r].append(((KINDS[label[k, a] - 1], s, e, float(sure[k, a:b].mean())), left, right))
+    return [reconciled(joined_up(g)) for g in got]
+
+
+_SAID = re.compile(r"\b(?:zero|one|two|three|four|five|six|seven|eight|nine)\b", re.I)
+_AT = re.compile(r"(?:@|\bat\b).*(?:\.\w|\bdot\b)", re.I | re.S)
+_DOT = re.compile(r"\.|\b(?:dot|point)\b", re.I)
 
 
 def _plausible(kind: str, value: str) -> bool:
-    """A span has as many digits, or the sign, as any of its kind has."""
-    digits = sum(c in "0123456789" for c in value)
+    """A span has as many digits, written or said, or the signs, as any of its kind has."""
+    digits = sum(c in "0123456789" for c in value) + len(_SAID.findall(value))
     if kind == "email":
-        return ("@" in value or "at" in value.lower()) and len(value) >= 6
-    return {"ip": 4, "card": 12, "phone": 7}[kind] <= digits <= {"ip": 14, "card": 19, "phone": 15}[kind]
+        return bool(_AT.search(value))
+    if kind == "ip":
+        return len(_DOT.findall(value)) == 3 and 4 <= digits <= 14
+    return {"card": 12, "phone": 7}[kind] <= digits <= {"card": 19, "phone": 15}[kind]
 
 
 def find(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:

@@ -8,6 +8,10 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ._shared import unused
+from ._text import tidy
 
 #: kind, start, end, in code points, end exclusive.
 Span = tuple[str, int, int]
@@ -26,7 +30,8 @@ def joined(spans: Sequence[Span]) -> str:
 
 def found(docs: DataFrame, find: Callable[[list[str]], list[tuple[list[Span], list[Span]]]], spans: str, batch: int = 256) -> DataFrame:
     """docs with a column of the spans that find gives for its texts, base ones and further ones."""
-    at, names = docs.columns.index("text"), [*docs.columns, spans]
+    at, spans = docs.columns.index("text"), unused(docs, spans)
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(f"`{spans}` {TYPE}").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -35,13 +40,13 @@ def found(docs: DataFrame, find: Callable[[list[str]], list[tuple[list[Span], li
                 rows = []
                 for base, more in find([t or "" for t in part.column(at).to_pylist()]):
                     rows.append([{"kind": k, "start": s, "end": e, "base": True} for k, s, e in base] + [{"kind": k, "start": s, "end": e, "base": False} for k, s, e in more])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, _ARROW)], names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, _ARROW)], schema.names)
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{spans}` {TYPE}"]))
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def digest(docs: DataFrame, base_kinds: Sequence[str], kinds: Sequence[str], spans: str = "_spans") -> DataFrame:
-    """doc_id, a count of each base kind, base_sha256 and spans, from the column of spans."""
+    """doc_id, a count of each base kind, base_sha256 and spans, from the column of spans; and n_spans, how many there are in all."""
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(kinds) for x in (k, i)])
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"))))
     text = lambda rows: F.array_join(F.transform(rows, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -49,7 +54,7 @@ def digest(docs: DataFrame, base_kinds: Sequence[str], kinds: Sequence[str], spa
     of = lambda kind: F.filter("_base", lambda s: s["kind"] == kind)
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base_kinds]
     out = docs.select("doc_id", by_start.alias("_ordered")).select("doc_id", "_ordered", base.alias("_base"))
-    return out.select("doc_id", *counts, F.sha2(text("_base").cast("binary"), 256).alias("base_sha256"), text("_ordered").alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(text("_base").cast("binary"), 256).alias("base_sha256"), text("_ordered").alias("spans"), F.size("_ordered").cast("long").alias("n_spans"))
 
 
 def redact(text: str | None, spans: Sequence[tuple[str, int, int]]) -> str | None:
