@@ -6,10 +6,14 @@ blocks, are decoded and reported only if what they hold has the structure of a s
 - `der`: a key or certificate encoding, of which all nested lengths fit to the last byte;
 - `ssh`: a key blob of length-prefixed fields, the first a key type's name;
 - `jwt`: three base64url parts, the first a JSON header with an alg, the second JSON;
-- `pem`: a block whose label names a private key and whose body is one of the first two.
+- `pem`: a block between BEGIN and END lines of one label, whose body is one of the first two.
+
+Base64 that is broken into lines is joined before it is decoded; where an encoding says how long it is, what follows
+it in the last line is left out.
 
 A null or empty text has none. Very long texts take time in proportion. Overlapping spans of several kinds are
-all reported; base spans always stay. Columns other than text are passed through.
+all reported; base spans always stay. Repeated rows get equal spans. An empty table has no rows. Columns other than text
+are passed through; the column of spans is named with underscores if its name is taken.
 """
 
 from __future__ import annotations
@@ -29,10 +33,12 @@ KINDS = (*BASE, "der", "ssh", "jwt", "pem")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_ANY_HEX = re.compile(r"(?<![0-9A-Za-z+/=_-])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Za-z+/=_-])")
+_ANY_HEX = re.compile(r"(?:(?<![0-9A-Za-z+/])|(?<=0x)|(?<=0X))(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Za-z+/=_-])")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Lines of base64 of 40 characters or more, and one that may be shorter.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{40,}[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/]+={0,2}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 _SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521", b"sk-ssh-ed25519@openssh.com")
 _SSH_MAGIC = b"openssh-key-v1\x00"
 
@@ -157,14 +163,39 @@ def _structure(data: bytes | None) -> str | None:
     return "der" if data[0] == 0x30 and is_der_key(data) else "ssh" if is_ssh_blob(data) else None
 
 
+def _wrapped(run: str) -> tuple[str, int] | None:
+    """The kind of what base64 in several lines holds, and at which character of the run it ends."""
+    at = [i for i, c in enumerate(run) if c not in " \t\r\n"]
+    body = "".join([run[i] for i in at])
+    head = decoded(body[:12])
+    top = _header(head, 0, 1 << 40) if head and head[0] == 0x30 else None
+    sizes = [-(-top[2] // 3) * 4] if top else [len(body), len(body[: body.rfind(run[run.rfind("\n") + 1 :].strip())])]
+    for size in sizes:  # a blob that does not tell its length: with or without the last line
+        if 0 < size - 2 <= len(body) and (kind := _structure(decoded(body[:size]))):
+            return kind, at[min(size, len(body)) - 1] + 1
+    return None
+
+
 def further_spans(text: str) -> list[Span]:
     """What decoding confirms."""
     out = [("jwt", *m.span()) for m in _JWT.finditer(text) if is_jwt(m[0])] if "eyJ" in text else []
-    pem = [m for m in _PEM.finditer(text) if _structure(decoded(re.sub(r"\s", "", m[2])))] if "-----BEGIN " in text else []
-    out += [("pem", *m.span()) for m in pem]
-    for m in _BASE64.finditer(text):
+    taken: list[tuple[int, int]] = []
+
+    def free(start: int) -> bool:
+        return not any(a <= start < b for a, b in taken)
+
+    for m in _PEM.finditer(text) if "-----BEGIN " in text else ():
+        if _structure(decoded(re.sub(r"\s", "", m[2]))):
+            out.append(("pem", *m.span()))
+            taken.append(m.span())
+    runs = list(_BASE64.finditer(text))
+    for m in _WRAPPED.finditer(text) if runs else ():
+        if free(m.start()) and (found_ := _wrapped(m[0])):
+            out.append((found_[0], m.start(), m.start() + found_[1]))
+            taken.append((m.start(), m.start() + found_[1]))
+    for m in runs:
         kind = _structure(decoded(m[0]))
-        if kind and not any(p.start() <= m.start() < p.end() for p in pem):
+        if kind and free(m.start()):
             out.append((kind, *m.span()))
     for m in _ANY_HEX.finditer(text):
         kind = _structure(bytes.fromhex(m[0])) if len(m[0]) % 2 == 0 else None
