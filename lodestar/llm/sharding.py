@@ -2,13 +2,15 @@
 
 A row belongs to one of SLOTS virtual slots by a hash of its text, so that equal texts share a slot and a shard.
 The bytes of each slot are added up, and a versioned table maps slots to shards: the first version gives the
-largest slot left to the lightest shard; a later version is an edit that moves no slot without need. A
+largest slot left to the lightest shard; a later version is an edit that moves no slot without need. report() writes the first version into the
+shared folder, and places rows by the version that it reads there. A
 group of equal texts larger than SPLIT of a shard's fair share is spread over as many slots as it takes,
 by doc_id.
 
 A row's size is the UTF-8 bytes of its text, none for null, plus ROW. Null texts are equal. Repeated rows are
 rows of their own; those with equal doc_id and text are told apart in no defined order. An empty
-table has an empty map.
+table has a map all the same, of slots without bytes. Very long texts are weighed whole. Ids may be of any type that can be
+sorted. Other columns are passed through by assign(), whose own get underscores if a name is taken.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import stored
+from ._shared import new_path, stored, unused
 
 SLOTS, SHARDS, ROW, SPLIT = 8192, 24, 8, 0.5
 
@@ -97,26 +99,30 @@ def size_of(text: str = "text") -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + ROW).cast("long")
 
 
-def _slot(spread: Column, slots: int) -> Column:
-    """The slot of a row with the column text_hash; spread: over how many slots its text goes."""
-    salt = F.when(spread > 1, F.pmod(F.xxhash64("doc_id", F.lit("slot")), spread)).otherwise(F.lit(0).cast("long"))
-    return F.pmod(F.xxhash64("text_hash", salt), F.lit(slots)).cast("int")
+def _text_hash() -> Column:
+    return F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.xxhash64("text")).cast("long")
+
+
+def virtual_slot(text_hash: Column, spread: dict[int, int], slots: int) -> Column:
+    """The slot of a row with that hash and the column doc_id. spread has an entry for each large group only, of which
+    there are less than shards / SPLIT."""
+    many = F.lit(1).cast("long")
+    if spread:
+        table = F.create_map(*[F.lit(x) for k, v in spread.items() for x in (k, int(v))])
+        many = F.coalesce(table[text_hash], F.lit(1)).cast("long")
+    salt = F.when(many > 1, F.pmod(F.xxhash64("doc_id", F.lit("slot")), many)).otherwise(F.lit(0).cast("long"))
+    return F.pmod(F.xxhash64(text_hash, salt), F.lit(slots)).cast("int")
 
 
 def narrow(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32 and text_hash of every row: all that placing takes."""
     text = F.coalesce("text", F.lit("")).cast("binary")
-    return docs.select("doc_id", size_of().alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.xxhash64("text")).cast("long").alias("text_hash"))
+    return docs.select("doc_id", size_of().alias("size"), F.crc32(text).cast("long").alias("text_crc32"), _text_hash().alias("text_hash"))
 
 
 def with_slots(rows: DataFrame, spread: dict[int, int], slots: int) -> DataFrame:
-    """narrow() rows with their virtual_slot. spread has an entry for each large group only, of which there
-    are less than shards / SPLIT."""
-    many = F.lit(1).cast("long")
-    if spread:
-        table = F.create_map(*[F.lit(x) for k, v in spread.items() for x in (k, int(v))])
-        many = F.coalesce(table[F.col("text_hash")], F.lit(1)).cast("long")
-    return rows.withColumn("virtual_slot", _slot(many, slots))
+    """narrow() rows with their virtual_slot."""
+    return rows.withColumn("virtual_slot", virtual_slot(F.col("text_hash"), spread, slots))
 
 
 def first_map(rows: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> SlotMap:
@@ -154,15 +160,18 @@ def placed(rows: DataFrame, slot_map: SlotMap) -> DataFrame:
 
 def assign(docs: DataFrame, slot_map: SlotMap) -> DataFrame:
     """docs with the columns virtual_slot and shard, to be written by shard."""
-    slots = len(slot_map.shard_of)
-    hashed = docs.withColumn("text_hash", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.xxhash64("text")).cast("long"))
-    shard_of = docs.sparkSession.createDataFrame([(s, k) for s, k in enumerate(slot_map.shard_of)], "virtual_slot int, shard int")
-    return with_slots(hashed, slot_map.spread, slots).join(F.broadcast(shard_of), "virtual_slot").select(*docs.columns, "virtual_slot", "shard")
+    slot, shard = unused(docs, "virtual_slot"), unused(docs, "shard")
+    of = docs.select("*", virtual_slot(_text_hash(), slot_map.spread, len(slot_map.shard_of)).alias(slot))
+    shard_of = docs.sparkSession.createDataFrame([(s, k) for s, k in enumerate(slot_map.shard_of)], f"`{slot}` int, `{shard}` int")
+    return of.join(F.broadcast(shard_of), slot).select(*docs.columns, slot, shard)
 
 
 def report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot and map_version of every row."""
+    spark = docs.sparkSession
     rows = stored(narrow(docs), "sizes")
-    slot_map = first_map(rows, shards)
+    folder = new_path(spark, "slot-map")
+    first_map(rows, shards).save(spark, folder)
+    slot_map = SlotMap.load(spark, folder)
     out = placed(rows, slot_map)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slot_map.version).alias("map_version"))
