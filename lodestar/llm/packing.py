@@ -8,7 +8,8 @@ one, asks the index; unused documents fill the window by falling score, and the
 window ends. A document longer than a window first gives windows of its own. What a shard leaves open goes on
 into the next; what a range leaves at its end is cut into sequences of powers of two. So nothing is padded.
 
-A null or empty text is its end id alone. Null and repeated doc_ids are kept as they are; each row is packed.
+A null or empty text is its end id alone. Null and repeated doc_ids are kept as they are; each row is packed. Equal scores
+are taken in the order of the shard. An empty table has no sequences. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import stored
+from ._text import tidy
 from .tokens import encoder
 
 WINDOW, END = 4096, 2
@@ -58,7 +60,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "ids", "n", "key"])
 
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 15))  # copies need not meet
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, n long, key long").withColumn("key", F.col("key") + spread)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, lambda: None), f"doc_id {kind}, ids binary, n long, key long").withColumn("key", F.col("key") + spread)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +183,7 @@ def pack(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> Da
     path = path or default_tokenizer()
     table = stored(tokenized(docs, path), "tokens")
     rows, total = table.agg(F.count("*"), F.sum("n")).first()
-    df = table.select("ids").mapInArrow(_frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    df = table.select("ids").mapInArrow(tidy(_frequencies), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
     idf = np.zeros(1 << 16, np.float32)
     idf[[r[0] for r in df]] = np.log(1 + (rows - np.array([r[1] for r in df]) + 0.5) / (np.array([r[1] for r in df]) + 0.5)) if df else 0
     mean = (total or 1) / max(rows, 1)
@@ -241,4 +243,4 @@ def pack(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> Da
 
     parts = max(1, min(RANGES, -(-(total or 0) // RANGE)))
     dealt = table.repartitionByRange(parts, "key").sortWithinPartitions("key", "doc_id", "n", F.crc32("ids"))
-    return dealt.select("doc_id", "ids").mapInArrow(run, schema)
+    return dealt.select("doc_id", "ids").mapInArrow(tidy(run), schema)

@@ -1,7 +1,9 @@
 """Token ids of whole texts with the installed word-level BPE, a white-space run of characters at a time.
 
 The tokenizer joins nothing across white space, so the ids of a text are those of its chunks, and chunks
-repeat: each worker keeps the ids of the chunks it has seen lately. The merging is the library's.
+repeat: each worker keeps the ids of the chunks it has seen lately. The merging is the library's. A chunk with a
+code point that this Python's Unicode tables do not have goes to the library as it is, since newer tables may
+know how to compose it or what its small letter is.
 """
 
 from __future__ import annotations
@@ -52,12 +54,15 @@ class Encoder:
         if self._whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self._letters = _byte_letters()
+        self._assigned: dict[str, bool] = {}
         self._recent: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         if "<|" in text:  # may hold a special token, which the library finds before anything else
             return b"".join([self._special(c) if "<|" in c else self.encode(c) for c in _SPACE.split(text) if c])
+        if not text.isascii() and (odd := self._unassigned(text)):
+            return b"".join([self._special(c) if not odd.isdisjoint(c) else self.encode(c) for c in _SPACE.split(text) if c])
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # each letter by itself: no final sigma
         chunks = [c for c in _SPACE.split(text) if c] if any(c in text for c in _CONTROL) else text.split()
         get = self._recent.get
@@ -68,6 +73,17 @@ class Encoder:
                     found[i] = self._known(chunks[i])
         return b"".join(found)
 
+    def _unassigned(self, text: str) -> set[str]:
+        """The code points of the text that Python does not know; what it says of each is remembered."""
+        out = set()
+        for c in set(text):
+            known = self._assigned.get(c)
+            if known is None:
+                known = self._assigned[c] = unicodedata.category(c) != "Cn"
+            if not known:
+                out.add(c)
+        return out
+
     def _known(self, chunk: str) -> bytes:
         """The ids of a chunk, or of a part of one."""
         ids = self._recent.get(chunk)
