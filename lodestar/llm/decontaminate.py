@@ -9,8 +9,9 @@ The benchmark is taken in blocks of max_windows windows at most, so what is broa
 whatever the benchmark's size; every block is held against all documents.
 
 Null or empty text has no words and no hits. An item without words has no window. Repeated items are
-separate items; equal item_ids count once. Items with a null item_id never occur. Columns other than
-text are passed through, whatever their names.
+separate items; equal item_ids count once. Items with a null item_id never occur. Very long texts are scanned whole, in
+pieces. Repeated documents get equal results. An empty table has no rows, and without a benchmark nothing is hit. Columns
+other than text are passed through; scan() names its own with underscores if the name is taken.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import stored, unused
-from ._text import ALNUM, LOWER, pieces, released, rows_of, run_hashes, word_bounds, word_hashes
+from ._text import ALNUM, LOWER, pieces, rows_of, run_hashes, tidy, word_bounds, word_hashes
 
 _BITS = 20
 #: What scan() adds.
@@ -121,7 +122,7 @@ def _scan_batch(column: pa.Array, lookup: _Lookup) -> tuple[list, list, list, li
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = 1_000_000, text: str = "text", found: str = "_found") -> DataFrame:
     """docs with a struct column of the words hit: their numbers, their bytes (start, end by turns), the items."""
-    spark = docs.sparkSession
+    spark, found = docs.sparkSession, unused(docs, found)
     out, blocks = docs, 0
     for table in _blocks(benchmark, n, max_windows):
         held = spark.sparkContext.broadcast(table)
@@ -137,7 +138,6 @@ def _scan_block(docs: DataFrame, held, text: str, found: str, again: bool) -> Da
     at = [f.name for f in docs.schema.fields].index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        released()
         lookup = _Lookup(held.value)
         for batch in batches:
             n_words, hit_words, hit_bytes, items = _scan_batch(batch.column(at), lookup)
@@ -153,7 +153,7 @@ def _scan_block(docs: DataFrame, held, text: str, found: str, again: bool) -> Da
             added = pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(hit_words, longs), pa.array(hit_bytes, longs), pa.array(items, pa.list_(pa.string()))], ["n_words", "hit_words", "hit_bytes", "items"])
             yield pa.RecordBatch.from_arrays([*columns, added], [*names, found])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:

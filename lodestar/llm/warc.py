@@ -7,8 +7,10 @@ length. read() takes records from a normalised archive by that index.
 
 Of the pages with equal payloads the one with the smallest page_id is a `response`; the others are `revisit`
 records without a body, which name it. A null html is an empty payload. Rows with the same page_id and
-payload as the response are responses too. Null page_ids come before all others. Files are written under a name of
-the attempt and then renamed, so that a task that runs again leaves a whole file.
+payload as the response are responses too. Null page_ids come before all others; ids must be of an integer type. Very
+large payloads are held one at a time. Other columns are not written. An empty table has no archives. Every attempt of a task
+writes files under a name of its own, and only the names given back by attempts that ended are read, so a lost
+executor leaves no half-written file in use.
 """
 
 from __future__ import annotations
@@ -27,20 +29,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import new_path, stored
+from ._shared import long_id, new_path, small, stored
+from ._text import tidy
 
 LEVEL, CHUNK = 6, 1 << 18
 #: A date for all records: an archive of the same rows has the same bytes.
 DATE = "2024-01-01T00:00:00Z"
-#: Rows of payload digests that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and path of a folder's URI or of a local path."""
+    """The file system and path of a folder's URI or of a local path; object stores by their Hadoop names too."""
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    if "://" not in path:
+        return pafs.LocalFileSystem(), path
+    scheme, rest = path.split("://", 1)
+    return pafs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3', 'gcs': 'gs', 'wasbs': 'abfss'}.get(scheme, scheme) }://{rest}")
 
 
 def digest(payload: bytes) -> str:
@@ -126,21 +130,14 @@ def member(raw: bytes) -> bytes:
     return deflate.compress(raw) + deflate.flush()
 
 
-def _publish(files: pafs.FileSystem, part: str, final: str) -> None:
-    """A retried or speculative attempt replaces a file with the same bytes."""
-    if files.get_file_info(final).type != pafs.FileType.NotFound:
-        files.delete_file(final)
-    files.move(part, final)
-
-
 def typed(pages: DataFrame) -> DataFrame:
     """page_id, url, payload and refers_to (null for a response) of each page."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    hashed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("hash"))
+    page_id = long_id(pages, "page_id")
+    rows = pages.select(page_id, F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    hashed = pages.select(page_id, F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("hash"))
     low = F.min(F.struct("page_id")).alias("low")
     firsts = stored(hashed.groupBy("hash").agg(low, F.count("*").alias("n")).where("n > 1").select("hash", F.col("low.page_id").alias("first")), "firsts")
-    few = firsts.count() <= BROADCAST_ROWS
-    joined = rows.withColumn("hash", F.sha2("payload", 256)).join(F.broadcast(firsts) if few else firsts, "hash", "left")
+    joined = rows.withColumn("hash", F.sha2("payload", 256)).join(F.broadcast(firsts) if small(firsts, 120) else firsts, "hash", "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     return joined.select("page_id", "url", "payload", refers.alias("refers_to"))
 
@@ -152,10 +149,9 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         files, base = opened(folder)
         files.create_dir(base, recursive=True)
         task = TaskContext.get()
-        final = f"{base}/part-{task.partitionId():06d}.warc.gz"
-        part = f"{base}/.{task.partitionId()}-{uuid.uuid4().hex}"
+        final = f"{base}/part-{task.partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         deflate, count = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0
-        with files.open_output_stream(part) as out:
+        with files.open_output_stream(final, compression=None) as out:
             for batch in batches:
                 for lo in range(0, batch.num_rows, 64):
                     for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns)):
@@ -163,12 +159,11 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                         count += 1
             out.write(deflate.flush())
         if count:
-            _publish(files, part, final)
             yield pa.RecordBatch.from_pydict({"path": [final], "records": [count]}, pa.schema([("path", pa.string()), ("records", pa.int64())]))
         else:
-            files.delete_file(part)
+            files.delete_file(final)
 
-    return stored(pages.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, records long"), "archives")
+    return stored(pages.select("page_id", "url", "payload", "refers_to").mapInArrow(tidy(run), "path string, records long"), "archives")
 
 
 INDEX = "path string, offset long, length long, page_id long, type string, digest string"
@@ -182,12 +177,11 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
         files, base = opened(folder)
         files.create_dir(base, recursive=True)
         name = source.rsplit("/", 1)[-1].removesuffix(".warc.gz")
-        mark = uuid.uuid4().hex
-        parts = (f"{base}/.{name}-{mark}", f"{base}/.{name}-{mark}-index")
+        name = f"{name}-{uuid.uuid4().hex[:8]}"
         finals = (f"{base}/{name}.warc.gz", f"{base}/{name}.index.jsonl")
         origin, at = opened(source)
         offset, stream, rows = 0, RecordStream(), []
-        with origin.open_input_stream(at, compression=None) as raw, files.open_output_stream(parts[0], compression=None) as out, files.open_output_stream(parts[1]) as index:
+        with origin.open_input_stream(at, compression=None) as raw, files.open_output_stream(finals[0], compression=None) as out, files.open_output_stream(finals[1]) as index:
             for data in inflated(raw):
                 for text in stream.feed(data):
                     packed = member(text)
@@ -201,8 +195,6 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_pylist(rows, _INDEX)
                         rows = []
             stream.close()
-        for part, final in zip(parts, finals):
-            _publish(files, part, final)
         if rows:
             yield pa.RecordBatch.from_pylist(rows, _INDEX)
 
@@ -212,7 +204,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 yield from one(source)
 
     count = max(1, archives.count())
-    return stored(archives.select("path").repartition(count, "path").mapInArrow(run, INDEX), "index")
+    return stored(archives.select("path").repartition(count, "path").mapInArrow(tidy(run), INDEX), "index")
 
 
 def read(index: DataFrame) -> DataFrame:
@@ -236,7 +228,7 @@ def read(index: DataFrame) -> DataFrame:
                     rows.append({"page_id": f["page_id"], "url": f["url"], "payload": f["payload"], "payload_bytes": len(f["payload"]) if held else f["length"], "payload_digest": digest(f["payload"]) if held else f["digest"], "record_type": f["type"], "refers_to": f["refers_to"]})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return index.select("path", "offset", "length").sortWithinPartitions("path", "offset").mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return index.select("path", "offset", "length").sortWithinPartitions("path", "offset").mapInArrow(tidy(run), "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def report(pages: DataFrame) -> DataFrame:
