@@ -35,28 +35,32 @@ def levenshtein(a: str, b: str) -> int:
 
 
 def line_words(line: str) -> str:
-    return " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[0-9]", "0", lower(line))))
+    """The words by which a line is compared; blank lines have none."""
+    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", lower(line)) or re.findall(r"[^ \t-\r]+", lower(line))
+    return re.sub("[0-9]", "0", " ".join(words)) if len(words) >= 5 else " ".join(words)
 
 
-def line_removals(docs: dict, simhash, min_words: int, max_bits: int, similarity: float) -> dict:
+def similar_lines(forms, distance, similarity: float):
+    """Pairs of different forms whose edit similarity is similarity or more."""
+    forms = sorted(set(forms))
+    out = []
+    for i, a in enumerate(forms):
+        for b in forms[:i]:
+            longer = max(len(a), len(b))
+            if min(len(a), len(b)) >= similarity * longer - 1e-9 and 1 - distance(a, b) / longer >= similarity - 1e-9:
+                out.append((a, b))
+    return out
+
+
+def line_removals(docs: dict, distance, similarity: float) -> dict:
     """doc_id -> the lines that go; docs: doc_id -> text."""
     places: dict[str, list] = {}
     for doc_id, text in docs.items():
         for n, line in enumerate((text or "").split("\n")):
-            words = line_words(line)
-            if len(words.split()) >= min_words:
-                places.setdefault(words, []).append((doc_id, n))
-    classes = sorted(places)
-    sims = [simhash(c) for c in classes]
-    links = []
-    for i in range(len(classes)):
-        for j in range(i):
-            if ((sims[i] ^ sims[j]) & (1 << 64) - 1).bit_count() <= max_bits:
-                a, b = classes[i], classes[j]
-                if 1 - levenshtein(a, b) / max(len(a), len(b)) >= similarity:
-                    links.append((a, b))
+            if line_words(line):
+                places.setdefault(line_words(line), []).append((doc_id, n))
     groups: dict[str, list] = {}
-    for c, root in roots(classes, links).items():
+    for c, root in roots(sorted(places), similar_lines(places, distance, similarity)).items():
         groups.setdefault(root, []).extend(places[c])
     out: dict = {}
     for group in groups.values():
@@ -65,6 +69,17 @@ def line_removals(docs: dict, simhash, min_words: int, max_bits: int, similarity
     return {d: sorted(set(lines)) for d, lines in out.items()}
 
 
+def walk(text: str, bits, classes) -> list[tuple[int, int]]:
+    """Of a random walk that reads the text, the place that the pointer is at in each step."""
+    out, at, step = [], 0, 0
+    signs = classes(text)
+    while at < len(text):
+        out.append((step, at))
+        at += bits(step, signs[at])
+        step += 1
+    return out
+
+
 def shingle_set(text: str | None) -> frozenset:
     words = [w for w in re.split("[ \t-\r]+", lower(text or "")) if w]
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
