@@ -7,14 +7,13 @@ words, 1 - distance / longer length in characters, is SIMILARITY or more, and th
 Of each connected group the first occurrence stays, by doc_id and then line; the others are removed.
 
 A line's SimHash has BLOCKS blocks of BITS bits. A hash deals the byte grams of the words to the blocks, about
-GRAMS to each; a bit of a block is the sign of its grams' sum, a block with less than LEAST grams is left out, and of a
-long line as many grams stay undealt as there are too many. An edit changes only blocks to which grams that it touches are
-dealt: while it leaves one block as it was, the two lines share that block (pigeonhole), and so are candidates. Blocks
-are of a tier of lengths; a line just below a tier has the blocks of both, so that no pair is parted by its lengths.
-Which grams share a block is chance: the README gives the recall. Of lines that share a block with few others,
-candidates are dropped only where counts of their characters rule the similarity out; those that share one with
-more than CROWD others are all taken. Connected candidates are a region for regions.links(), which confirms the links
-on the words.
+GRAMS to each; a bit of a block is the sign of its grams' sum, and of a long line as many grams stay undealt as there
+are too many. An edit changes only blocks to which grams that it touches are dealt: while it leaves one block as it
+was, the two lines share that block (pigeonhole). Two lines that share a block of LEAST grams or more are candidates if
+their lengths allow for them to be similar and, of SKETCH bits of each block, they differ in FAR at most. SimHashes are of a
+tier of lengths; a line just below a tier has those of both, so that no pair is parted by its lengths. Which grams
+share a block is chance: the README gives the recall. Where more than CROWD lines share a block, all are taken as
+candidates. Connected candidates are a region for regions.links(), which confirms the links on the words.
 
 Null text stays null, with no lines; an empty text has one line, a blank one. Null doc_ids are an id of
 their own, before all others. Rows with equal doc_id and text are one document and get the same result. Very long texts
@@ -40,8 +39,10 @@ from .regions import links
 SIMILARITY = 0.9
 #: Lines of fewer words keep their digits.
 FOLD = 5
-#: Of a SimHash: blocks, bits of one, grams dealt to one on average, and the least it must have.
+#: Of a SimHash: blocks, bits of one, grams dealt to one on average, and the least that one to be joined by must have.
 BLOCKS, BITS, GRAMS, LEAST = 12, 40, 4, 3
+#: Bits of each block by which candidates are compared, and in how many of all of them they may differ.
+SKETCH, FAR = 10, 28
 #: Characters from which a tier begins: the shortest line that an edit can leave similar, then by this factor.
 FIRST, FACTOR, TIERS = 10, 1.6, 30
 #: Rows that share a block and are compared in pairs; more are compared by regions alone.
@@ -54,8 +55,8 @@ _FOLD = LOWER.copy()
 _FOLD[48:58] = 48
 _FOLD_BYTES, _LOWER_BYTES = _FOLD.tobytes(), LOWER.tobytes()
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Of a character's last byte; letters have buckets of their own.
-_BUCKET = (np.arange(256) % 32).astype(np.int64)
+#: Characters of a line that its key tells apart.
+_LENGTHS = 14
 
 
 def gram_size(characters: int) -> int:
@@ -63,17 +64,20 @@ def gram_size(characters: int) -> int:
     return 2 if characters < 25 else 4 if characters < 40 else 5 if characters < 100 else 7
 
 
-def _tiers() -> list[tuple[int, int, int]]:
-    """Characters from which each tier begins, bytes of its grams, and blocks to which all grams of a line are dealt."""
+def _tiers() -> np.ndarray:
+    """Of each tier: characters from which it begins, bytes of its grams, blocks to which all grams of a line are dealt."""
     out, least = [], float(FIRST)
     for _ in range(TIERS):
         q = gram_size(int(least))
         out.append((int(least), q, max(2, round((1.25 * int(least) - q + 2) / GRAMS))))
         least *= FACTOR
-    return out
+    return np.array(out)
 
 
 _TIERS = _tiers()
+_STEP = 1 << 16
+_UP = np.multiply.accumulate(np.append(1, np.full(_STEP, 0x01000193)).astype(np.uint32))
+_DOWN = np.multiply.accumulate(np.append(1, np.full(_STEP, pow(0x01000193, -1, 1 << 32))).astype(np.uint32))
 
 
 def _joined(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -86,69 +90,74 @@ def _joined(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
-def _characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of lines data[at[k]:at[k + 1]]: characters, and how many fall in each of 32 buckets, modulo 16, in two numbers."""
-    last = np.append((data[1:] & 0xC0) != 0x80, True)
-    line = np.repeat(np.arange(len(at) - 1), np.diff(at))[last]
-    counts = np.bincount(line * 32 + _BUCKET[data[last]], minlength=32 * (len(at) - 1)).reshape(-1, 32)
-    nibbles = (counts & 15).astype(np.uint8)
-    return counts.sum(axis=1), (nibbles[:, ::2] | nibbles[:, 1::2] << 4).copy().view(np.int64)
-
-
-def _simhashes(cell: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cells with LEAST grams or more, and the SimHash of the grams of each."""
-    order = np.argsort(cell, kind="stable")
-    cell = cell[order]
-    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-    count = np.diff(np.append(first, len(cell)))
-    bits = np.unpackbits(gram[order].view(np.uint8).reshape(-1, 8)[:, : BITS // 8], axis=1)
-    signs = np.packbits(2 * np.add.reduceat(bits, first, axis=0, dtype=np.int32) > count[:, None], axis=1)
-    out = np.zeros(len(first), np.uint64)
-    for k in range(BITS // 8):
-        out = out << np.uint64(8) | signs[:, k].astype(np.uint64)
-    full = count >= LEAST
-    return cell[first[full]], out[full]
-
-
-def blocks_of(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lines data[at[k]:at[k + 1]] of length characters, and the blocks of their SimHashes, in the order of the lines."""
-    lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    hashes: dict[int, np.ndarray] = {}
-    for tier, (least, q, dealt) in enumerate(_TIERS):
-        most = _TIERS[tier + 1][0] if tier + 1 < TIERS else np.inf
-        rows = np.flatnonzero((length >= SIMILARITY * least - 1e-9) & (length < most) & (np.diff(at) >= q))
-        if not len(rows):
-            continue
-        if q not in hashes:
-            h = np.zeros(len(data) - q + 1, np.uint64)
-            for k in range(q):
-                h = h * np.uint64(0x100000001B3) + data[k : k + len(h)]
-            hashes[q] = mix(h)
-        size = at[rows + 1] - at[rows] - q + 1
-        first = np.cumsum(size) - size
-        grams = hashes[q][np.arange(size.sum()) + np.repeat(at[rows] - first, size)]
-        line = np.repeat(np.arange(len(rows)), size)
-        for done in range(0, BLOCKS, dealt):  # short lines have few grams: they are dealt several times
-            gram = mix(grams + np.uint64(done * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            count = min(dealt, BLOCKS - done)
-            block = ((gram >> np.uint64(40)) * np.uint64(dealt) >> np.uint64(24)).astype(np.int64)
-            mine = np.flatnonzero(block < count)
-            if len(mine):
-                cell, bits = _simhashes(line[mine] * count + block[mine], gram[mine] * np.uint64(0x9FB21C651E98DF25))
-                lines.append(rows[cell // count])
-                keys.append(bits | (np.uint64(tier * BLOCKS + done) + (cell % count).astype(np.uint64)) << np.uint64(BITS))
-    line, key = np.concatenate(lines), np.concatenate(keys).view(np.int64)
+def _gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
+    """A 32-bit hash of each q bytes, equal for equal ones: sums of powers, and the powers taken back."""
+    out = np.empty(max(0, len(data) - q + 1), np.uint32)
+    for lo in range(0, len(out), _STEP - q):
+        part = data[lo : lo + _STEP - 1]
+        total = np.zeros(len(part) + 1, np.uint32)
+        np.cumsum((part + np.uint32(1)) * _UP[: len(part)], out=total[1:])
+        n = min(_STEP - q, len(out) - lo)
+        out[lo : lo + n] = (total[q : q + n] - total[:n]) * _DOWN[:n]
+    return out
+
+
+def simhashes(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines data[at[k]:at[k + 1]] of length characters, each once or twice in the order of the lines; for each of
+    these rows its tier, the bytes of its blocks, and how many grams each block has (255 at most)."""
+    lines, tiers, blocks, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, BLOCKS, BITS // 8), np.uint8)], [np.zeros((0, BLOCKS), np.uint8)]
+    own = np.searchsorted(_TIERS[:, 0], length, "right") - 1
+    above = np.searchsorted(_TIERS[:, 0] * SIMILARITY - 1e-9, length, "right") - 1
+    for q in sorted(set(_TIERS[:, 1].tolist())):
+        grams = None
+        for tier in (own, above):
+            rows = np.flatnonzero((tier >= 0) & (_TIERS[tier, 1] == q) & (np.diff(at) >= q) & ((tier is own) | (own < above)))
+            if not len(rows):
+                continue
+            if grams is None:
+                grams = _gram_hashes(data, q)
+            size = at[rows + 1] - at[rows] - q + 1
+            first = np.cumsum(size) - size
+            end = at[rows] - first
+            gram = grams[np.arange(size.sum()) + np.repeat(end, size)]
+            dealt = np.repeat(_TIERS[tier[rows], 2].astype(np.uint32), size)
+            held = np.zeros((len(rows), BLOCKS, BITS // 8), np.uint8)
+            count = np.zeros((len(rows), BLOCKS), np.uint8)
+            for done in sorted({k for d in set(_TIERS[tier[rows], 2].tolist()) for k in range(0, BLOCKS, d)}):  # lines with few grams deal them several times
+                some = np.flatnonzero(done % dealt == 0) if done else None
+                part, deal = (gram, dealt) if some is None else (gram[some], dealt[some])
+                turn = (part ^ np.uint32(done * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+                turn ^= turn >> np.uint32(15)
+                block = ((turn * np.uint32(0xC2B2AE35) >> np.uint32(12)).astype(np.uint64) * deal >> np.uint64(20)).astype(np.uint32)
+                mine = np.flatnonzero(block < BLOCKS - done)
+                if not len(mine):
+                    continue
+                place = mine if some is None else some[mine]
+                line = np.searchsorted(first, place, "right") - 1
+                cell = line * BLOCKS + block[mine] + done
+                bits = mix(turn[mine].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(done))
+                order = np.argsort(cell, kind="stable")
+                cell, bits = cell[order], bits[order]
+                new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+                number = np.diff(np.append(new, len(cell)))
+                ones = np.add.reduceat(np.unpackbits(bits.view(np.uint8).reshape(-1, 8)[:, : BITS // 8], axis=1), new, axis=0, dtype=np.int32)
+                held.reshape(-1, BITS // 8)[cell[new]] = np.packbits(2 * ones > number[:, None], axis=1)
+                count.ravel()[cell[new]] = np.minimum(number, 255)
+            lines.append(rows), tiers.append(tier[rows]), blocks.append(held), sizes.append(count)
+    line = np.concatenate(lines)
     order = np.argsort(line, kind="stable")
-    return line[order], key[order]
+    return line[order], np.concatenate(tiers)[order], np.concatenate(blocks)[order], np.concatenate(sizes)[order]
 
 
-_OCCURRENCE = "text_hash long, line int, k1 long, k2 long, length int, c1 long, c2 long, keys array<long>, size long"
+#: A print: the tier, a bit for each block that has LEAST grams, and the blocks.
+_PRINT = 1 + 2 + BLOCKS * BITS // 8
+_OCCURRENCE = "text_hash long, line int, k1 long, k2 long, length int, prints array<binary>, size long"
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text_hash, line, two hashes of the words, characters and their counts, blocks, the bytes; for each line that counts.
+    """doc_id, text_hash, line, two hashes of the words, their characters, their SimHashes, the bytes; for each line that counts.
 
-    A line that occurs again soon has no blocks: those of its first occurrence do.
+    A line that occurs again soon has no SimHash: its first occurrence does.
     """
     for batch in batches:
         for first, _, data, offsets in pieces(batch.column(2)):
@@ -157,7 +166,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line = np.arange(len(doc)) - np.searchsorted(doc, doc)
             starts, ends = word_bounds(data, offsets, ALNUM)
             size = np.diff(np.searchsorted(starts, cuts))
-            filled = np.concatenate([[0], np.cumsum(NONSPACE[data])])
+            filled = np.concatenate([[0], np.cumsum(NONSPACE[data], dtype=np.int32)])
             bare = (size == 0) & (filled[cuts[1:]] > filled[cuts[:-1]])
             if bare.any():
                 inside = ALNUM[data] | NONSPACE[data] & np.repeat(bare, np.diff(cuts))
@@ -175,16 +184,38 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k1 = mix(np.add.reduceat(words * factor, at[:-1]))
             k2 = mix(np.add.reduceat(mix(words + np.uint64(1)) * factor, at[:-1]))
             at = np.concatenate([[0], np.cumsum(ends - starts + 1)])[at]
-            length, counts = _characters(joined, at)
-            length -= 1  # the blank at the end
-            of, keys = blocks_of(joined, at, length)
+            characters = np.concatenate([[0], np.cumsum((joined & 0xC0) != 0x80, dtype=np.int32)])[at]
+            length = np.diff(characters) - 1  # without the blank at the end
+            of, tier, blocks, count = simhashes(joined, at, length)
             new = np.zeros(len(rows), bool)
             new[np.unique(k1, return_index=True)[1]] = True
-            of, keys = of[new[of]], keys[new[of]]
-            keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(rows) + 1)), pa.int32()), pa.array(keys))
+            show = np.flatnonzero(new[of])
+            of = of[show]
+            prints = np.concatenate([tier[show].astype(np.uint8)[:, None], np.packbits(count[show] >= LEAST, axis=1), blocks[show].reshape(len(show), BLOCKS * BITS // 8)], axis=1)
+            prints = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(rows) + 1)), pa.int32()), pa.array([x.tobytes() for x in prints], pa.binary()))
             take = pa.array(first + doc[rows])
-            columns = [line[rows].astype(np.int32), k1.view(np.int64), k2.view(np.int64), length.astype(np.int32), counts[:, 0], counts[:, 1]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x) for x in columns), keys, pa.array(np.diff(cuts)[rows])], ["doc_id", "text_hash", "line", "k1", "k2", "length", "c1", "c2", "keys", "size"])
+            columns = [line[rows].astype(np.int32), k1.view(np.int64), k2.view(np.int64), length.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x) for x in columns), prints, pa.array(np.diff(cuts)[rows])], ["doc_id", "text_hash", "line", "k1", "k2", "length", "prints", "size"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (id, length, print): a row for each block to be joined by: its key, which is the tier, the block's number, the
+    block and the length; the id, and SKETCH bits of each block in two numbers."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 8192):
+            part = batch.slice(lo, 8192)
+            prints = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, _PRINT)
+            blocks = prints[:, 3:].reshape(len(prints), BLOCKS, BITS // 8).astype(np.uint64)
+            row, number = np.nonzero(np.unpackbits(prints[:, 1:3], axis=1)[:, :BLOCKS])
+            key = prints[row, 0].astype(np.uint64) * np.uint64(BLOCKS) + number.astype(np.uint64)
+            for k in range(BITS // 8):
+                key = key << np.uint64(8) | blocks[row, number, k]
+            key = key << np.uint64(_LENGTHS) | np.minimum(part.column(1).to_numpy()[row], (1 << _LENGTHS) - 1).astype(np.uint64)
+            some = blocks[:, :, 0] << np.uint64(SKETCH - 8) | blocks[:, :, 1] >> np.uint64(16 - SKETCH)
+            sketch = np.zeros((len(prints), 2), np.uint64)
+            for k in range(BLOCKS):
+                sketch[:, k % 2] = sketch[:, k % 2] << np.uint64(SKETCH) | some[:, k]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(sketch[row, 0].view(np.int64)), pa.array(sketch[row, 1].view(np.int64))], ["key", "id", "s1", "s2"])
 
 
 def _most(longer: np.ndarray) -> np.ndarray:
@@ -192,20 +223,13 @@ def _most(longer: np.ndarray) -> np.ndarray:
     return np.floor((1 - SIMILARITY) * longer + 1e-6).astype(np.int64)
 
 
-def _counts(c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
-    """The 32 counts of each row."""
-    packed = np.stack([c1, c2], 1).view(np.uint8)
-    return np.concatenate([packed & 15, packed >> 4], axis=1)
-
+def _possible(length: np.ndarray, sketch: np.ndarray, i, j: np.ndarray) -> np.ndarray:
+    """Whether the lengths of rows i and j allow for them to be similar, and their SimHashes are near; each j is at least as long as its i."""
+    differ = np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    return (length[i] >= length[j] - _most(length[j])) & (differ <= FAR)
 
-def _possible(length: np.ndarray, counts: np.ndarray, i, j: np.ndarray) -> np.ndarray:
-    """Whether the characters of rows i and j allow for them to be similar; each j is at least as long as its i."""
-    gap = (counts[i] - counts[j]) & 15
-    most = _most(length[j])
-    return (length[i] >= length[j] - most) & (np.minimum(gap, 16 - gap).sum(axis=1, dtype=np.int64) <= 2 * most)
 
-
-def _pairs(key: np.ndarray, length: np.ndarray, node: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(key: np.ndarray, length: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidates among rows in the order of key and length, each with those after it of its key."""
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     end = np.repeat(np.append(new[1:], len(key)), np.diff(np.append(new, len(key))))
@@ -217,17 +241,17 @@ def _pairs(key: np.ndarray, length: np.ndarray, node: np.ndarray, counts: np.nda
             return
         for lo in range(0, len(active), 1 << 16):
             i = active[lo : lo + (1 << 16)]
-            i = i[_possible(length, counts, i, i + step)]
+            i = i[_possible(length, sketch, i, i + step)]
             yield node[i], node[i + step]
         step += 1
 
 
-def _joined_up(length: np.ndarray, node: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _joined_up(length: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Edges that connect the candidates among rows of one key, in the order of length: a row is compared with those not yet connected with it."""
     label = np.arange(len(node))
     for i in range(len(node) - 1):
         j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-        j = j[_possible(length, counts, i, j)]
+        j = j[_possible(length, sketch, i, j)]
         if len(j):
             names, where = np.unique(label[j], return_index=True)
             yield np.full(len(where), node[i]), node[j[where]]
@@ -235,8 +259,8 @@ def _joined_up(length: np.ndarray, node: np.ndarray, counts: np.ndarray) -> Iter
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (key, length, id, c1, c2) in the order of the first two: edges that connect the candidates."""
-    rest: list[np.ndarray] = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64, np.int64)]
+    """For rows of _keyed() in the order of their keys: edges that connect the candidates."""
+    rest: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(4)]
     crowd: int | None = None  # the key of the rows held, if there have been more than CROWD
 
     def found(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -258,37 +282,35 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def pairs(rows: list[np.ndarray], crowded: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of whole keys; crowded: the first key has other rows besides."""
-        key, length, node, c1, c2 = rows
+        key, length, node, sketch = rows[0] >> _LENGTHS, rows[0] & (1 << _LENGTHS) - 1, rows[1], np.stack(rows[2:], axis=1)
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(new, len(key)))
         many = size > 64
         if crowded:
             many[0] = True
         few = np.repeat(~many, size)
-        yield from _pairs(key[few], length[few], node[few], _counts(c1[few], c2[few]))
+        yield from _pairs(key[few], length[few], node[few], sketch[few])
         for k in np.flatnonzero(many).tolist():
             at = slice(new[k], new[k] + size[k])
             if size[k] > CROWD or crowded and k == 0:
                 near = np.flatnonzero(length[at][:-1] >= length[at][1:] - _most(length[at][1:]))
                 yield node[at][near], node[at][near + 1]
             else:
-                yield from _joined_up(length[at], node[at], _counts(c1[at], c2[at]))
+                yield from _joined_up(length[at], node[at], sketch[at])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns)]
-        once = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[2][1:] != rows[2][:-1])])
-        rows = [x[once] for x in rows]
-        earlier = np.flatnonzero(rows[0] != rows[0][-1])
-        last = int(earlier[-1]) + 1 if len(earlier) else 0
-        crowded = crowd is not None and crowd == int(rows[0][0])
+        block = rows[0] >> _LENGTHS
+        last = int(np.searchsorted(block, block[-1]))
+        crowded = crowd is not None and crowd == int(block[0])
         if last:
             yield from found(pairs([x[:last] for x in rows], crowded))
             crowded, crowd = False, None
         rest = [x[last:] for x in rows]
         if crowded or len(rest[0]) > CROWD:  # linked in a row, so that the last is all there is to keep
-            crowd = int(rest[0][0])
+            crowd = int(block[-1])
             yield from found(pairs(rest, True))
             rest = [x[-1:] for x in rest]
     if len(rest[0]):
@@ -319,7 +341,35 @@ def distance(a: str, b: str) -> int:
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     longer = max(len(a), len(b))
-    return min(len(a), len(b)) >= least * longer - 1e-9 and (a == b or 1 - distance(a, b) / longer >= least - 1e-9)
+    if min(len(a), len(b)) < least * longer - 1e-9:
+        return False
+    if a == b:
+        return True
+    most = int((1 - least) * longer + 1e-6)
+    if longer > 120 and not _begins_like(a, b, most):
+        return False
+    return 1 - distance(a, b) / longer >= least - 1e-9
+
+
+def _begins_like(a: str, b: str, most: int) -> bool:
+    """Whether some beginning of b is within most edits of the first quarter of a: it must be, if a is of b."""
+    head = a[: len(a) // 4]
+    peq: dict[str, int] = {}
+    for i, c in enumerate(head):
+        peq[c] = peq.get(c, 0) | 1 << i
+    full, top = (1 << len(head)) - 1, 1 << (len(head) - 1)
+    up, down, score = full, 0, len(head)
+    for c in b[: len(head) + most]:
+        eq = peq.get(c, 0)
+        x = eq | down
+        d = ((((eq & up) + up) ^ up) | eq) & full
+        h_up, h_down = down | (full & ~(d | up)), up & d
+        score += bool(h_up & top) - bool(h_down & top)
+        if score <= most:
+            return True
+        h_up, h_down = (h_up << 1 | 1) & full, h_down << 1 & full
+        up, down = h_down | (full & ~(x | h_up)), h_up & x
+    return False
 
 
 def words_of(line: str) -> str:
@@ -371,8 +421,9 @@ def _removals(docs: DataFrame, chunk: int) -> DataFrame:
     place = F.struct("doc_id", "text_hash", "line")
     classes = stored(seen.groupBy("k1", "k2").agg(F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("many"), F.max("size").alias("weight")), "classes")
 
-    keyed = seen.select(F.explode("keys").alias("key"), "length", F.col("k1").alias("id"), "c1", "c2").repartition("key")
-    found = components(keyed.sortWithinPartitions("key", "length", "id").mapInArrow(tidy(_near), "a long, b long")).select(F.col("node").alias("id"), F.col("component").alias("region"))
+    keyed = seen.select(F.col("k1").alias("id"), "length", F.explode("prints").alias("print")).mapInArrow(tidy(_keyed), "key long, id long, s1 long, s2 long")
+    keyed = keyed.repartition(F.shiftright("key", _LENGTHS)).sortWithinPartitions("key")
+    found = components(keyed.mapInArrow(tidy(_near), "a long, b long")).select(F.col("node").alias("id"), F.col("component").alias("region"))
     found = stored(found.unionByName(found.select(F.col("region").alias("id"), "region").distinct()), "regions")
     members = classes.select(F.col("k1").alias("id"), (F.col("weight") + WEIGHT).alias("weight"), "first")
     members = stored(members.join(_small(found, 32), "id").select("region", "id", "weight", "first"), "members")
