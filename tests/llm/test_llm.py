@@ -260,6 +260,27 @@ def edited_line(rng, line, kind):
     return "".join(out)
 
 
+def test_simhashes_equal_plain_ones():
+    """A block from the definition: the grams dealt to it, and the sign of their sum in each bit."""
+    rng = random.Random(2)
+    forms = ["ab", "short line 12", prose(rng, 4), prose(rng, 30), prose(rng, 300), "日本" * 40]
+    data = np.frombuffer(b"".join(f.encode() + b" " for f in forms), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(f.encode()) + 1 for f in forms])])
+    length = np.array([len(f) for f in forms])
+    alone = [lines.simhashes(data[a:b], np.array([0, b - a]), length[k : k + 1]) for k, (a, b) in enumerate(zip(at, at[1:]))]
+    line, tier, blocks, count = lines.simhashes(data, at, length)
+    assert tier.tolist() == [t for x in alone for t in x[1].tolist()] and (blocks == np.concatenate([x[2] for x in alone])).all() and 0 not in line
+    for n, t, c in zip(line.tolist(), tier.tolist(), count):
+        least, q, dealt = lines._TIERS[t].tolist()
+        grams = len(forms[n].encode()) + 1 - q + 1
+        assert least * 0.9 - 1e-9 <= length[n] < least * lines.FACTOR + 1
+        if dealt <= lines.BLOCKS and lines.BLOCKS % dealt == 0:
+            assert c.sum() == grams * lines.BLOCKS // dealt  # each gram is dealt once in each round
+    assert (lines._gram_hashes(np.tile(data, 2000), 5)[: len(data) - 4] == lines._gram_hashes(data, 5)).all()
+    long = np.frombuffer(b"abcdefg" * 40_000, np.uint8)
+    assert len(set(lines._gram_hashes(long, 7).tolist())) == 7
+
+
 @pytest.mark.parametrize("kind,least", [("character", 0.98), ("word", 0.97), ("scattered", 0.95)])
 def test_similar_lines_share_a_block(kind, least):
     """By edit similarity alone: of pairs that an edit leaves similar, so many share a block, at all lengths."""
@@ -274,10 +295,10 @@ def test_similar_lines_share_a_block(kind, least):
     flat = [form for pair in pairs for form in pair]
     data = np.frombuffer(b"".join(f.encode() + b" " for f in flat), np.uint8)
     at = np.concatenate([[0], np.cumsum([len(f.encode()) + 1 for f in flat])])
-    line, key = lines.blocks_of(data, at, np.array([len(f) for f in flat]))
+    line, tier, blocks, count = lines.simhashes(data, at, np.array([len(f) for f in flat]))
     of = {}
-    for n, k in zip(line.tolist(), key.tolist()):
-        of.setdefault(n, set()).add(k)
+    for n, t, b, c in zip(line.tolist(), tier.tolist(), blocks, count):
+        of.setdefault(n, set()).update((t, k, b[k].tobytes()) for k in range(lines.BLOCKS) if c[k] >= lines.LEAST)
     share = [bool(of.get(2 * i, set()) & of.get(2 * i + 1, set())) for i in range(len(pairs))]
     assert len(pairs) > 150 and sum(share) >= least * len(pairs)
     strangers = [bool(of.get(2 * i, set()) & of.get(2 * i + 2, set())) for i in range(len(pairs) - 1)]
@@ -290,16 +311,17 @@ def test_near_in_a_crowd(monkeypatch):
     monkeypatch.setattr(lines, "CROWD", 80)
     rows = []
     for key, n in ((1, 3), (2, 70), (3, 200), (4, 1), (5, 40)):
-        rows += [(key, 100 + (i % 3), 1000 * key + i, 0, 0) for i in range(n)]
-    rows += [(2, 100, 2000, 0, 0), (3, 100, 3000, 0, 0)]
-    rows.sort(key=lambda r: (r[0], r[1], r[2]))
-    arrays = list(zip(*rows))
-    table = pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 1 else pa.int64()) for k, x in enumerate(arrays)], ["key", "length", "id", "c1", "c2"])
+        rows += [(key << 14 | 100 + (i % 3), 1000 * key + i, 5, 6) for i in range(n)]
+    rows += [(2 << 14 | 100, 2000, 5, 6), (3 << 14 | 100, 3000, 5, 6)]
+    rng.shuffle(rows)
+    rows.sort(key=lambda r: r[0])
+    table = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["key", "id", "s1", "s2"])
     for size in (7, 64, 1000):
         batches = [table.slice(lo, size) for lo in range(0, table.num_rows, size)]
         edges = [(a, b) for batch in lines._near(iter(batches)) for a, b in zip(*(c.to_pylist() for c in batch.columns))]
-        got = brute.roots({r[2] for r in rows}, edges)
-        assert got == {r[2]: 1000 * r[0] for r in rows}, (size, rng)
+        assert brute.roots({r[1] for r in rows}, edges) == {r[1]: 1000 * (r[0] >> 14) for r in rows}, size
+    apart = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ((1 << 14 | 100, 1 << 14 | 100, 1 << 14 | 120), (1, 2, 3), (0, -1, 0), (0, 0, 0))], ["key", "id", "s1", "s2"])
+    assert sum(batch.num_rows for batch in lines._near(iter([apart]))) == 0  # one SimHash is far, one line too long
 
 
 def test_lines_by_edit_similarity_alone(spark):
