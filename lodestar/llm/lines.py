@@ -40,7 +40,7 @@ SIMILARITY = 0.9
 #: Lines of fewer words keep their digits.
 FOLD = 5
 #: Of a SimHash: blocks, bits of one, grams dealt to one on average, and the least that one to be joined by must have.
-BLOCKS, BITS, GRAMS, LEAST = 12, 40, 4, 3
+BLOCKS, BITS, GRAMS, LEAST = 12, 32, 4, 3
 #: Bits of each block by which candidates are compared, and in how many of all of them they may differ.
 SKETCH, FAR = 10, 28
 #: Characters from which a tier begins: the shortest line that an edit can leave similar, then by this factor.
@@ -48,7 +48,7 @@ FIRST, FACTOR, TIERS = 10, 1.6, 30
 #: Rows that share a block and are compared in pairs; more are compared by regions alone.
 CROWD = 2000
 #: Characters that a task may hold of a region.
-CHUNK = 1_000_000
+CHUNK = 4_000_000
 #: Characters that a line counts for besides its own: the counts of its pairs.
 WEIGHT = 512
 _FOLD = LOWER.copy()
@@ -102,6 +102,20 @@ def _gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
+#: Four bits as numbers of 16 bits each, so that sums of four are taken at a time.
+_SPREAD = np.array([sum((n >> k & 1) << 16 * k for k in range(4)) for n in range(16)], np.uint64)
+
+
+def _signs(bits: np.ndarray, first: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """For runs of number hashes from first on: the bytes of the bits that more than half of them have."""
+    out = np.zeros((len(first), BITS // 8), np.uint8)
+    for k in range(BITS // 4):
+        total = np.add.reduceat(_SPREAD[bits >> np.uint64(4 * k) & np.uint64(15)], first)
+        for n in range(4):
+            out[:, k // 2] |= (2 * (total >> np.uint64(16 * n) & np.uint64(0xFFFF)) > number.view(np.uint64)).astype(np.uint8) << (4 * (k % 2) + n)
+    return out
+
+
 def simhashes(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines data[at[k]:at[k + 1]] of length characters, each once or twice in the order of the lines; for each of
     these rows its tier, the bytes of its blocks, and how many grams each block has (255 at most)."""
@@ -140,8 +154,7 @@ def simhashes(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.
                 cell, bits = cell[order], bits[order]
                 new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
                 number = np.diff(np.append(new, len(cell)))
-                ones = np.add.reduceat(np.unpackbits(bits.view(np.uint8).reshape(-1, 8)[:, : BITS // 8], axis=1), new, axis=0, dtype=np.int32)
-                held.reshape(-1, BITS // 8)[cell[new]] = np.packbits(2 * ones > number[:, None], axis=1)
+                held.reshape(-1, BITS // 8)[cell[new]] = _signs(bits, new, number)
                 count.ravel()[cell[new]] = np.minimum(number, 255)
             lines.append(rows), tiers.append(tier[rows]), blocks.append(held), sizes.append(count)
     line = np.concatenate(lines)
@@ -258,6 +271,18 @@ def _joined_up(length: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> Iter
             label[np.isin(label, names)] = label[i]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[np.ndarray]]:
+    """The columns of batches, so many together that there are least rows or more, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= least:
+            yield [np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(batch.num_columns)]
+            held = []
+    if any(b.num_rows for b in held):
+        yield [np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(held[0].num_columns)]
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For rows of _keyed() in the order of their keys: edges that connect the candidates."""
     rest: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(4)]
@@ -298,10 +323,8 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 yield from _joined_up(length[at], node[at], sketch[at])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns)]
+    for many_rows in _gathered(batches, 1 << 17):
+        rows = [np.concatenate(x) for x in zip(rest, many_rows)]
         block = rows[0] >> _LENGTHS
         last = int(np.searchsorted(block, block[-1]))
         crowded = crowd is not None and crowd == int(block[0])
@@ -317,58 +340,82 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found(pairs(rest, crowd is not None))
 
 
+def _places(text: str) -> dict[str, int]:
+    """For each character the bits of where it is in the text."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
 def distance(a: str, b: str) -> int:
-    """Levenshtein distance, a whole column of the table at a time in the bits of one integer."""
+    """Levenshtein distance, a whole column of the table at a time in the bits of one integer.
+
+    A bit of up or down says that the table's value rises or falls by one from a row to the next.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return len(b)
-    peq: dict[str, int] = {}
-    for i, c in enumerate(a):
-        peq[c] = peq.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
+    get = _places(a).get
+    full = (1 << len(a)) - 1
+    up, down = full, 0
     for c in b:
-        eq = peq.get(c, 0)
-        x = eq | down
-        d = ((((eq & up) + up) ^ up) | eq) & full
-        h_up, h_down = down | (full & ~(d | up)), up & d
-        score += bool(h_up & top) - bool(h_down & top)
-        h_up, h_down = (h_up << 1 | 1) & full, h_down << 1 & full
-        up, down = h_down | (full & ~(x | h_up)), h_up & x
-    return score
+        same = get(c, 0)
+        flat = same | down
+        same = (((same & up) + up) ^ up | same) & full
+        right = (down | full ^ (same | up)) << 1 | 1
+        left = (up & same) << 1
+        up = (left | ~(flat | right)) & full
+        down = right & flat & full
+    return len(b) + up.bit_count() - down.bit_count()
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    longer = max(len(a), len(b))
-    if min(len(a), len(b)) < least * longer - 1e-9:
+    return _similar(a, b, _codes(a), _codes(b), least)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _similar(a: str, b: str, codes_a: np.ndarray, codes_b: np.ndarray, least: float) -> bool:
+    longer, shorter = max(len(a), len(b)), min(len(a), len(b))
+    if shorter < least * longer - 1e-9:
         return False
-    if a == b:
-        return True
     most = int((1 - least) * longer + 1e-6)
-    if longer > 120 and not _begins_like(a, b, most):
-        return False
-    return 1 - distance(a, b) / longer >= least - 1e-9
-
-
-def _begins_like(a: str, b: str, most: int) -> bool:
-    """Whether some beginning of b is within most edits of the first quarter of a: it must be, if a is of b."""
-    head = a[: len(a) // 4]
-    peq: dict[str, int] = {}
-    for i, c in enumerate(head):
-        peq[c] = peq.get(c, 0) | 1 << i
-    full, top = (1 << len(head)) - 1, 1 << (len(head) - 1)
-    up, down, score = full, 0, len(head)
-    for c in b[: len(head) + most]:
-        eq = peq.get(c, 0)
-        x = eq | down
-        d = ((((eq & up) + up) ^ up) | eq) & full
-        h_up, h_down = down | (full & ~(d | up)), up & d
-        score += bool(h_up & top) - bool(h_down & top)
-        if score <= most:
-            return True
-        h_up, h_down = (h_up << 1 | 1) & full, h_down << 1 & full
-        up, down = h_down | (full & ~(x | h_up)), h_up & x
+    apart = np.flatnonzero(codes_a[:shorter] != codes_b[:shorter])
+    if len(apart) + longer - shorter <= most:
+        return True
+    begin = int(apart[0])  # what the two begin and end with does not add to their distance
+    rest = shorter - begin
+    apart = np.flatnonzero(codes_a[len(a) - rest :][::-1] != codes_b[len(b) - rest :][::-1])
+    end = int(apart[0]) if len(apart) else rest
+    a, b = a[begin : len(a) - end], b[begin : len(b) - end]
+    if max(len(a), len(b)) <= most:
+        return True
+    head = 2 * most + 16
+    return (head > 0.7 * len(a) or _begins_like(a[:head], b[: head + most], most)) and distance(a, b) <= most
+
+
+def _begins_like(head: str, text: str, most: int) -> bool:
+    """Whether some beginning of the text is within most edits of head. A step changes the distance by one at most."""
+    get = _places(head).get
+    full = (1 << len(head)) - 1
+    up, down, look = full, 0, max(1, len(head) - most)
+    for n, c in enumerate(text, 1):
+        same = get(c, 0)
+        flat = same | down
+        same = (((same & up) + up) ^ up | same) & full
+        right = (down | full ^ (same | up)) << 1 | 1
+        left = (up & same) << 1
+        up = (left | ~(flat | right)) & full
+        down = right & flat & full
+        if n == look:
+            now = n + up.bit_count() - down.bit_count()
+            if now <= most:
+                return True
+            look = n + now - most
     return False
 
 
@@ -380,20 +427,20 @@ def words_of(line: str) -> str:
     return (joined.translate(_FOLD_BYTES) if len(words) >= FOLD else joined).decode()
 
 
-def _load(column: pa.Array) -> list[tuple[str, np.ndarray]]:
-    """The words of lines, and how many pairs of neighbouring characters fall in each of 256 buckets."""
+def _load(column: pa.Array) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """The words of lines, their code points, and how many pairs of neighbouring characters fall in each of 256 buckets."""
     out = []
     for line in column.to_pylist():
         words = words_of(line)
-        codes = np.frombuffer(words.encode("utf-32-le"), np.uint32)
+        codes = _codes(words)
         pairs = (codes[:-1] * np.uint32(0x9E3779B1) + codes[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(24)
-        out.append((words, np.minimum(np.bincount(pairs, minlength=256), 32767).astype(np.int16)))
+        out.append((words, codes, np.minimum(np.bincount(pairs, minlength=256), 32767).astype(np.int16)))
     return out
 
 
-def _linked(items: list[tuple[str, np.ndarray]]):
-    length = np.array([len(words) for words, _ in items])
-    counts = np.stack([c for _, c in items])
+def _linked(items: list[tuple[str, np.ndarray, np.ndarray]]):
+    length = np.array([len(words) for words, _, _ in items])
+    counts = np.stack([c for _, _, c in items])
 
     def test(i: int, others: np.ndarray) -> np.ndarray:
         out = np.zeros(len(others), bool)
@@ -402,7 +449,7 @@ def _linked(items: list[tuple[str, np.ndarray]]):
             part = np.flatnonzero(np.abs(length[others[lo : lo + 4096]] - length[i]) <= most[lo : lo + 4096]) + lo
             gap = np.abs(counts[others[part]] - counts[i]).sum(axis=1, dtype=np.int64)
             for k in part[gap <= 4 * most[part]]:  # an edit changes two pairs of each at most
-                out[k] = similar(items[i][0], items[others[k]][0])
+                out[k] = _similar(items[i][0], items[others[k]][0], items[i][1], items[others[k]][1], SIMILARITY)
         return out
 
     return test
