@@ -30,17 +30,25 @@ Linked = Callable[[list], Callable[[int, np.ndarray], np.ndarray]]
 
 
 def _joins(items: list, active: np.ndarray, label: np.ndarray, linked: Linked) -> Iterator[tuple[int, int]]:
+    """Links that join what has different labels, until all active items have been compared with all that is not joined to them.
+
+    An item is compared with a few others first, then with more: what those are joined to need not be compared any more.
+    """
     test = linked(items)
     for i in np.flatnonzero(active):
         other = np.flatnonzero(label != label[i])
         if not len(other):
             return
         other = other[(other > i) | ~active[other]]
-        if len(other):
-            for j in other[test(i, other)]:
+        step = 4
+        while len(other):
+            part, other = other[:step], other[step:]
+            for j in part[test(i, part)]:
                 if label[j] != label[i]:
                     yield i, j
                     label[label == label[j]] = label[i]
+            other = other[label[other] != label[i]]
+            step *= 4
 
 
 def _compare(load: Load, linked: Linked) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
