@@ -305,6 +305,17 @@ def test_similar_lines_share_a_block(kind, least):
     assert sum(strangers) <= 0.02 * len(strangers)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab", min_size=1, max_size=60), st.lists(st.tuples(st.integers(0, 59), st.sampled_from(["", "a", "ba", "c"])), max_size=7), st.sampled_from([0.9, 0.7, 0.5]))
+def test_similar_equals_distance(a, edits, least):
+    b = list(a)
+    for at, new in edits:
+        b[at % len(b)] = new
+    b = "".join(b)
+    longer = max(len(a), len(b))
+    assert lines.similar(a, b, least) == (brute.levenshtein(a, b) <= int((1 - least) * longer + 1e-6))
+
+
 def test_near_in_a_crowd(monkeypatch):
     """What candidates connect does not depend on how rows are batched, nor on which way a key is compared."""
     rng = random.Random(5)
@@ -316,6 +327,8 @@ def test_near_in_a_crowd(monkeypatch):
     rng.shuffle(rows)
     rows.sort(key=lambda r: r[0])
     table = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["key", "id", "s1", "s2"])
+    gathered = lines._gathered
+    monkeypatch.setattr(lines, "_gathered", lambda batches, _: gathered(batches, 1))
     for size in (7, 64, 1000):
         batches = [table.slice(lo, size) for lo in range(0, table.num_rows, size)]
         edges = [(a, b) for batch in lines._near(iter(batches)) for a, b in zip(*(c.to_pylist() for c in batch.columns))]
