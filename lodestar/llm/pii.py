@@ -28,7 +28,7 @@ from .bilstm_crf import Tagger
 from .spans import Span, digest, found, ordered, redact
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, OVERLAP, SURE = 1024, 64, 0.9
+WINDOW, OVERLAP, SURE = 2048, 64, 0.9
 #: Characters of a training window, hidden units, and how long to train on how many texts.
 TAUGHT, HIDDEN, STEPS, TEXTS = 128, 16, 900, 6000
 #: Windows decoded at a time.
