@@ -25,12 +25,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _shared
 from ._shared import kept, scratch, small, stored, unused
 from ._text import ALNUM, LOWER, NONSPACE, mix, pieces, tidy, word_bounds, word_hashes
 from .components import components, forest
@@ -48,9 +50,9 @@ FIRST, FACTOR, TIERS = 10, 1.6, 30
 #: Rows that share a block and are compared in pairs; more are compared by regions alone.
 CROWD = 2000
 #: Characters that a task may hold of a region.
-CHUNK = 4_000_000
-#: Characters that a line counts for besides its own: the counts of its pairs.
-WEIGHT = 512
+CHUNK = 2_000_000
+#: Characters that a line counts for besides its own.
+WEIGHT = 256
 _FOLD = LOWER.copy()
 _FOLD[48:58] = 48
 _FOLD_BYTES, _LOWER_BYTES = _FOLD.tobytes(), LOWER.tobytes()
@@ -211,6 +213,15 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x) for x in columns), prints, pa.array(np.diff(cuts)[rows])], ["doc_id", "text_hash", "line", "k1", "k2", "length", "prints", "size"])
 
 
+def _sketches(blocks: np.ndarray) -> np.ndarray:
+    """SKETCH bits of each block of the rows, in two numbers."""
+    some = blocks[:, :, 0].astype(np.uint64) << np.uint64(SKETCH - 8) | blocks[:, :, 1].astype(np.uint64) >> np.uint64(16 - SKETCH)
+    out = np.zeros((len(blocks), 2), np.uint64)
+    for k in range(BLOCKS):
+        out[:, k % 2] = out[:, k % 2] << np.uint64(SKETCH) | some[:, k]
+    return out
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For rows (id, length, print): a row for each block to be joined by: its key, which is the tier, the block's number, the
     block and the length; the id, and SKETCH bits of each block in two numbers."""
@@ -224,10 +235,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(BITS // 8):
                 key = key << np.uint64(8) | blocks[row, number, k]
             key = key << np.uint64(_LENGTHS) | np.minimum(part.column(1).to_numpy()[row], (1 << _LENGTHS) - 1).astype(np.uint64)
-            some = blocks[:, :, 0] << np.uint64(SKETCH - 8) | blocks[:, :, 1] >> np.uint64(16 - SKETCH)
-            sketch = np.zeros((len(prints), 2), np.uint64)
-            for k in range(BLOCKS):
-                sketch[:, k % 2] = sketch[:, k % 2] << np.uint64(SKETCH) | some[:, k]
+            sketch = _sketches(blocks)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(sketch[row, 0].view(np.int64)), pa.array(sketch[row, 1].view(np.int64))], ["key", "id", "s1", "s2"])
 
 
@@ -427,29 +435,42 @@ def words_of(line: str) -> str:
     return (joined.translate(_FOLD_BYTES) if len(words) >= FOLD else joined).decode()
 
 
-def _load(column: pa.Array) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """The words of lines, their code points, and how many pairs of neighbouring characters fall in each of 256 buckets."""
-    out = []
-    for line in column.to_pylist():
-        words = words_of(line)
-        codes = _codes(words)
-        pairs = (codes[:-1] * np.uint32(0x9E3779B1) + codes[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(24)
-        out.append((words, codes, np.minimum(np.bincount(pairs, minlength=256), 32767).astype(np.int16)))
-    return out
+class Line(NamedTuple):
+    """The words of a line, their code points, and their SimHashes' tiers and sketches: of a second tier, or of none."""
+
+    words: str
+    codes: np.ndarray
+    tiers: tuple[int, int]
+    sketches: np.ndarray
+
+
+def _load(column: pa.Array) -> list[Line]:
+    words = [words_of(line) for line in column.to_pylist()]
+    raw = [w.encode() + b" " for w in words]
+    length = np.array([len(w) for w in words], np.int64)
+    line, tier, blocks, _ = simhashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), length)
+    tiers, sketches = np.full((len(words), 2), -1), np.zeros((len(words), 2, 2), np.uint64)
+    second = np.concatenate([[False], line[1:] == line[:-1]]).astype(np.int64)
+    tiers[line, second], sketches[line, second] = tier, _sketches(blocks)
+    return [Line(w, _codes(w), tuple(t), s) for w, t, s in zip(words, tiers.tolist(), sketches)]
 
 
-def _linked(items: list[tuple[str, np.ndarray, np.ndarray]]):
-    length = np.array([len(words) for words, _, _ in items])
-    counts = np.stack([c for _, _, c in items])
+def _linked(items: list[Line]):
+    length = np.array([len(line.words) for line in items])
+    tiers, sketches = np.array([line.tiers for line in items]), np.stack([line.sketches for line in items])
 
     def test(i: int, others: np.ndarray) -> np.ndarray:
         out = np.zeros(len(others), bool)
-        most = _most(np.maximum(length[others], length[i]))
-        for lo in range(0, len(others), 4096):
-            part = np.flatnonzero(np.abs(length[others[lo : lo + 4096]] - length[i]) <= most[lo : lo + 4096]) + lo
-            gap = np.abs(counts[others[part]] - counts[i]).sum(axis=1, dtype=np.int64)
-            for k in part[gap <= 4 * most[part]]:  # an edit changes two pairs of each at most
-                out[k] = _similar(items[i][0], items[others[k]][0], items[i][1], items[others[k]][1], SIMILARITY)
+        near = np.zeros(len(others), bool)  # candidates, whichever of their tiers they have in common
+        for k in (0, 1):
+            for n in (0, 1):
+                if tiers[i, k] >= 0:
+                    differ = np.bitwise_count(sketches[others, n] ^ sketches[i, k]).sum(axis=1, dtype=np.int64)
+                    near |= (tiers[others, n] == tiers[i, k]) & (differ <= FAR)
+        near &= np.abs(length[others] - length[i]) <= _most(np.maximum(length[others], length[i]))
+        for k in np.flatnonzero(near):
+            one, other = items[i], items[others[k]]
+            out[k] = _similar(one.words, other.words, one.codes, other.codes, SIMILARITY)
         return out
 
     return test
@@ -474,10 +495,10 @@ def _removals(docs: DataFrame, chunk: int) -> DataFrame:
     found = stored(found.unionByName(found.select(F.col("region").alias("id"), "region").distinct()), "regions")
     members = classes.select(F.col("k1").alias("id"), (F.col("weight") + WEIGHT).alias("weight"), "first")
     members = stored(members.join(_small(found, 32), "id").select("region", "id", "weight", "first"), "members")
-    few = small(members, 128)
 
     def attach(deal: DataFrame) -> DataFrame:
         need = deal.join(members.select("id", "first.*").dropDuplicates(["id"]), "id")
+        few = deal.count() * 128 <= _shared.BROADCAST_BYTES
         on = [docs["doc_id"].eqNullSafe(need["doc_id"]), docs["text_hash"] == need["text_hash"]]
         return docs.join(F.broadcast(need) if few else need, on).select(*[need[c] for c in deal.columns], F.get(F.split("text", "\n"), F.col("line")).alias("payload"))
 

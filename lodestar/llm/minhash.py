@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import kept, long_id, scratch, small, stored
+from . import _shared
+from ._shared import kept, long_id, scratch, stored
 from ._text import LOWER, NONSPACE, mix, pieces, rows_of, run_hashes, tidy, whole_hash, word_bounds, word_hashes
 from .components import components
 from .neighbours import neighbour_edges
@@ -198,11 +199,10 @@ def _near_duplicates(docs: DataFrame, percent: int, chunk: int, chunk_nodes: int
     near = stored(_regions(candidates, nodes.select("id", F.lit(1).cast("long").alias("weight"))), "near")
     tight = links(near, lambda deal: nodes.select("id", F.col("sketch").alias("payload")).join(deal, "id"), sketches, alike(percent), chunk_nodes)
     members = stored(_regions(tight, nodes.select("id", F.col("n_shingles").alias("weight"))), "members")
-    few = small(members, 64)
     one_text = docs.where("doc_id is not null").withColumnRenamed("doc_id", "id").withColumnRenamed("text", "payload")
 
     def attach(deal: DataFrame) -> DataFrame:
-        return one_text.join(F.broadcast(deal) if few else deal, "id")
+        return one_text.join(F.broadcast(deal) if deal.count() * 64 <= _shared.BROADCAST_BYTES else deal, "id")
 
     edges = links(members, attach, sets, linked(percent), chunk)
     # rows that share a doc_id are one document
