@@ -502,7 +502,13 @@ def _removals(docs: DataFrame, chunk: int) -> DataFrame:
         on = [docs["doc_id"].eqNullSafe(need["doc_id"]), docs["text_hash"] == need["text_hash"]]
         return docs.join(F.broadcast(need) if few else need, on).select(*[need[c] for c in deal.columns], F.get(F.split("text", "\n"), F.col("line")).alias("payload"))
 
-    edges = links(members.select("region", "id", "weight"), attach, _load, _linked, chunk)
+    def regroup(ids: DataFrame) -> DataFrame:
+        """Lines that share a block: candidates do, and regions of candidates grow together as lines become many."""
+        some = seen.select(F.col("k1").alias("id"), "length", "prints").join(_small(ids, 16), "id", "left_semi")
+        some = some.select("id", "length", F.explode("prints").alias("print")).mapInArrow(tidy(_keyed), "key long, id long, s1 long, s2 long")
+        return some.select("id", F.shiftright("key", _LENGTHS).alias("group")).distinct()
+
+    edges = links(members.select("region", "id", "weight"), attach, _load, _linked, chunk, regroup)
     groups = components(edges).select(F.col("node").alias("k1"), F.col("component").alias("group"))
     groups = stored(groups.unionByName(groups.select(F.col("group").alias("k1"), "group").distinct()), "groups")
     fuzzy = classes.join(_small(groups, 32), "k1").select("k1", "k2", "first", "group")

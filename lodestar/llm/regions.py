@@ -4,8 +4,9 @@ A region is a group of nodes outside which its nodes have no link. Its nodes are
 bounded weight. In a chunk a node is compared with the nodes not yet joined to it, so that a region
 whose nodes are mostly linked takes few comparisons and gives one edge a node, never all pairs. Some
 nodes of a large region, its pivots, go into all its chunks and join them. Nodes that are then outside
-the region's largest component are compared with all nodes of the other chunks, in blocks. So no
-link between different components is lost.
+the region's largest component are compared with all nodes that they may be linked with, in blocks: with those of
+the other chunks, or, where the caller can part a large region into smaller groups outside which there are no links
+(a node may be in several), with those of their groups. So no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ _EDGES = "a long, b long"
 #: What a batch of payloads becomes, an object a row; for the objects of a group, the link test of one with others.
 Load = Callable[[pa.Array], list]
 Linked = Callable[[list], Callable[[int, np.ndarray], np.ndarray]]
+#: For a frame with the column id: id and group (long), a row for each group that a node is in.
+Regroup = Callable[[DataFrame], DataFrame]
 
 
 def _joins(items: list, active: np.ndarray, label: np.ndarray, linked: Linked) -> Iterator[tuple[int, int]]:
@@ -95,17 +98,17 @@ def _run(deal: DataFrame, attach: Callable[[DataFrame], DataFrame], load: Load,
     return stored(rows.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(tidy(_compare(load, linked)), _EDGES), "links")
 
 
-def links(members: DataFrame, attach: Callable[[DataFrame], DataFrame], load: Load, linked: Linked, chunk: int) -> DataFrame:
+def links(members: DataFrame, attach: Callable[[DataFrame], DataFrame], load: Load, linked: Linked, chunk: int, regroup: Regroup | None = None) -> DataFrame:
     """Edges a, b that connect what the links connect.
 
     members: region, id, weight (long), none of them null; stored, and so may be empty. attach adds the column payload
     to a frame with the column id. chunk: the weight that a task may hold of a region; one node may weigh more.
     """
     with scratch():
-        return _links(members, attach, load, linked, chunk)
+        return _links(members, attach, load, linked, chunk, regroup)
 
 
-def _links(members: DataFrame, attach: Callable[[DataFrame], DataFrame], load: Load, linked: Linked, chunk: int) -> DataFrame:
+def _links(members: DataFrame, attach: Callable[[DataFrame], DataFrame], load: Load, linked: Linked, chunk: int, regroup: Regroup | None) -> DataFrame:
     large = stored(members.groupBy("region").agg(F.sum("weight").alias("_w")).where(F.col("_w") > chunk).select("region", F.ceil(F.col("_w") / chunk).alias("chunks")), "large")
     deal = members.join(large, "region", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     deal = deal.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")).withColumn("block", F.lit(0).cast("long")).withColumn("active", F.lit(True)).withColumn("known", F.col("id"))
@@ -121,13 +124,18 @@ def _links(members: DataFrame, attach: Callable[[DataFrame], DataFrame], load: L
     nodes = deal.where("chunks > 1").drop("known").join(joined.select(F.col("node").alias("id"), F.col("component").alias("known")), "id", "left").withColumn("known", F.coalesce("known", "id"))
     nodes = stored(nodes, "joined")
     main = nodes.groupBy("region", "known").agg(F.count("*").alias("_n")).groupBy("region").agg(F.max_by("known", F.struct("_n", "known")).alias("_main"))
-    rest = stored(nodes.join(main, "region").where("known <> _main").drop("_main"), "rest")
-    if rest.isEmpty():
+    nodes = nodes.join(main, "region").select("region", "id", "weight", "known", (F.col("known") != F.col("_main")).alias("active"))
+    if regroup is not None:
+        ids = stored(nodes.select("id"), "ids")
+        nodes = nodes.drop("region").join(regroup(ids).select("id", F.col("group").alias("region")), "id")
+    nodes = stored(nodes, "groups")
+    total = nodes.groupBy("region").agg(F.sum("weight").alias("_all"), F.sum(F.when(F.col("active"), F.col("weight"))).alias("_some"), F.min("known").alias("_low"), F.max("known").alias("_high"))
+    total = stored(total.where("_some is not null and _low <> _high").select("region", F.ceil(F.col("_all") / chunk).alias("chunks"), F.ceil(F.col("_some") / chunk).alias("blocks")), "sizes")
+    if total.isEmpty():
         return first
-    blocks = rest.groupBy("region").agg(F.ceil(F.sum("weight") / chunk).alias("blocks"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    rest = rest.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), "blocks"))
-    asked = rest.withColumn("_to", each("chunks")).withColumn("chunk", F.col("_to")).withColumn("active", F.lit(True))
-    held = nodes.join(blocks, "region").withColumn("_to", each("blocks")).withColumn("block", F.col("_to")).withColumn("active", F.lit(False))
+    nodes = nodes.join(total, "region")
+    asked = nodes.where("active").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), "blocks")).withColumn("chunk", each("chunks"))
+    held = nodes.where("not active or chunks > 1").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")).withColumn("block", each("blocks")).withColumn("active", F.lit(False))
     columns = ["region", "chunk", "block", "active", "known", "id"]
     return first.unionByName(kept(_run(asked.select(columns).unionByName(held.select(columns)), attach, load, linked)))
