@@ -105,6 +105,9 @@ def test_regions_lose_no_link(spark, chunk):
     got = brute.roots(ids, [tuple(r) for r in edges.collect()])
     same = [(a, b) for a in ids for b in ids if a < b and link(a, b) and (a < 200 or a == 300) == (b < 200 or b == 300)]
     assert got == brute.roots(ids, same)
+    groups = lambda frame: frame.selectExpr("id", "explode(array(id div 4, id div 4 + 1, case when id = 300 or id % 20 = 0 then 1000 else 999 - id end)) as group")  # noqa: E731  neighbours share one, and the hub's nodes
+    edges = regions.links(members, lambda deal: deal.withColumn("payload", deal["id"]), lambda column: column.to_pylist(), linked, chunk, groups)
+    assert brute.roots(ids, [tuple(r) for r in edges.collect()]) == got
 
 
 # ---- 3
@@ -224,6 +227,7 @@ def test_decontamination_clash(docs, bench):
 @pytest.mark.parametrize("broadcast", [64 << 20, 0])
 def test_lines_equal_brute_force(spark, broadcast, monkeypatch):
     monkeypatch.setattr(_shared, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(lines.removals, "__defaults__", (2000 if not broadcast else lines.CHUNK,))
     monkeypatch.setattr(lines, "CROWD", 3 if broadcast else 2000)
     rng = random.Random(9)
     pool = [prose(rng, rng.choice([3, 8, 40, 90])) for _ in range(25)]
