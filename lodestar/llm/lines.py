@@ -44,7 +44,7 @@ FOLD = 5
 #: Of a SimHash: blocks, bits of one, grams dealt to one on average, and the least that one to be joined by must have.
 BLOCKS, BITS, GRAMS, LEAST = 12, 32, 4, 3
 #: Bits of each block by which candidates are compared, and in how many of all of them they may differ.
-SKETCH, FAR = 10, 28
+SKETCH, FAR = 10, 24
 #: Characters from which a tier begins: the shortest line that an edit can leave similar, then by this factor.
 FIRST, FACTOR, TIERS = 10, 1.6, 30
 #: Rows that share a block and are compared in pairs; more are compared by regions alone.
