@@ -37,7 +37,7 @@ from .regions import links
 SAMPLES, WALKS, SYMBOLS, LOWEST = 32, 3, 64, 4
 #: Near pairs are alike by this, and have a band in common: of BANDS for each walk and scale, with WIDTH samples each,
 #: drawn from those steps that any text of the scale reaches.
-LEAST, BANDS, WIDTH = 0.5, 6, 8
+LEAST, BANDS, WIDTH = 0.5, 8, 11
 #: Texts walked at a time; characters of them at most, unless one has more.
 TEXTS, CHARACTERS = 20_000, 12_000_000
 #: Rows that a range of ids should have, and ranges at most.
@@ -160,11 +160,12 @@ def _parsed(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def likenesses(a: list[str], b: list[str]) -> np.ndarray:
     """0 to 1, for each pair of fingerprints: how much of the two texts is alike."""
-    if not len(a):
-        return np.zeros(0)
-    (scale_a, x), (scale_b, y) = _parsed(a), _parsed(b)
+    return _alike(*_parsed(a), *_parsed(b)) if len(a) else np.zeros(0)
+
+
+def _alike(scale_a: np.ndarray, x: np.ndarray, scale_b: np.ndarray, y: np.ndarray) -> np.ndarray:
     gap = scale_a - scale_b
-    out = np.zeros(len(a))
+    out = np.zeros(len(x))
     # of one scale: both halves; else the longer text's own scale is the shorter one's next
     for step, p, q in ((0, slice(0, 2), slice(0, 2)), (1, slice(0, 1), slice(1, 2)), (-1, slice(1, 2), slice(0, 1))):
         rows = np.flatnonzero(gap == step)
@@ -239,10 +240,11 @@ def _near_groups(prints: DataFrame, least: float) -> DataFrame:
     near = components(chain).select(F.col("node").alias("id"), F.col("component").alias("region"))
     near = stored(near.unionByName(near.select(F.col("region").alias("id"), "region").distinct()).withColumn("weight", F.lit(1).cast("long")), "near")
 
-    def linked(items: list[str]):
-        return lambda i, others: likenesses([items[i]] * len(others), [items[k] for k in others]) >= least
+    def linked(items: list[tuple[int, np.ndarray]]):
+        scale, samples = np.array([k for k, _ in items]), np.stack([x for _, x in items])
+        return lambda i, others: _alike(np.full(len(others), scale[i]), np.broadcast_to(samples[i], (len(others), *samples[i].shape)), scale[others], samples[others]) >= least
 
-    edges = links(near, lambda deal: nodes.select("id", F.col("fingerprint").alias("payload")).join(deal, "id"), lambda column: column.to_pylist(), linked, NODES)
+    edges = links(near, lambda deal: nodes.select("id", F.col("fingerprint").alias("payload")).join(deal, "id"), lambda column: list(zip(*_parsed(column.to_pylist()))), linked, NODES)
     found = components(edges)
     found = kept(stored(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "groups"))
     lows = nodes.join(found, nodes["id"] == found["node"]).groupBy("component").agg(F.min("low").alias("low"))
