@@ -506,7 +506,9 @@ def _removals(docs: DataFrame, chunk: int) -> DataFrame:
         """Lines that share a block: candidates do, and regions of candidates grow together as lines become many."""
         some = seen.select(F.col("k1").alias("id"), "length", "prints").join(_small(ids, 16), "id", "left_semi")
         some = some.select("id", "length", F.explode("prints").alias("print")).mapInArrow(tidy(_keyed), "key long, id long, s1 long, s2 long")
-        return some.select("id", F.shiftright("key", _LENGTHS).alias("group")).distinct()
+        some = stored(some.select("id", F.shiftright("key", _LENGTHS).alias("group")).distinct(), "blocks")
+        shared = some.groupBy("group").count().where("count > 1").select("group")
+        return some.join(shared, "group", "left_semi")
 
     edges = links(members.select("region", "id", "weight"), attach, _load, _linked, chunk, regroup)
     groups = components(edges).select(F.col("node").alias("k1"), F.col("component").alias("group"))
