@@ -109,6 +109,8 @@ def _cut(frame: DataFrame) -> DataFrame:
     """The frame with its lineage cut by a checkpoint in the folder that the session names."""
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = frame.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestar-"))
     return frame.checkpoint()

@@ -89,15 +89,19 @@ def terms(queries: DataFrame, text: Column) -> DataFrame:
 
 def search(docs: DataFrame, query: Query, index: Index | None = None) -> DataFrame:
     """One query with all its filters over docs(doc_id, doc_key, title, specification, assignee, cpc, effective, country):
-    doc_id, score, matched, in order; at most its limit.
+    doc_id, score, matched, in order; at most its limit. Of further columns, abstract and claims (structs with a text) are
+    searched for what is excluded, and inventors, an array of names, for those.
 
     Without any term every document that passes the filters is returned, with score 0.
     """
     spark = docs.sparkSession
     index = index or build(docs)
     held = document_terms(F.col("title"), F.col("specification"))
-    whole = F.concat_ws("\n", "title", "specification")
-    rows = with_numbers(docs, query).where(condition(query, whole, assignees=F.array("assignee")))
+    parts = [F.col(c) for c in ("title", "abstract", "specification") if c in docs.columns]
+    if "claims" in docs.columns:
+        parts.append(F.array_join(F.col("claims.text"), "\n"))
+    inventors = F.col("inventors") if "inventors" in docs.columns else None
+    rows = with_numbers(docs, query).where(condition(query, F.concat_ws("\n", *parts), assignees=F.array("assignee"), inventors=inventors))
     rows = rows.withColumn("_terms", held).where(required_groups(query, F.col("_terms"))).withColumn("matched", matched_keywords(query, F.col("_terms")).cast("long"))
     rows = rows.where(F.col("matched") >= query.least_match()).select("doc_id", "matched")
     asked = spark.createDataFrame([(0, t) for t in dict.fromkeys(_words(query))], "query_id long, term string")

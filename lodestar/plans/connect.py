@@ -81,14 +81,14 @@ SELECT l_orderkey AS app_number, CASE l_suppkey % 3 WHEN 0 THEN 'CTNF' ELSE 'CTF
 
 def wrapper_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of an order's lines under their headers, oldest first."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    li = table(spark, sf_dir, "lineitem")
     rows = li.select(F.col("l_orderkey").alias("app_number"), F.col("l_returnflag").alias("code"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.concat(F.lit(" part "), F.col("l_partkey").cast("string"), F.lit("\n")).alias("text"))
     return offices.wrapper_text(rows)
 
 
 WRAPPER_TEXT_SQL = """
 SELECT l_orderkey AS app_number, string_agg('=== ' || l_returnflag || ' ' || strftime(l_shipdate, '%Y-%m-%d') || ' ===' || chr(10) || 'part ' || l_partkey, chr(10) || chr(10)
-       ORDER BY strftime(l_shipdate, '%Y-%m-%d'), '=== ' || l_returnflag || ' ' || strftime(l_shipdate, '%Y-%m-%d') || ' ===' || chr(10) || 'part ' || l_partkey) AS text FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1
+       ORDER BY strftime(l_shipdate, '%Y-%m-%d'), '=== ' || l_returnflag || ' ' || strftime(l_shipdate, '%Y-%m-%d') || ' ===' || chr(10) || 'part ' || l_partkey) AS text FROM lineitem GROUP BY 1
 """
 
 

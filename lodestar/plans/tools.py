@@ -159,7 +159,7 @@ class Toolset:
     def notify(self, subject: str, body: str) -> dict:
         return {"sent": notify(self._notifiers, subject, body)}
 
-    NAMES = ("search_patents", "get_patent", "guided_search_start", "guided_search_feedback", "guided_search_execute", "guided_search_status", "get_search_trace", "estimate_search_time", "chart_limitation", "build_claim_chart", "summarize_key_limitations", "notify")
+    NAMES = ("search_patents", "get_patent", "guided_search_start", "guided_search_feedback", "guided_search_execute", "guided_search_status", "get_search_trace", "estimate_search_time", "chart_limitation", "build_claim_chart", "summarize_key_limitations", "notify", "index_patents", "cluster_patents", "run_eval")
 
     def tools(self) -> list[Tool]:
         return [Tool(n, (getattr(self, n).__doc__ or n).strip(), {"type": "object"}, lambda a, n=n: getattr(self, n)(**a)) for n in self.NAMES]

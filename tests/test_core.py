@@ -265,3 +265,11 @@ def test_records(spark):
     assert r["m"] == {"a": "1", "b": "3"} and r["ends"] == dt.date(2031, 1, 1) and r["code"] == "H04L65/403" and r["abstract"] == 1003
     assert r["limit"] == 25 and r["cutoff"] == dt.date(2020, 1, 1)
     assert rows.withColumn("x", F.lit(None).cast("int")).where(R.equal(x=None)).count() == 1
+
+
+def test_search_by_inventor_and_whole_text(spark):
+    """Inventors are asked for, and excluded words are looked for in abstracts and claims too."""
+    kind = "doc_id long, doc_key string, title string, specification string, assignee string, cpc array<string>, effective date, country string, inventors array<string>, abstract string, claims array<struct<text:string>>"
+    rows = [(1, "US1", "gear", "a gear", "x", [], None, "US", ["Ann Lee"], "plain", [("a gear",)]), (2, "US2", "gear", "a gear", "x", [], None, "US", ["Bo Roy"], "plain", []), (3, "US3", "gear", "a gear", "x", [], None, "US", ["Ann Lee"], "of trash", None), (4, "US4", "gear", "a gear", "x", [], None, "US", ["Ann Lee", "C"], None, [("trash",)])]
+    found = keyword.search(spark.createDataFrame(rows, kind), Query(keywords=("gear",), inventors=("ann",), excluded=("trash",)))
+    assert [r["doc_id"] for r in found.collect()] == [1]
