@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ._shared import stored
 from ._text import tidy
-from .tokens import encoder
+from .tokens import REMEMBERED, encoder
 
 WINDOW, END = 4096, 2
 #: Ids and documents of a shard, ids of a range, and ranges at most.
@@ -43,12 +43,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenized(docs: DataFrame, path: str) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, ids (16-bit, with the end id), n of them, key; for each row of docs(doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, np.array([END], "<u2").tobytes()
+        encode, end = encoder(path, remembered).encode, np.array([END], "<u2").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
@@ -178,10 +178,13 @@ def powers(pieces: list[Piece]) -> list[list[Piece]]:
     return out
 
 
-def pack(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds the ids."""
+def pack(docs: DataFrame, path: str | None = None, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds the ids.
+
+    remembered: chunks of text whose ids a worker keeps; fewer take less memory and more time.
+    """
     path = path or default_tokenizer()
-    table = stored(tokenized(docs, path), "tokens")
+    table = stored(tokenized(docs, path, remembered), "tokens")
     rows, total = table.agg(F.count("*"), F.sum("n")).first()
     df = table.select("ids").mapInArrow(tidy(_frequencies), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
     idf = np.zeros(1 << 16, np.float32)

@@ -46,9 +46,10 @@ def _packed(ids: list[int]) -> bytes:
 class Encoder:
     """encode(text) gives the ids as little-endian 16-bit bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
+        self._most = remembered
         self._whole = Tokenizer.from_file(path)
         self._model = self._whole.model
         if self._whole.get_vocab_size() > 1 << 16:
@@ -92,7 +93,7 @@ class Encoder:
             if ids is None:
                 ids = self._new(chunk)
             if len(chunk) <= 64:
-                if len(self._recent) >= REMEMBERED:
+                if len(self._recent) >= self._most:
                     self._older, self._recent = self._recent, {}
                 self._recent[chunk] = ids
         return ids
@@ -110,14 +111,14 @@ class Encoder:
         return _packed(self._whole.encode(chunk, add_special_tokens=False).ids)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this process for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    """The encoder of this process for a tokenizer file, which remembers so many chunks."""
+    if (path, remembered) not in _encoders:
+        _encoders[path, remembered] = Encoder(path, remembered)
+    return _encoders[path, remembered]
 
 
 def forget() -> None:
