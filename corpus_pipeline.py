@@ -45,7 +45,7 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, with their token ids."""
     ship(spark)
-    return packing.pack(docs, with_ids=True)
+    return packing.pack(docs, with_ids=True, remembered=50_000)  # beside what earlier stages left in the executors
 
 
 STAGES: list[tuple[str, Stage]] = [
