@@ -36,7 +36,8 @@ from . import _shared
 from ._shared import kept, scratch, small, stored, unused
 from ._text import ALNUM, LOWER, NONSPACE, mix, pieces, tidy, word_bounds, word_hashes
 from .components import components, forest
-from .regions import links
+from .levenshtein import within
+from .regions import Pairs, links
 
 SIMILARITY = 0.9
 #: Lines of fewer words keep their digits.
@@ -53,6 +54,10 @@ CROWD = 2000
 CHUNK = 2_000_000
 #: Characters that a line counts for besides its own.
 WEIGHT = 256
+#: Lines of a task that are remembered, to be given no second SimHash.
+KNOWN = 500_000
+#: Lines from which a group is compared in many pairs at a time, pairs that are fewer than that pays for, and characters of those compared together.
+GROUP, FEW, TOGETHER = 6, 16, 1_000_000
 _FOLD = LOWER.copy()
 _FOLD[48:58] = 48
 _FOLD_BYTES, _LOWER_BYTES = _FOLD.tobytes(), LOWER.tobytes()
@@ -118,16 +123,16 @@ def _signs(bits: np.ndarray, first: np.ndarray, number: np.ndarray) -> np.ndarra
     return out
 
 
-def simhashes(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def simhashes(data: np.ndarray, at: np.ndarray, length: np.ndarray, asked: np.ndarray | bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines data[at[k]:at[k + 1]] of length characters, each once or twice in the order of the lines; for each of
-    these rows its tier, the bytes of its blocks, and how many grams each block has (255 at most)."""
+    these rows its tier, the bytes of its blocks, and how many grams each block has (255 at most). asked: which lines have any."""
     lines, tiers, blocks, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, BLOCKS, BITS // 8), np.uint8)], [np.zeros((0, BLOCKS), np.uint8)]
     own = np.searchsorted(_TIERS[:, 0], length, "right") - 1
     above = np.searchsorted(_TIERS[:, 0] * SIMILARITY - 1e-9, length, "right") - 1
     for q in sorted(set(_TIERS[:, 1].tolist())):
         grams = None
         for tier in (own, above):
-            rows = np.flatnonzero((tier >= 0) & (_TIERS[tier, 1] == q) & (np.diff(at) >= q) & ((tier is own) | (own < above)))
+            rows = np.flatnonzero(asked & (tier >= 0) & (_TIERS[tier, 1] == q) & (np.diff(at) >= q) & ((tier is own) | (own < above)))
             if not len(rows):
                 continue
             if grams is None:
@@ -172,8 +177,9 @@ _OCCURRENCE = "text_hash long, line int, k1 long, k2 long, length int, prints ar
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text_hash, line, two hashes of the words, their characters, their SimHashes, the bytes; for each line that counts.
 
-    A line that occurs again soon has no SimHash: its first occurrence does.
+    A line that occurs again in a task has no SimHash: its first occurrence does.
     """
+    known: set[int] = set()
     for batch in batches:
         for first, _, data, offsets in pieces(batch.column(2)):
             cuts = np.union1d(offsets, np.flatnonzero(data == 10) + 1)
@@ -201,12 +207,14 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.concatenate([[0], np.cumsum(ends - starts + 1)])[at]
             characters = np.concatenate([[0], np.cumsum((joined & 0xC0) != 0x80, dtype=np.int32)])[at]
             length = np.diff(characters) - 1  # without the blank at the end
-            of, tier, blocks, count = simhashes(joined, at, length)
+            own, where = np.unique(k1, return_index=True)
             new = np.zeros(len(rows), bool)
-            new[np.unique(k1, return_index=True)[1]] = True
-            show = np.flatnonzero(new[of])
-            of = of[show]
-            prints = np.concatenate([tier[show].astype(np.uint8)[:, None], np.packbits(count[show] >= LEAST, axis=1), blocks[show].reshape(len(show), BLOCKS * BITS // 8)], axis=1)
+            names = own.tolist()
+            new[where[[k not in known for k in names]]] = True
+            if len(known) < KNOWN:
+                known.update(names)
+            of, tier, blocks, count = simhashes(joined, at, length, new)
+            prints = np.concatenate([tier.astype(np.uint8)[:, None], np.packbits(count >= LEAST, axis=1), blocks.reshape(len(of), BLOCKS * BITS // 8)], axis=1)
             prints = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(rows) + 1)), pa.int32()), pa.array([x.tobytes() for x in prints], pa.binary()))
             take = pa.array(first + doc[rows])
             columns = [line[rows].astype(np.int32), k1.view(np.int64), k2.view(np.int64), length.astype(np.int32)]
@@ -458,6 +466,8 @@ def _load(column: pa.Array) -> list[Line]:
 def _linked(items: list[Line]):
     length = np.array([len(line.words) for line in items])
     tiers, sketches = np.array([line.tiers for line in items]), np.stack([line.sketches for line in items])
+    if len(items) >= GROUP:
+        return Pairs(lambda active: _alike(length, tiers, sketches, active), lambda i, j: _links(items, length, i, j))
 
     def test(i: int, others: np.ndarray) -> np.ndarray:
         out = np.zeros(len(others), bool)
@@ -476,6 +486,49 @@ def _linked(items: list[Line]):
     return test
 
 
+def _alike(length: np.ndarray, tiers: np.ndarray, sketches: np.ndarray, active: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs.near() for lines: candidates by any tier that they have in common, those of the nearest SimHashes first."""
+    for tier in np.unique(tiers[tiers >= 0]):
+        row, second = np.nonzero(tiers == tier)
+        order = np.argsort(length[row], kind="stable")
+        row, second = row[order], second[order]
+        size, sketch = length[row], sketches[row, second]
+        one, other = np.ascontiguousarray(sketch[:, 0]), np.ascontiguousarray(sketch[:, 1])
+        asked = np.flatnonzero(active[row])
+        for lo in range(0, len(asked), 64):
+            part = asked[lo : lo + 64]
+            # lines that are too short or too long for all of the part
+            begin = int(np.searchsorted(size, size[part[0]] - _most(size[part[0]])))
+            end = int(np.searchsorted(size - _most(size), size[part[-1]], "right"))
+            differ = np.bitwise_count(one[part, None] ^ one[begin:end]) + np.bitwise_count(other[part, None] ^ other[begin:end])
+            p, q = np.nonzero(differ <= FAR)
+            nearest = np.argsort(differ[p, q], kind="stable")
+            p, q = part[p[nearest]], begin + q[nearest]
+            i, j = row[p], row[q]
+            keep = (np.abs(size[p] - size[q]) <= _most(np.maximum(size[p], size[q]))) & (i != j) & (~active[j] | (i < j))
+            yield i[keep], j[keep]
+
+
+def _links(items: list[Line], length: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Pairs.test() for lines: those of about one length are compared together."""
+    out = np.zeros(len(i), bool)
+    longer = np.maximum(length[i], length[j])
+    order = np.argsort(longer, kind="stable")
+    at = 0
+    while at < len(order):
+        least = int(longer[order[at]])
+        end = min(at + max(1, TOGETHER // (least + 64)), int(np.searchsorted(longer[order], 1.4 * least + 16, "right")))
+        part = order[at:end]
+        if len(part) < FEW:
+            for k in part:
+                one, other = items[i[k]], items[j[k]]
+                out[k] = _similar(one.words, other.words, one.codes, other.codes, SIMILARITY)
+        else:
+            out[part] = within([x.codes for x in items], i[part], j[part], _most(longer[part]))
+        at = end
+    return out
+
+
 def removals(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, text_hash and number, from 0, of each line to remove; stored."""
     with scratch():

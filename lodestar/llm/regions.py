@@ -12,6 +12,7 @@ the other chunks, or, where the caller can part a large region into smaller grou
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,23 @@ from ._text import tidy
 from .components import components
 
 PIVOTS = 4
+#: Candidates that are held at a time; how many times the weight of a chunk a task may hold of a part of a region, since
+#: rows are repeated with the square of the chunks.
+HELD, WIDE = 200_000, 4
 _EDGES = "a long, b long"
 
-#: What a batch of payloads becomes, an object a row; for the objects of a group, the link test of one with others.
+
+class Pairs(NamedTuple):
+    """The links of a group's objects, found among pairs. near: for whether each is active, all pairs i, j that may be linked, i
+    active, each pair of active ones once, the likeliest of each i first; test: which pairs i, j are linked."""
+
+    near: Callable[[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]
+    test: Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+#: What a batch of payloads becomes, an object a row; for the objects of a group, the link test of one with others, or Pairs.
 Load = Callable[[pa.Array], list]
-Linked = Callable[[list], Callable[[int, np.ndarray], np.ndarray]]
+Linked = Callable[[list], Callable[[int, np.ndarray], np.ndarray] | Pairs]
 #: For a frame with the column id: id and group (long), a row for each group that a node is in.
 Regroup = Callable[[DataFrame], DataFrame]
 
@@ -38,6 +51,9 @@ def _joins(items: list, active: np.ndarray, label: np.ndarray, linked: Linked) -
     An item is compared with a few others first, then with more: what those are joined to need not be compared any more.
     """
     test = linked(items)
+    if isinstance(test, Pairs):
+        yield from _pair_joins(test, active, label)
+        return
     for i in np.flatnonzero(active):
         other = np.flatnonzero(label != label[i])
         if not len(other):
@@ -54,6 +70,39 @@ def _joins(items: list, active: np.ndarray, label: np.ndarray, linked: Linked) -
             step *= 4
 
 
+def _pair_joins(pairs: Pairs, active: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
+    """_joins() by pairs: of each item the likeliest first, then more of what is not joined yet."""
+
+    def joined(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        i, j = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(i, kind="stable")
+        i, j, most = i[order], j[order], 1
+        while True:
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            if not len(i):
+                return
+            first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            now = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < most
+            yes = np.flatnonzero(now)[pairs.test(i[now], j[now])]
+            for a, b in zip(i[yes].tolist(), j[yes].tolist()):
+                if label[a] != label[b]:
+                    yield a, b
+                    label[label == label[b]] = label[a]
+            i, j, most = i[~now], j[~now], most * 4
+
+    held, size = [], 0
+    for i, j in pairs.near(active):
+        apart = label[i] != label[j]
+        held.append((i[apart], j[apart]))
+        size += len(held[-1][0])
+        if size > HELD:
+            yield from joined(held)
+            held, size = [], 0
+    if size:
+        yield from joined(held)
+
+
 def _compare(load: Load, linked: Linked) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For rows (region, chunk, block, active, known, id, payload) in the order of the first three."""
 
@@ -128,6 +177,7 @@ def _links(members: DataFrame, attach: Callable[[DataFrame], DataFrame], load: L
     if regroup is not None:
         ids = stored(nodes.select("id"), "ids")
         nodes = nodes.drop("region").join(regroup(ids).select("id", F.col("group").alias("region")), "id")
+        chunk *= WIDE
     nodes = stored(nodes, "groups")
     total = nodes.groupBy("region").agg(F.sum("weight").alias("_all"), F.sum(F.when(F.col("active"), F.col("weight"))).alias("_some"), F.min("known").alias("_low"), F.max("known").alias("_high"))
     total = stored(total.where("_some is not null and _low <> _high").select("region", F.ceil(F.col("_all") / chunk).alias("chunks"), F.ceil(F.col("_some") / chunk).alias("blocks")), "sizes")

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from lodestar.llm import _shared, components, decontaminate, edit_sketch, language, lines, minhash, neighbours, packing, pii, regions, secret_scan, sharding, spans, tokens, warc
+from lodestar.llm import _shared, components, decontaminate, edit_sketch, language, levenshtein, lines, minhash, neighbours, packing, pii, regions, secret_scan, sharding, spans, tokens, warc
 from lodestar.llm._text import ALNUM, LOWER, NONSPACE, pieces, run_hashes, word_bounds, word_hashes
 from tests.llm import brute
 
@@ -320,6 +320,53 @@ def test_similar_equals_distance(a, edits, least):
     assert lines.similar(a, b, least) == (brute.levenshtein(a, b) <= int((1 - least) * longer + 1e-6))
 
 
+def test_pairs_within_edits_equal_plain_distances(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(levenshtein, "TABLE", 1 << 18)
+    for letters in (2, 6, 30):
+        base = ["".join(chr(97 + c) for c in rng.integers(0, letters, int(rng.integers(1, 600)))) for _ in range(3)]
+        texts = [b[: int(p * len(b))] + "é" * n + b[int(p * len(b)) + n :] or "x" for b in base for p, n in zip(rng.random(6), rng.integers(0, 40, 6).tolist())]
+        i, j = np.array([(a, b) for a in range(len(texts)) for b in range(len(texts)) if a != b]).T
+        size = np.array([len(t) for t in texts])
+        most = np.maximum(rng.integers(0, 80, len(i)), abs(size[i] - size[j]))
+        got = levenshtein.within([lines._codes(t) for t in texts], i, j, most)
+        assert got.tolist() == [lines.distance(texts[a], texts[b]) <= m for a, b, m in zip(i, j, most.tolist())]
+
+
+def test_a_large_group_of_lines_is_compared_in_pairs_at_a_time(monkeypatch):
+    """Every candidate outside of a component was compared alone, in Python's integers."""
+    rng = np.random.default_rng(4)
+    base = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in (400, 420, 90)]
+    texts = []
+    for b in base:
+        for _ in range(40):
+            at = rng.choice(len(b), int(len(b) * rng.choice([0.02, 0.06])), replace=False)
+            texts.append("".join("é" if k in set(at.tolist()) else c for k, c in enumerate(b)))
+    held, alone = lines._load(pa.array(texts)), []
+    active, plain = np.arange(len(texts)) % 3 > 0, lines._similar
+    results = []
+    for least in (6, 10**9):
+        monkeypatch.setattr(lines, "GROUP", least)
+        monkeypatch.setattr(lines, "_similar", lambda *x: alone.append(1) or plain(*x))
+        alone.clear()
+        label = np.arange(len(texts))
+        edges = list(regions._joins(held, active, label, lines._linked))
+        assert all(active[a] or active[b] for a, b in edges)
+        results.append((len(alone), np.unique(label, return_inverse=True)[1].tolist(), len(edges)))
+    few, many = results
+    same = lambda x: [[a == b for b in x] for a in x]
+    assert same(few[1]) == same(many[1]) and few[2] == many[2]
+    assert few[0] < many[0] / 4
+
+
+def test_a_line_that_occurs_again_in_a_task_has_one_simhash():
+    text = "a line of some words that occurs again and again in all of the documents"
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text_hash": [k], "text": [f"{text}\nown {k} {'abcdefgh'[k] * 30}"]}) for k in range(8)]
+    found = [row for batch in lines._occurrences(iter(batches)) for row in batch.to_pylist()]
+    assert [len(r["prints"]) > 0 for r in found if r["line"] == 0] == [True] + [False] * 7
+    assert all(r["prints"] for r in found if r["line"] == 1)
+
+
 def test_near_in_a_crowd(monkeypatch):
     """What candidates connect does not depend on how rows are batched, nor on which way a key is compared."""
     rng = random.Random(5)
