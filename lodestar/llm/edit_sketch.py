@@ -215,12 +215,12 @@ def bands_of(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return rows, label[inside].view(np.int64)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bands(batches: Iterator[pa.RecordBatch], names: tuple[str, str] = ("label", "id")) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 4096):
             part = batch.slice(lo, 4096)
             rows, labels = bands_of(part.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(labels), part.column(0).take(pa.array(rows))], ["label", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(labels), part.column(0).take(pa.array(rows))], list(names))
 
 
 def near_groups(prints: DataFrame, least: float = LEAST) -> DataFrame:
@@ -228,7 +228,7 @@ def near_groups(prints: DataFrame, least: float = LEAST) -> DataFrame:
     rows (doc_id long, fingerprint).
 
     Documents that share a band are candidates, whatever their number; equal fingerprints are one node. Connected
-    candidates are a region for regions.links(). Documents linked with none smaller are left out.
+    candidates are a region for regions.links(); what is in different chunks of a large one is compared where it shares a band. Documents linked with none smaller are left out.
     """
     with scratch():
         return _near_groups(prints.where("doc_id is not null").select("doc_id", "fingerprint", F.xxhash64("fingerprint").alias("id")), least)
@@ -244,7 +244,13 @@ def _near_groups(prints: DataFrame, least: float) -> DataFrame:
         scale, samples = np.array([k for k, _ in items]), np.stack([x for _, x in items])
         return lambda i, others: _alike(np.full(len(others), scale[i]), np.broadcast_to(samples[i], (len(others), *samples[i].shape)), scale[others], samples[others]) >= least
 
-    edges = links(near, lambda deal: nodes.select("id", F.col("fingerprint").alias("payload")).join(deal, "id"), lambda column: list(zip(*_parsed(column.to_pylist()))), linked, NODES)
+    def regroup(ids: DataFrame) -> DataFrame:
+        """Documents that share a band: by chance ever more bands meet, and regions of candidates grow together."""
+        some = nodes.select("id", "fingerprint").join(F.broadcast(ids) if small(ids, 16) else ids, "id", "left_semi")
+        some = some.mapInArrow(tidy(lambda batches: _bands(batches, ("group", "id"))), "group long, id long")
+        return some.join(some.groupBy("group").count().where("count > 1").select("group"), "group", "left_semi")
+
+    edges = links(near, lambda deal: nodes.select("id", F.col("fingerprint").alias("payload")).join(deal, "id"), lambda column: list(zip(*_parsed(column.to_pylist()))), linked, NODES, regroup)
     found = components(edges)
     found = kept(stored(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "groups"))
     lows = nodes.join(found, nodes["id"] == found["node"]).groupBy("component").agg(F.min("low").alias("low"))

@@ -721,6 +721,23 @@ def test_near_groups(spark):
     assert {r["doc_id"]: r["near_group"] for r in rows} == {d: {10: 0, 12: 0, 13: 0, 11: 1, 21: 20}.get(d, d) for d in texts}
 
 
+def test_a_large_region_is_compared_by_the_bands_shared(spark, monkeypatch):
+    """All of a region that is outside its main component was compared with all of it."""
+    rng = np.random.default_rng(6)
+    rows = rng.choice(np.frombuffer(b"0123456789abcdef", np.uint8), (60, edit_sketch.WALKS, 2, edit_sketch.SAMPLES))
+    for k in range(1, 60):  # a chain: each has a band in common with the one before, of a turn of its own
+        picks = edit_sketch._PICKS[k % edit_sketch.BANDS]
+        rows[k, k % 3, 0, picks] = rows[k - 1, k % 3, 0, picks]
+    rows[40, 0] = rows[7, 0]  # the one link
+    prints = ["08" + r.tobytes().decode() for r in rows]
+    monkeypatch.setattr(edit_sketch, "NODES", 4)
+    seen, run = [], regions._run
+    monkeypatch.setattr(regions, "_run", lambda deal, *more: seen.append(deal.count()) or run(deal, *more))
+    found = edit_sketch.near_groups(_shared.stored(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string"))).collect()
+    assert [tuple(r) for r in found] == [(40, 7)]
+    assert len(seen) == 2 and seen[1] < 500
+
+
 def test_near_groups_against_brute_force(spark):
     """Of texts with one edit in a hundred characters nine in ten are found, and no text is put with a stranger."""
     rng = random.Random(14)
