@@ -21,6 +21,7 @@ K1, B = 1.5, 0.75
 #: Weights of a term in a title, an abstract, the claims, a specification.
 BOOSTS = {"title": 2.0, "abstract": 1.2, "claims": 1.5, "specification": 1.0}
 WINDOW, PASSAGES = 240, 3
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -58,22 +59,26 @@ def upsert(docs: DataFrame, newer: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(newer.select(key).distinct(), key, "left_anti").unionByName(newer)
 
 
-def scored(index: Index, queries: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """query_id, doc_id and score over queries(query_id, term, distinct), for documents with any term.
+def scored(index: Index, queries: DataFrame, candidates: DataFrame | None = None, held: bool = False) -> DataFrame:
+    """query_id, doc_id and score over queries(query_id, term, distinct), for documents with any term; held: and how many terms.
 
+    Queries of BROADCAST_ROWS or less are broadcast: terms that nobody asks for and what each term adds to a pair are not shuffled.
     Frequencies and the mean length are those of all documents; candidates (doc_id) only says which are scored.
     """
     stats = index.lengths.agg(F.count("*").alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("mean"))
-    wanted = queries.select("term").distinct()
+    few = queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    spread = F.broadcast if few else lambda frame: frame
+    wanted = spread(queries.select("term").distinct())
     postings = index.postings.join(wanted, "term", "left_semi")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     if candidates is not None:
         postings = postings.join(candidates.select("doc_id"), "doc_id", "left_semi")
-    rows = postings.join(df, "term").join(index.lengths, "doc_id").crossJoin(F.broadcast(stats))
+    rows = postings.join(spread(df), "term").join(index.lengths, "doc_id").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
     rows = rows.select("term", "doc_id", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("part"))
-    return rows.join(queries, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    more = [F.count("*").alias("_held")] if held else []
+    return rows.join(spread(queries), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"), *more)
 
 
 def ranked(scores: DataFrame, k: int, tie: str = "doc_id") -> DataFrame:

@@ -48,12 +48,13 @@ def prior_art(docs: DataFrame, targets: DataFrame, excluded: DataFrame, k: int =
     specification, effective) in one job. A target without a date has no limit."""
     index = keyword.build(docs)
     words = keywords(targets, "query_id", F.col("title"), F.col("specification"))
-    asked = words.select("query_id", F.explode(tokens(F.col("keyword"))).alias("term")).distinct()
-    scores = keyword.scored(index, asked).where("score > 0")
+    asked = words.select("query_id", F.col("keyword").alias("term"))  # a keyword is one token
+    need = words.groupBy("query_id").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 3)).alias("_need"))
+    scores = keyword.scored(index, asked, held=True).where("score > 0").join(need, "query_id").where("_held >= _need").select("query_id", "doc_id", "score")
     scores = scores.join(docs.select("doc_id", "doc_key", F.col("effective").alias("_date")), "doc_id").join(targets.select("query_id", F.col("effective").alias("_before")), "query_id")
     scores = scores.where(F.col("_before").isNull() | (F.col("_date") < F.col("_before")))
     scores = scores.join(excluded.select("query_id", "doc_key").distinct(), ["query_id", "doc_key"], "left_anti")
-    return _normalised(_least(scores, words, docs), k)
+    return _normalised(scores, k)
 
 
 def _least(scores: DataFrame, words: DataFrame, docs: DataFrame) -> DataFrame:

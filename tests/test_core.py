@@ -273,3 +273,17 @@ def test_search_by_inventor_and_whole_text(spark):
     rows = [(1, "US1", "gear", "a gear", "x", [], None, "US", ["Ann Lee"], "plain", [("a gear",)]), (2, "US2", "gear", "a gear", "x", [], None, "US", ["Bo Roy"], "plain", []), (3, "US3", "gear", "a gear", "x", [], None, "US", ["Ann Lee"], "of trash", None), (4, "US4", "gear", "a gear", "x", [], None, "US", ["Ann Lee", "C"], None, [("trash",)])]
     found = keyword.search(spark.createDataFrame(rows, kind), Query(keywords=("gear",), inventors=("ann",), excluded=("trash",)))
     assert [r["doc_id"] for r in found.collect()] == [1]
+
+
+def test_few_queries_are_broadcast_to_the_postings(spark):
+    """All tokens, and a row for each term of each pair of query and document, were shuffled."""
+    docs = spark.createDataFrame([(1, "gear", "lever gear"), (2, "lever", "shaft"), (3, "", "gear shaft lever")], "doc_id long, title string, specification string")
+    asked = spark.createDataFrame([(7, "gear"), (7, "lever"), (8, "shaft")], "query_id long, term string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = keyword.scored(keyword.build(docs), asked, held=True)
+        assert scores._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 3
+        assert {(r.query_id, r.doc_id): r._held for r in scores.collect()} == {(7, 1): 2, (7, 2): 1, (7, 3): 2, (8, 2): 1, (8, 3): 1}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
