@@ -194,6 +194,56 @@ def test_clusters(spark):
         assert len({got[i] for i in range(0, 12, 2)}) == 1 and got[0] != got[1]
 
 
+def _plain_dbscan(rows, eps, least):
+    """Labels of (key, vector) by plain loops; keys are distinct."""
+    import math
+
+    near = {a: set() for a, _ in rows}
+    for a, v in rows:
+        for b, w in rows:
+            if v is None or w is None or len(v) != len(w) or None in v or None in w:
+                continue
+            p, q = (math.sqrt(sum(x * x for x in u)) or 1.0 for u in (v, w))
+            total = 0.0
+            for x, y in zip(v, w):
+                total += (x / p) * (y / q)
+            if 1 - total <= eps:
+                near[a].add(b)
+    core = {a for a in near if len(near[a]) >= least}
+    label = {a: a for a in core}
+    while True:
+        new = {a: min(label[b] for b in near[a] & core) for a in core}
+        if new == label:
+            break
+        label = new
+    return {a: label.get(a, min((label[b] for b in near[a] & core), default=-1)) for a in near}
+
+
+@pytest.mark.parametrize("block", [16_384, 40])
+def test_dbscan_equals_plain_loops(spark, block, monkeypatch):
+    import random
+
+    monkeypatch.setattr(cluster, "BLOCK", block)
+    monkeypatch.setattr(cluster, "CELLS", 500)
+    rng = random.Random(5)
+    middles = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    rows = [(3 * i + 1, [x + rng.gauss(0, 0.35) for x in rng.choice(middles)]) for i in range(220)]
+    rows += [(1000, [0.0] * 8), (1001, [0.0] * 8), (1002, None), (1003, [1.0, None] * 4), (1004, []), (1005, [1.0, 0.0]), (1006, [2.0, 0.0]), (1007, [3.0, 0.0]), (1008, [4.0, 0.0])]
+    rows += [(1100 + i, [1.0, 3.0**0.5, 0.0]) for i in range(5)] + [(1200, [1.0, 0.0, 0.0])] + [(1300 + i, [0.6, 0.8, 0.0, 0.0, 0.0]) for i in range(30)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for eps, least in ((0.25, 4), (0.1, 3), (0.5, 6), (0.25, 1)):
+        found = cluster.dbscan(v, eps, least).collect()
+        assert len(found) == len(rows)
+        assert {r["vec_id"]: r["label"] for r in found} == _plain_dbscan(rows, eps, least)
+
+
+def test_dbscan_compares_thousands_of_rows_by_products(spark):
+    v = spark.range(12_000).selectExpr("id AS vec_id", "transform(sequence(1, 64), k -> CAST(xxhash64(IF(id < 3000, 0, id), k) / 9.3e18 AS float)) AS embedding")
+    plan = cluster.dbscan(v, 0.25, 4)
+    assert "NestedLoop" not in plan._jdf.queryExecution().toString() and "CartesianProduct" not in plan._jdf.queryExecution().toString()
+    assert {(r["label"], r["count"]) for r in plan.groupBy("label").count().collect()} == {(0, 3000), (-1, 9000)}
+
+
 def test_planner(spark):
     d = spark.createDataFrame([(0, "Neural gear 42", "the gear turns gear wheel wheel wheel 1234")], "doc_id int, title string, body string")
     got = [r["keyword"] for r in planner.keywords(d, "doc_id", F.col("title"), F.col("body")).orderBy("n").collect()]
