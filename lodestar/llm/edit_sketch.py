@@ -215,12 +215,12 @@ def bands_of(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return rows, label[inside].view(np.int64)
 
 
-def _bands(batches: Iterator[pa.RecordBatch], names: tuple[str, str] = ("label", "id")) -> Iterator[pa.RecordBatch]:
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 4096):
             part = batch.slice(lo, 4096)
             rows, labels = bands_of(part.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(labels), part.column(0).take(pa.array(rows))], list(names))
+            yield pa.RecordBatch.from_arrays([pa.array(labels), part.column(0).take(pa.array(rows))], ["label", "id"])
 
 
 def near_groups(prints: DataFrame, least: float = LEAST) -> DataFrame:
@@ -236,8 +236,8 @@ def near_groups(prints: DataFrame, least: float = LEAST) -> DataFrame:
 
 def _near_groups(prints: DataFrame, least: float) -> DataFrame:
     nodes = kept(stored(prints.groupBy("id").agg(F.min("doc_id").alias("low"), F.first("fingerprint").alias("fingerprint"), (F.min("doc_id") < F.max("doc_id")).alias("many")), "fingerprints"))
-    chain = neighbour_edges(nodes.select("id", "fingerprint").mapInArrow(tidy(_bands), "label long, id long"), equal)
-    near = components(chain).select(F.col("node").alias("id"), F.col("component").alias("region"))
+    chain = neighbour_edges(nodes.select("id", "fingerprint").mapInArrow(tidy(_bands), "label long, id long"), equal, labelled=True)
+    near = components(chain.select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("region"))
     near = stored(near.unionByName(near.select(F.col("region").alias("id"), "region").distinct()).withColumn("weight", F.lit(1).cast("long")), "near")
 
     def linked(items: list[tuple[int, np.ndarray]]):
@@ -246,9 +246,8 @@ def _near_groups(prints: DataFrame, least: float) -> DataFrame:
 
     def regroup(ids: DataFrame) -> DataFrame:
         """Documents that share a band: by chance ever more bands meet, and regions of candidates grow together."""
-        some = nodes.select("id", "fingerprint").join(F.broadcast(ids) if small(ids, 16) else ids, "id", "left_semi")
-        some = some.mapInArrow(tidy(lambda batches: _bands(batches, ("group", "id"))), "group long, id long")
-        return some.join(some.groupBy("group").count().where("count > 1").select("group"), "group", "left_semi")
+        some = chain.select(F.col("label").alias("group"), F.explode(F.array("a", "b")).alias("id"))  # whatever shares a band is in it
+        return some.join(F.broadcast(ids) if small(ids, 16) else ids, "id", "left_semi").select("group", "id").distinct()
 
     edges = links(near, lambda deal: nodes.select("id", F.col("fingerprint").alias("payload")).join(deal, "id"), lambda column: list(zip(*_parsed(column.to_pylist()))), linked, NODES, regroup)
     found = components(edges)

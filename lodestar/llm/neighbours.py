@@ -22,8 +22,8 @@ SLAB = 1_000_000
 Linked = Callable[[np.ndarray], np.ndarray]
 
 
-def neighbour_edges(rows: DataFrame, linked: Linked, slab: int = SLAB) -> DataFrame:
-    """a, b: the ids of neighbours by (label, id) that are linked. rows: label long, id long; no nulls."""
+def neighbour_edges(rows: DataFrame, linked: Linked, slab: int = SLAB, labelled: bool = False) -> DataFrame:
+    """a, b: the ids of neighbours by (label, id) that are linked; labelled: and the label of a. rows: label long, id long; no nulls."""
     names = ["a", "b", "part", "label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +42,7 @@ def neighbour_edges(rows: DataFrame, linked: Linked, slab: int = SLAB) -> DataFr
             size = 1
             at = np.flatnonzero(linked(label) & (node[1:] != node[:-1]))
             a, b = pa.array(node[at + 1]), pa.array(node[at])
-            yield pa.RecordBatch.from_arrays([a, b, pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([a, b, pa.nulls(len(at), pa.int32()), pa.array(label[at + 1]) if labelled else pa.nulls(len(at), pa.int64())], names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -65,9 +65,10 @@ def neighbour_edges(rows: DataFrame, linked: Linked, slab: int = SLAB) -> DataFr
     ends = found.where("part is not null").collect()
     firsts, lasts = {r["part"]: r for r in ends if r["a"] is not None}, {r["part"]: r for r in ends if r["b"] is not None}
     order = sorted(firsts)
-    across = [(firsts[q]["a"], lasts[p]["b"]) for p, q in zip(order, order[1:]) if firsts[q]["a"] != lasts[p]["b"] and linked(np.array([lasts[p]["label"], firsts[q]["label"]]))[0]]
-    edges_ = found.where("part is null").select("a", "b")
-    return edges_.unionByName(rows.sparkSession.createDataFrame(across, "a long, b long")) if across else edges_
+    across = [(firsts[q]["a"], lasts[p]["b"], firsts[q]["label"]) for p, q in zip(order, order[1:]) if firsts[q]["a"] != lasts[p]["b"] and linked(np.array([lasts[p]["label"], firsts[q]["label"]]))[0]]
+    edges_ = found.where("part is null").select("a", "b", "label")
+    edges_ = edges_.unionByName(rows.sparkSession.createDataFrame(across, "a long, b long, label long")) if across else edges_
+    return edges_ if labelled else edges_.drop("label")
 
 
 def equal(labels: np.ndarray) -> np.ndarray:

@@ -113,6 +113,14 @@ def test_regions_lose_no_link(spark, chunk):
 # ---- 3
 
 
+@pytest.mark.parametrize("slab", [10**6, 7])
+def test_neighbours_say_what_they_share(spark, slab):
+    """So that whoever needs the rows of a label later need not deal all rows out again."""
+    rows = [(label, node) for label, n in ((5, 300), (6, 1), (7, 2), (8, 40)) for node in range(n)]
+    edges = neighbours.neighbour_edges(spark.createDataFrame(rows, "label long, id long").repartition(5), neighbours.equal, slab, labelled=True)
+    assert {(e["label"], node) for e in edges.collect() for node in (e["a"], e["b"])} == {r for r in rows if r[0] != 6}
+
+
 @pytest.mark.parametrize("slab", [10**6, 7])
 def test_neighbours_across_tasks(spark, slab):
     """Rows of a label that lie in several tasks are linked all the same, and others are not."""
