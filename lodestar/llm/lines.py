@@ -299,8 +299,27 @@ def _gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[np
         yield [np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(held[0].num_columns)]
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows of _keyed() in the order of their keys: edges that connect the candidates."""
+def _shared_blocks(rows: list[np.ndarray], crowded: bool) -> pa.RecordBatch:
+    """Of rows in the order of key and id: the ids of which several share a block, and the block; crowded: the first block has other ids besides."""
+    block, node = rows[0] >> _LENGTHS, rows[1]
+    fresh = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (node[1:] != node[:-1])])[: len(node)]
+    block, node = block[fresh], node[fresh]
+    new = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])[: len(node)])
+    size = np.diff(np.append(new, len(node)))
+    several = size > 1
+    several[:1] |= crowded
+    keep = np.repeat(several, size)
+    return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.nulls(int(keep.sum()), pa.int64()), pa.array(block[keep])], ["a", "b", "block"])
+
+
+def _near_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_near(), with a third column that is null, and besides them rows (id, null, block) of the blocks that lines share."""
+    for batch in _near(batches, True):
+        yield batch if batch.num_columns == 3 else pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.int64())], ["a", "b", "block"])
+
+
+def _near(batches: Iterator[pa.RecordBatch], shared: bool = False) -> Iterator[pa.RecordBatch]:
+    """For rows of _keyed() in the order of their keys: edges that connect the candidates; shared: and batches of _shared_blocks()."""
     rest: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(4)]
     crowd: int | None = None  # the key of the rows held, if there have been more than CROWD
 
@@ -346,14 +365,20 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowded = crowd is not None and crowd == int(block[0])
         if last:
             yield from found(pairs([x[:last] for x in rows], crowded))
+            if shared:
+                yield _shared_blocks([x[:last] for x in rows], crowded)
             crowded, crowd = False, None
         rest = [x[last:] for x in rows]
         if crowded or len(rest[0]) > CROWD:  # linked in a row, so that the last is all there is to keep
             crowd = int(block[-1])
             yield from found(pairs(rest, True))
+            if shared:
+                yield _shared_blocks([x[:-1] for x in rest], True)
             rest = [x[-1:] for x in rest]
     if len(rest[0]):
         yield from found(pairs(rest, crowd is not None))
+        if shared:
+            yield _shared_blocks(rest, crowd is not None)
 
 
 def _places(text: str) -> dict[str, int]:
@@ -543,8 +568,9 @@ def _removals(docs: DataFrame, chunk: int) -> DataFrame:
     classes = stored(seen.groupBy("k1", "k2").agg(F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("many"), F.max("size").alias("weight")), "classes")
 
     keyed = seen.select(F.col("k1").alias("id"), "length", F.explode("prints").alias("print")).mapInArrow(tidy(_keyed), "key long, id long, s1 long, s2 long")
-    keyed = keyed.repartition(F.shiftright("key", _LENGTHS)).sortWithinPartitions("key")
-    found = components(keyed.mapInArrow(tidy(_near), "a long, b long")).select(F.col("node").alias("id"), F.col("component").alias("region"))
+    keyed = keyed.repartition(F.shiftright("key", _LENGTHS)).sortWithinPartitions("key", "id")
+    met = stored(keyed.mapInArrow(tidy(_near_shared), "a long, b long, block long"), "met")
+    found = components(met.where("block is null").select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("region"))
     found = stored(found.unionByName(found.select(F.col("region").alias("id"), "region").distinct()), "regions")
     members = classes.select(F.col("k1").alias("id"), (F.col("weight") + WEIGHT).alias("weight"), "first")
     members = stored(members.join(_small(found, 32), "id").select("region", "id", "weight", "first"), "members")
@@ -557,11 +583,8 @@ def _removals(docs: DataFrame, chunk: int) -> DataFrame:
 
     def regroup(ids: DataFrame) -> DataFrame:
         """Lines that share a block: candidates do, and regions of candidates grow together as lines become many."""
-        some = seen.select(F.col("k1").alias("id"), "length", "prints").join(_small(ids, 16), "id", "left_semi")
-        some = some.select("id", "length", F.explode("prints").alias("print")).mapInArrow(tidy(_keyed), "key long, id long, s1 long, s2 long")
-        some = stored(some.select("id", F.shiftright("key", _LENGTHS).alias("group")).distinct(), "blocks")
-        shared = some.groupBy("group").count().where("count > 1").select("group")
-        return some.join(shared, "group", "left_semi")
+        some = met.where("block is not null").select(F.col("a").alias("id"), F.col("block").alias("group"))
+        return some.join(_small(ids, 16), "id", "left_semi")
 
     edges = links(members.select("region", "id", "weight"), attach, _load, _linked, chunk, regroup)
     groups = components(edges).select(F.col("node").alias("k1"), F.col("component").alias("group"))

@@ -396,6 +396,27 @@ def test_near_in_a_crowd(monkeypatch):
     assert sum(batch.num_rows for batch in lines._near(iter([apart]))) == 0  # one SimHash is far, one line too long
 
 
+def test_blocks_that_lines_share_come_with_the_candidates(monkeypatch):
+    """They were dealt out anew for large regions. A line that occurs in several tasks shares none with itself."""
+    rng = random.Random(6)
+    monkeypatch.setattr(lines, "CROWD", 20)
+    rows = [(key << 14 | 100 + i % 3, 1000 * key + i, 5, 6) for key, n in ((1, 1), (2, 2), (3, 90), (4, 1), (5, 12), (6, 70)) for i in range(n)]
+    rows += [row for row in rows if row[1] == 1000 or rng.random() < 0.3]
+    rows.sort()
+    table = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["key", "id", "s1", "s2"])
+    of = collections.defaultdict(set)
+    for key, node, *_ in rows:
+        of[key >> 14].add(node)
+    want = {(node, block) for block, ids in of.items() for node in ids if len(ids) > 1}
+    gathered = lines._gathered
+    monkeypatch.setattr(lines, "_gathered", lambda batches, _: gathered(batches, 1))
+    for size in (7, 64, 1000):
+        batches = [table.slice(lo, size) for lo in range(0, table.num_rows, size)]
+        got = [r for batch in lines._near_shared(iter(batches)) for r in zip(*(c.to_pylist() for c in batch.columns))]
+        assert {(a, block) for a, b, block in got if b is None} == want and all(block is None for _, b, block in got if b is not None)
+        assert brute.roots({r[1] for r in rows}, [(a, b) for a, b, _ in got if b is not None]) == brute.roots({r[1] for r in rows}, [(a, b) for ids in of.values() for a in ids for b in ids])
+
+
 def test_lines_by_edit_similarity_alone(spark):
     rng = random.Random(4)
     rows = []
