@@ -56,6 +56,8 @@ CHUNK = 2_000_000
 WEIGHT = 256
 #: Lines of a task that are remembered, to be given no second SimHash.
 KNOWN = 500_000
+#: Bytes of texts whose lines are hashed at a time: what is held for each of their grams is what this takes of memory.
+PART = 1 << 19
 #: Lines from which a group is compared in many pairs at a time, pairs that are fewer than that pays for, and characters of those compared together.
 GROUP, FEW, TOGETHER = 6, 16, 1_000_000
 _FOLD = LOWER.copy()
@@ -140,7 +142,7 @@ def simhashes(data: np.ndarray, at: np.ndarray, length: np.ndarray, asked: np.nd
             size = at[rows + 1] - at[rows] - q + 1
             first = np.cumsum(size) - size
             end = at[rows] - first
-            gram = grams[np.arange(size.sum()) + np.repeat(end, size)]
+            gram = grams[np.arange(size.sum(), dtype=np.int32) + np.repeat(end.astype(np.int32), size)] if len(data) < 1 << 31 else grams[np.arange(size.sum()) + np.repeat(end, size)]
             dealt = np.repeat(_TIERS[tier[rows], 2].astype(np.uint32), size)
             held = np.zeros((len(rows), BLOCKS, BITS // 8), np.uint8)
             count = np.zeros((len(rows), BLOCKS), np.uint8)
@@ -181,7 +183,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     known: set[int] = set()
     for batch in batches:
-        for first, _, data, offsets in pieces(batch.column(2)):
+        for first, _, data, offsets in pieces(batch.column(2), PART):
             cuts = np.union1d(offsets, np.flatnonzero(data == 10) + 1)
             doc = np.searchsorted(offsets, cuts[:-1], "right") - 1  # of each line; empty texts have none
             line = np.arange(len(doc)) - np.searchsorted(doc, doc)

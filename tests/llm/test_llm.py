@@ -375,6 +375,19 @@ def test_a_line_that_occurs_again_in_a_task_has_one_simhash():
     assert all(r["prints"] for r in found if r["line"] == 1)
 
 
+def test_hashing_lines_takes_little_memory():
+    import tracemalloc
+
+    rng = random.Random(8)
+    texts = ["\n".join(prose(rng, 40) for _ in range(20)) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(range(400)), pa.array(texts)], ["doc_id", "text_hash", "text"])
+    tracemalloc.start()
+    assert sum(found.num_rows for found in lines._occurrences(iter([batch]))) == 8000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+
+
 def test_near_in_a_crowd(monkeypatch):
     """What candidates connect does not depend on how rows are batched, nor on which way a key is compared."""
     rng = random.Random(5)
