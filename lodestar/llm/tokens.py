@@ -43,6 +43,12 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+#: The bytes of each id.
+_PAIRS = [i.to_bytes(2, "little") for i in range(1 << 16)]
+#: Signs that are one part wherever they come together.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Encoder:
     """encode(text) gives the ids as little-endian 16-bit bytes."""
 
@@ -100,12 +106,14 @@ class Encoder:
 
     def _new(self, chunk: str) -> bytes:
         if not chunk.isalpha():
-            # letters and one more character are two parts without asking the pattern
-            parts = [chunk[:-1], chunk[-1]] if chunk[:-1].isalpha() else _SPLIT.findall(chunk)
+            # letters and either one more character or signs are two parts without asking the pattern
+            head = chunk.rstrip(_SIGNS) if chunk[-1] in _SIGNS else chunk[:-1]
+            parts = [head, chunk[len(head) :]] if head.isalpha() else _SPLIT.findall(chunk)
             if len(parts) > 1:
-                return b"".join([self._known(p) for p in parts])
+                get = self._recent.get
+                return b"".join([get(p) or self._known(p) for p in parts])
         spelled = chunk if chunk.isascii() and chunk.isprintable() else "".join([self._letters[b] for b in chunk.encode()])
-        return _packed([t.id for t in self._model.tokenize(spelled)])
+        return b"".join([_PAIRS[t.id] for t in self._model.tokenize(spelled)])
 
     def _special(self, chunk: str) -> bytes:
         return _packed(self._whole.encode(chunk, add_special_tokens=False).ids)

@@ -481,6 +481,26 @@ def test_encoder_equals_library():
         assert np.frombuffer(own.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_letters_and_signs_ask_no_pattern(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    library = Tokenizer.from_file(path)
+    texts = [f"{word}{signs}" for word in ("word", "élan", "日本") for signs in ("%%%", "***.", "),", "}~`")]
+    monkeypatch.setattr(tokens, "_SPLIT", None)
+    own = tokens.Encoder(path)
+    for text in texts:
+        assert np.frombuffer(own.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_frequencies_count_documents():
+    rng = np.random.default_rng(4)
+    rows = [rng.integers(0, high, size).astype("<u2") for high, size in ((5, 40), (1 << 16, 9000), (300, 1), (3, 20_000), (5, 40))]
+    batch = pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], ["ids"])
+    want = collections.Counter(t for r in rows for t in set(r.tolist()))
+    assert [{t: n for t, n in zip(*(c.to_pylist() for c in out.columns))} for out in packing._frequencies(iter([batch, batch]))] == [{t: 2 * n for t, n in want.items()}]
+
+
 @pytest.mark.parametrize("shard", [packing.SHARD, 3000])
 def test_packing_is_exact(docs, shard, monkeypatch):
     from tokenizers import Tokenizer
