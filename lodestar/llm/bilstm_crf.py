@@ -66,13 +66,15 @@ class Tagger:
         out[1] = out[1, ::-1].copy()
         return np.concatenate([out[0], out[1]], axis=2).transpose(1, 0, 2), held
 
+    @np.errstate(over="ignore")  # an infinite exp() is a closed gate
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Labels x characters x windows. Padding has label 0, and what precedes it does not depend on how much there is."""
         n, length = x.shape
         hidden, labels = self.w["inner"].shape[1], self.w["out"].shape[1]
-        # a sigmoid is half of 1 + tanh of half; cells and states are kept doubled, so that the halves need no pass of their own
-        half = np.append(np.full(3 * hidden, 0.5), np.ones(hidden)).astype(np.float32)
-        table, inner, out = (self.w["table"] + self.w["bias"]) * half, self.w["inner"] * half * np.float32(0.5), self.w["out"] * np.float32(0.5)
+        # exp takes about half the time of tanh, and a sigmoid is 1 / (1 + exp(-x)), a tanh 2 / (1 + exp(-2 x)) - 1: the weights
+        # hold the signs and the 2; cells are kept times -1/2 and states times 1/2, so that neither needs a pass of its own
+        scale = np.append(np.full(3 * hidden, -1), np.full(hidden, -2)).astype(np.float32)
+        table, inner, out = (self.w["table"] + self.w["bias"]) * scale, self.w["inner"] * scale * np.float32(2), self.w["out"] * np.float32(2)
         by_gate = lambda w: np.ascontiguousarray(w.reshape(-1, 4, hidden).transpose(1, 0, 2), np.float32)
         total = np.zeros((labels, length * n), np.float32)
         states = np.empty((length, n, hidden), np.float32)
@@ -88,19 +90,21 @@ class Tagger:
                 np.matmul(h, back, out=gates)
                 own.take(by_step[t], axis=1, out=drawn, mode="clip")
                 gates += drawn
-                np.tanh(gates, out=gates)
-                np.multiply(f, c, out=part)
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                np.subtract(0.5, g, out=part)
+                part *= i
+                c *= f
                 c += part
-                c *= 0.5
-                i += 1
-                i *= g
-                c += i
                 h = states[t]
                 if padded[t]:
                     c *= there[t][:, None]
-                np.multiply(c, 0.5, out=part)
-                np.tanh(part, out=part)
-                o += 1
+                np.multiply(c, 4, out=part)
+                np.exp(part, out=part)
+                part += 1
+                np.reciprocal(part, out=part)
+                part -= 0.5
                 np.multiply(o, part, out=h)
             total += out[d * hidden : (d + 1) * hidden].T.astype(np.float32) @ states.reshape(-1, hidden).T
         total = total.reshape(labels, length, n)

@@ -660,6 +660,17 @@ def test_pruned_decoding_is_exact(tagger):
     assert np.allclose(plain, tagger.emissions(full).transpose(2, 1, 0), atol=1e-3)
 
 
+def test_emissions_take_no_tanh(tagger, monkeypatch):
+    """They are those of the plain walk, with gates and cells beyond what exp() can hold, too."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(1, 99, (40, 90))
+    wide = type(tagger)({k: v * np.float32(30) if k in ("table", "bias") else v for k, v in tagger.w.items()})
+    plain = [t._states(x, False)[0] @ t.w["out"] + t.w["out_bias"] for t in (tagger, wide)]
+    monkeypatch.delattr(np, "tanh")
+    for t, e in zip((tagger, wide), plain):
+        assert np.allclose(e, t.emissions(x).transpose(2, 1, 0), atol=1e-3)
+
+
 def test_pii_awkward(docs, empty, tagger):
     out = pii.report(docs)
     assert out.count() == docs.count() and pii.report(empty).count() == 0
