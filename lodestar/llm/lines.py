@@ -13,7 +13,7 @@ was, the two lines share that block (pigeonhole). Two lines that share a block o
 their lengths allow for them to be similar and, of SKETCH bits of each block, they differ in FAR at most. SimHashes are of a
 tier of lengths; a line just below a tier has those of both, so that no pair is parted by its lengths. Which grams
 share a block is chance: the README gives the recall. Where more than CROWD lines share a block, all are taken as
-candidates. Connected candidates are a region for regions.links(), which confirms the links on the words.
+candidates. Blocks that only one line has are left out beforehand, by keys alone. Connected candidates are a region for regions.links(), which confirms the links on the words.
 
 Null text stays null, with no lines; an empty text has one line, a blank one. Null doc_ids are an id of
 their own, before all others. Rows with equal doc_id and text are one document and get the same result. Very long texts
@@ -64,6 +64,8 @@ _FOLD = LOWER.copy()
 _FOLD[48:58] = 48
 _FOLD_BYTES, _LOWER_BYTES = _FOLD.tobytes(), LOWER.tobytes()
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Bytes of the key of a block and of the id of a line's SimHash, to find blocks that several lines have; parts of a partition they are dealt to.
+KEY, PID, PARTS = 6, 5, 8
 #: Characters of a line that its key tells apart.
 _LENGTHS = 14
 
@@ -99,14 +101,25 @@ def _joined(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
-def _gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
-    """A 32-bit hash of each q bytes, equal for equal ones: sums of powers, and the powers taken back."""
-    out = np.empty(max(0, len(data) - q + 1), np.uint32)
-    for lo in range(0, len(out), _STEP - q):
+_WIDEST = max(q for _, q, _ in _TIERS.tolist())
+
+
+def _gram_sums(data: np.ndarray) -> list[np.ndarray]:
+    """What _gram_hashes() is taken from, whatever the size of a gram: for each stretch the sums of powers up to each byte."""
+    out = []
+    for lo in range(0, len(data), _STEP - _WIDEST):
         part = data[lo : lo + _STEP - 1]
         total = np.zeros(len(part) + 1, np.uint32)
         np.cumsum((part + np.uint32(1)) * _UP[: len(part)], out=total[1:])
-        n = min(_STEP - q, len(out) - lo)
+        out.append(total)
+    return out
+
+
+def _gram_hashes(data: np.ndarray, q: int, sums: list[np.ndarray] | None = None) -> np.ndarray:
+    """A 32-bit hash of each q bytes, equal for equal ones: sums of powers, and the powers taken back. sums: _gram_sums(data), if known."""
+    out = np.empty(max(0, len(data) - q + 1), np.uint32)
+    for lo, total in zip(range(0, len(out), _STEP - _WIDEST), _gram_sums(data) if sums is None else sums):
+        n = min(_STEP - _WIDEST, len(out) - lo)
         out[lo : lo + n] = (total[q : q + n] - total[:n]) * _DOWN[:n]
     return out
 
@@ -131,6 +144,7 @@ def simhashes(data: np.ndarray, at: np.ndarray, length: np.ndarray, asked: np.nd
     lines, tiers, blocks, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, BLOCKS, BITS // 8), np.uint8)], [np.zeros((0, BLOCKS), np.uint8)]
     own = np.searchsorted(_TIERS[:, 0], length, "right") - 1
     above = np.searchsorted(_TIERS[:, 0] * SIMILARITY - 1e-9, length, "right") - 1
+    sums = _gram_sums(data)
     for q in sorted(set(_TIERS[:, 1].tolist())):
         grams = None
         for tier in (own, above):
@@ -138,7 +152,7 @@ def simhashes(data: np.ndarray, at: np.ndarray, length: np.ndarray, asked: np.nd
             if not len(rows):
                 continue
             if grams is None:
-                grams = _gram_hashes(data, q)
+                grams = _gram_hashes(data, q, sums)
             size = at[rows + 1] - at[rows] - q + 1
             first = np.cumsum(size) - size
             end = at[rows] - first
@@ -232,20 +246,93 @@ def _sketches(blocks: np.ndarray) -> np.ndarray:
     return out
 
 
+def _block_keys(prints: np.ndarray, row: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The key of blocks of rows of prints: the tier, the block's number, and the block, in 41 bits."""
+    key = prints[row, 0].astype(np.uint64) * np.uint64(BLOCKS) + number.astype(np.uint64)
+    for k in range(BITS // 8):
+        key = key << np.uint64(8) | prints[row, 3 + number * (BITS // 8) + k].astype(np.uint64)
+    return key
+
+
+def _blocks_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The prints of a column, a row each, and which of their blocks are to be joined by."""
+    prints = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _PRINT)
+    return prints, np.unpackbits(prints[:, 1:3], axis=1)[:, :BLOCKS]
+
+
+def _packed(parts: int):
+    """For rows (pid, print): rows (part, keys) of the blocks to be joined by, those of a part in one row: KEY bytes of each key and PID of
+    its pid, which take a third of a row of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def packed() -> pa.RecordBatch:
+            pid = np.concatenate([b.column(0).to_numpy() for b in held])
+            prints, joined = _blocks_of(pa.chunked_array([b.column(1) for b in held]))
+            row, number = np.nonzero(joined)
+            key = _block_keys(prints, row, number)
+            part = (mix(key) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            names, first = np.unique(part[order], return_index=True)
+            data = np.concatenate([key[order].view(np.uint8).reshape(-1, 8)[:, :KEY], pid[row[order]].view(np.uint8).reshape(-1, 8)[:, :PID]], axis=1)
+            offsets = np.append(first, len(order)).astype(np.int32) * (KEY + PID)
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(offsets), pa.py_buffer(data)])], ["part", "keys"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 1 << 15:
+                yield packed()
+                held = []
+        if held:
+            yield packed()
+
+    return run
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows of _packed() in the order of their parts: rows (pid, mask) of the keys that several pids have, a bit for the block's number."""
+    held: list[bytes] = []
+    at = None
+
+    def shared() -> pa.RecordBatch:
+        data = np.frombuffer(b"".join(held), np.uint8).reshape(-1, KEY + PID)
+        wide = np.zeros((2, len(data), 8), np.uint8)
+        wide[0, :, :KEY], wide[1, :, :PID] = data[:, :KEY], data[:, KEY:]
+        key, pid = wide.view(np.uint64)[:, :, 0]
+        order = np.argsort(key)
+        again = key[order[1:]] == key[order[:-1]]
+        some = order[np.append(again, False) | np.append(False, again)] if len(order) else order
+        some = some[np.lexsort((pid[some], key[some]))]
+        key, pid = key[some], pid[some]
+        fresh = np.append(True, (key[1:] != key[:-1]) | (pid[1:] != pid[:-1]))[: len(key)]  # a line that several tasks have
+        key, pid = key[fresh], pid[fresh]
+        again = key[1:] == key[:-1]
+        several = (np.append(again, False) | np.append(False, again))[: len(key)]
+        mask = np.int64(1) << ((key[several] >> np.uint64(BITS)) % np.uint64(BLOCKS)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pid[several].view(np.int64)), pa.array(mask)], ["pid", "mask"])
+
+    for batch in batches:
+        for part, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if part != at:
+                if held:
+                    yield shared()
+                held, at = [], part
+            held.append(keys)
+    if held:
+        yield shared()
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (id, length, print): a row for each block to be joined by: its key, which is the tier, the block's number, the
-    block and the length; the id, and SKETCH bits of each block in two numbers."""
+    """For rows (id, length, print, mask): a row for each block to be joined by that the mask has: its key, which is that of the block and
+    the length; the id, and SKETCH bits of each block in two numbers."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 8192):
             part = batch.slice(lo, 8192)
-            prints = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, _PRINT)
-            blocks = prints[:, 3:].reshape(len(prints), BLOCKS, BITS // 8).astype(np.uint64)
-            row, number = np.nonzero(np.unpackbits(prints[:, 1:3], axis=1)[:, :BLOCKS])
-            key = prints[row, 0].astype(np.uint64) * np.uint64(BLOCKS) + number.astype(np.uint64)
-            for k in range(BITS // 8):
-                key = key << np.uint64(8) | blocks[row, number, k]
-            key = key << np.uint64(_LENGTHS) | np.minimum(part.column(1).to_numpy()[row], (1 << _LENGTHS) - 1).astype(np.uint64)
-            sketch = _sketches(blocks)
+            prints, joined = _blocks_of(part.column(2))
+            row, number = np.nonzero(joined & (part.column(3).to_numpy()[:, None] >> np.arange(BLOCKS) & 1).astype(np.uint8))
+            key = _block_keys(prints, row, number) << np.uint64(_LENGTHS) | np.minimum(part.column(1).to_numpy()[row], (1 << _LENGTHS) - 1).astype(np.uint64)
+            sketch = _sketches(prints[:, 3:].reshape(len(prints), BLOCKS, BITS // 8))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(sketch[row, 0].view(np.int64)), pa.array(sketch[row, 1].view(np.int64))], ["key", "id", "s1", "s2"])
 
 
@@ -536,6 +623,33 @@ def _alike(length: np.ndarray, tiers: np.ndarray, sketches: np.ndarray, active:
             yield i[keep], j[keep]
 
 
+def _bunched(items: list[Line], group: np.ndarray) -> Pairs:
+    """_linked() for the lines of many small groups: the candidates in all of them, which are compared together."""
+    length = np.array([len(line.words) for line in items])
+    tiers, sketches = np.array([line.tiers for line in items]), np.stack([line.sketches for line in items])
+
+    def near(active: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        found = []
+        for step in range(1, int(np.bincount(group).max())):
+            i = np.flatnonzero(group[step:] == group[:-step])
+            j = i + step
+            i = i[keep := (active[i] | active[j]) & (np.abs(length[i] - length[j]) <= _most(np.maximum(length[i], length[j])))]
+            j = j[keep]
+            least = np.full(len(i), FAR + 1)  # of any tiers they have in common
+            for k in (0, 1):
+                for n in (0, 1):
+                    differ = np.bitwise_count(sketches[i, k] ^ sketches[j, n]).sum(axis=1, dtype=np.int64)
+                    least = np.where((tiers[i, k] >= 0) & (tiers[i, k] == tiers[j, n]), np.minimum(least, differ), least)
+            i, j, least = i[close := least <= FAR], j[close], least[close]
+            found.append((np.where(active[i], i, j), np.where(active[i], j, i), least))
+        if found:
+            i, j, least = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(least, kind="stable")
+            yield i[order], j[order]
+
+    return Pairs(near, lambda i, j: _links(items, length, i, j))
+
+
 def _links(items: list[Line], length: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Pairs.test() for lines: those of about one length are compared together."""
     out = np.zeros(len(i), bool)
@@ -569,7 +683,14 @@ def _removals(docs: DataFrame, chunk: int) -> DataFrame:
     place = F.struct("doc_id", "text_hash", "line")
     classes = stored(seen.groupBy("k1", "k2").agg(F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("many"), F.max("size").alias("weight")), "classes")
 
-    keyed = seen.select(F.col("k1").alias("id"), "length", F.explode("prints").alias("print")).mapInArrow(tidy(_keyed), "key long, id long, s1 long, s2 long")
+    # most blocks are of one line only: those that several have are found by keys alone, and only they go on with SimHashes
+    prints = seen.select(F.col("k1").alias("id"), "length", F.explode("prints").alias("print"))
+    prints = prints.withColumn("pid", F.xxhash64("id", F.substring("print", 1, 1)).bitwiseAND((1 << 8 * PID) - 1))
+    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = prints.select("pid", "print").mapInArrow(tidy(_packed(parts)), "part int, keys binary").repartition("part").sortWithinPartitions("part")
+    live = packed.mapInArrow(tidy(_common), "pid long, mask long").groupBy("pid").agg(F.bit_or("mask").alias("mask"))
+    live = _small(stored(live, "live"), 16)
+    keyed = prints.join(live, "pid").select("id", "length", "print", "mask").mapInArrow(tidy(_keyed), "key long, id long, s1 long, s2 long")
     keyed = keyed.repartition(F.shiftright("key", _LENGTHS)).sortWithinPartitions("key", "id")
     met = stored(keyed.mapInArrow(tidy(_near_shared), "a long, b long, block long"), "met")
     found = components(met.where("block is null").select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("region"))
@@ -581,14 +702,14 @@ def _removals(docs: DataFrame, chunk: int) -> DataFrame:
         need = deal.join(members.select("id", "first.*").dropDuplicates(["id"]), "id")
         few = deal.count() * 128 <= _shared.BROADCAST_BYTES
         on = [docs["doc_id"].eqNullSafe(need["doc_id"]), docs["text_hash"] == need["text_hash"]]
-        return docs.join(F.broadcast(need) if few else need, on).select(*[need[c] for c in deal.columns], F.get(F.split("text", "\n"), F.col("line")).alias("payload"))
+        return docs.join(F.broadcast(need) if few else need, on).select(*[need[c] for c in deal.columns], F.expr(r"substring_index(substring_index(text, '\n', line + 1), '\n', -1)").alias("payload"))
 
     def regroup(ids: DataFrame) -> DataFrame:
         """Lines that share a block: candidates do, and regions of candidates grow together as lines become many."""
         some = met.where("block is not null").select(F.col("a").alias("id"), F.col("block").alias("group"))
         return some.join(_small(ids, 16), "id", "left_semi")
 
-    edges = links(members.select("region", "id", "weight"), attach, _load, _linked, chunk, regroup)
+    edges = links(members.select("region", "id", "weight"), attach, _load, _linked, chunk, regroup, _bunched)
     groups = components(edges).select(F.col("node").alias("k1"), F.col("component").alias("group"))
     groups = stored(groups.unionByName(groups.select(F.col("group").alias("k1"), "group").distinct()), "groups")
     fuzzy = classes.join(_small(groups, 32), "k1").select("k1", "k2", "first", "group")

@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ PIVOTS = 4
 #: Candidates that are held at a time; how many times the weight of a chunk a task may hold of a part of a region, since
 #: rows are repeated with the square of the chunks.
 HELD, WIDE = 200_000, 4
+#: Members below which a group is small, and characters or bytes of payloads of small groups that are compared together.
+SMALL, BUNCH = 64, 1 << 20
 _EDGES = "a long, b long"
 
 
@@ -41,6 +44,8 @@ class Pairs(NamedTuple):
 #: What a batch of payloads becomes, an object a row; for the objects of a group, the link test of one with others, or Pairs.
 Load = Callable[[pa.Array], list]
 Linked = Callable[[list], Callable[[int, np.ndarray], np.ndarray] | Pairs]
+#: For the objects of many small groups, and the number of the group of each, in order: their Pairs, none of different groups.
+Bunched = Callable[[list, np.ndarray], Pairs]
 #: For a frame with the column id: id and group (long), a row for each group that a node is in.
 Regroup = Callable[[DataFrame], DataFrame]
 
@@ -103,20 +108,42 @@ def _pair_joins(pairs: Pairs, active: np.ndarray, label: np.ndarray) -> Iterator
         yield from joined(held)
 
 
-def _compare(load: Load, linked: Linked) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For rows (region, chunk, block, active, known, id, payload) in the order of the first three."""
+def _compare(load: Load, linked: Linked, bunched: Bunched | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows (region, chunk, block, active, known, id, payload) in the order of the first three. bunched: small groups are compared
+    many at a time; a label that several of them have is of one component, so that what joins it in one does in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[int, bool, int, object]] = []
         at = None
         out: list[tuple[int, int]] = []
+        bunch: list[tuple[int, bool, int, object]] = []
+        sizes: list[int] = []
+        held = weight = 0
 
         def close() -> None:
-            if len(group) > 1:
+            nonlocal held, weight
+            if bunched is not None and 1 < len(group) < SMALL:
+                bunch.extend(group)
+                sizes.append(len(group))
+                held += weight
+                if held > BUNCH:
+                    together()
+            elif len(group) > 1:
                 ids, active, known, items = zip(*group)
                 for i, j in _joins(list(items), np.array(active), np.array(known), linked):
                     out.append((ids[i], ids[j]))
             group.clear()
+            weight = 0
+
+        def together() -> None:
+            nonlocal held
+            if bunch:
+                ids, active, known, items = zip(*bunch)
+                pairs = bunched(list(items), np.repeat(np.arange(len(sizes)), sizes))
+                for i, j in _pair_joins(pairs, np.array(active), np.array(known)):
+                    out.append((ids[i], ids[j]))
+            bunch.clear(), sizes.clear()
+            held = 0
 
         def edges() -> pa.RecordBatch:
             a, b = zip(*out) if out else ((), ())
@@ -127,47 +154,50 @@ def _compare(load: Load, linked: Linked) -> Callable[[Iterator[pa.RecordBatch]],
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 keys = list(zip(*(part.column(k).to_pylist() for k in range(3))))
-                rows = zip(part.column(5).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), load(part.column(6)))
-                for key, (node, active, known, item) in zip(keys, rows):
+                size = pc.binary_length(part.column(6)).to_pylist() if bunched is not None else [0] * len(keys)
+                rows = zip(part.column(5).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), load(part.column(6)), size)
+                for key, (node, active, known, item, n) in zip(keys, rows):
                     if key != at:
                         close()
                         at = key
                     group.append((node, active, known, item))
+                    weight += n + 256
             if len(out) > 10_000:
                 yield edges()
         close()
+        together()
         yield edges()
 
     return run
 
 
-def _run(deal: DataFrame, attach: Callable[[DataFrame], DataFrame], load: Load, linked: Linked) -> DataFrame:
+def _run(deal: DataFrame, attach: Callable[[DataFrame], DataFrame], load: Load, linked: Linked, bunched: Bunched | None) -> DataFrame:
     rows = attach(deal).select("region", "chunk", "block", "active", "known", "id", "payload")
     keys = ["region", "chunk", "block"]
-    return stored(rows.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(tidy(_compare(load, linked)), _EDGES), "links")
+    return stored(rows.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(tidy(_compare(load, linked, bunched)), _EDGES), "links")
 
 
-def links(members: DataFrame, attach: Callable[[DataFrame], DataFrame], load: Load, linked: Linked, chunk: int, regroup: Regroup | None = None) -> DataFrame:
+def links(members: DataFrame, attach: Callable[[DataFrame], DataFrame], load: Load, linked: Linked, chunk: int, regroup: Regroup | None = None, bunched: Bunched | None = None) -> DataFrame:
     """Edges a, b that connect what the links connect.
 
     members: region, id, weight (long), none of them null; stored, and so may be empty. attach adds the column payload
     to a frame with the column id. chunk: the weight that a task may hold of a region; one node may weigh more.
     """
     with scratch():
-        return _links(members, attach, load, linked, chunk, regroup)
+        return _links(members, attach, load, linked, chunk, regroup, bunched)
 
 
-def _links(members: DataFrame, attach: Callable[[DataFrame], DataFrame], load: Load, linked: Linked, chunk: int, regroup: Regroup | None) -> DataFrame:
+def _links(members: DataFrame, attach: Callable[[DataFrame], DataFrame], load: Load, linked: Linked, chunk: int, regroup: Regroup | None, bunched: Bunched | None) -> DataFrame:
     large = stored(members.groupBy("region").agg(F.sum("weight").alias("_w")).where(F.col("_w") > chunk).select("region", F.ceil(F.col("_w") / chunk).alias("chunks")), "large")
     deal = members.join(large, "region", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     deal = deal.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")).withColumn("block", F.lit(0).cast("long")).withColumn("active", F.lit(True)).withColumn("known", F.col("id"))
     if large.isEmpty():
-        return kept(_run(deal, attach, load, linked))
+        return kept(_run(deal, attach, load, linked, bunched))
     deal = stored(deal, "deal")
     nth = Window.partitionBy("region").orderBy("id")
     pivots = deal.where("chunks > 1").withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= PIVOTS).drop("_n")
     pivots = pivots.withColumn("_to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("_to <> chunk").withColumn("chunk", F.col("_to")).drop("_to")
-    first = kept(_run(deal.unionByName(pivots), attach, load, linked))
+    first = kept(_run(deal.unionByName(pivots), attach, load, linked, bunched))
 
     joined = components(first)
     nodes = deal.where("chunks > 1").drop("known").join(joined.select(F.col("node").alias("id"), F.col("component").alias("known")), "id", "left").withColumn("known", F.coalesce("known", "id"))
@@ -188,4 +218,4 @@ def _links(members: DataFrame, attach: Callable[[DataFrame], DataFrame], load: L
     asked = nodes.where("active").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), "blocks")).withColumn("chunk", each("chunks"))
     held = nodes.where("not active or chunks > 1").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")).withColumn("block", each("blocks")).withColumn("active", F.lit(False))
     columns = ["region", "chunk", "block", "active", "known", "id"]
-    return first.unionByName(kept(_run(asked.select(columns).unionByName(held.select(columns)), attach, load, linked)))
+    return first.unionByName(kept(_run(asked.select(columns).unionByName(held.select(columns)), attach, load, linked, bunched)))

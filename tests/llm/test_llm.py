@@ -1066,3 +1066,57 @@ def test_pipeline_awkward(spark, docs, empty, tmp_path):
         spark.createDataFrame([(1, None), (2, "one two")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
         rows = corpus_pipeline.run(spark, folder).collect()
         assert bool(rows) == (name == "some")
+
+
+def test_blocks_that_several_lines_have_are_found_by_packed_keys():
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(200)]
+    texts = [" ".join(words[k] for k in rng.integers(0, 200, 12)) for _ in range(60)]
+    texts += [t[:20] + "q" + t[21:] for t in texts[:30]] + texts[:5]  # near copies, and lines that another task has as well
+    batch = pa.record_batch({"doc_id": np.arange(95), "h": np.arange(95), "text": texts})
+    rows = [(row["k1"] & 0xFFFFFFFFFF, p) for part in (batch.slice(0, 60), batch.slice(60)) for found in lines._occurrences(iter([part])) for row in found.to_pylist() for p in row["prints"]]
+    blocks: dict[tuple, set] = {}
+    for pid, p in rows:
+        for n in range(lines.BLOCKS):
+            if p[1 + n // 8] >> 7 - n % 8 & 1:
+                blocks.setdefault((p[0], n, p[3 + 4 * n : 7 + 4 * n]), set()).add(pid)
+    want: dict[int, set] = {}
+    for (_, n, _), pids in blocks.items():
+        for pid in pids if len(pids) > 1 else ():
+            want.setdefault(pid, set()).add(n)
+    table = pa.record_batch({"pid": pa.array([pid for pid, _ in rows], pa.int64()), "print": pa.array([p for _, p in rows], pa.binary())})
+    packed = [row for found in lines._packed(7)(iter([table.slice(0, 50), table.slice(50)])) for row in found.to_pylist()]
+    assert 0 < sum(len(row["keys"]) for row in packed) <= 11 * len(rows) * lines.BLOCKS
+    packed = pa.record_batch(pa.Table.from_pylist(sorted(packed, key=lambda r: r["part"])).to_pydict())
+    got: dict[int, set] = {}
+    for found in lines._common(iter([packed])):
+        for row in found.to_pylist():
+            got.setdefault(row["pid"], set()).add(row["mask"].bit_length() - 1)
+    assert want and got == want
+
+
+def test_lines_of_small_groups_are_compared_together(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = []
+    for region in range(40):
+        base = "".join(chr(97 + c) if c < 26 else " " for c in rng.integers(0, 30, 200))
+        for _ in range(int(rng.integers(2, 12))):
+            text = list(base)
+            for k in rng.integers(0, 200, int(rng.integers(0, 16))):
+                text[k] = "z"
+            rows.append((region, "".join(text)))
+    column = lambda x, kind: pa.array(x, kind)
+    zero, ids = [0] * len(rows), list(range(len(rows)))
+    batch = pa.RecordBatch.from_arrays([column([r for r, _ in rows], pa.int64()), column(zero, pa.int64()), column(zero, pa.int64()), pa.array([k % 4 > 0 for k in ids]), column(ids, pa.int64()), column(ids, pa.int64()), pa.array([t for _, t in rows])], ["region", "chunk", "block", "active", "known", "id", "payload"])
+
+    def components(bunched):
+        label = list(ids)
+        for out in regions._compare(lines._load, lines._linked, bunched)(iter([batch])):
+            for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+                label = [label[a] if x == label[b] else x for x in label]
+        return [label.index(x) for x in label]
+
+    plain = components(None)
+    calls, together = [], lines._bunched
+    assert components(lambda items, group: calls.append(len(items)) or together(items, group)) == plain
+    assert calls == [len(rows)] and len(set(plain)) > 40 and len(set(plain)) < len(rows)
