@@ -79,33 +79,42 @@ class Tagger:
         total = np.zeros((labels, length * n), np.float32)
         states = np.empty((length, n, hidden), np.float32)
         gates, drawn, part = np.empty((4, n, hidden), np.float32), np.empty((4, n, hidden), np.float32), np.empty((n, hidden), np.float32)
-        i, f, o, g = gates
         by_step = np.ascontiguousarray(x.T)
         there = by_step != 0
-        padded = ~there.all(axis=1)
+        # windows as long as the longest come first: in a step only those are taken that still go on, all up to the last of them
+        reach = n - np.argmax(there[:, ::-1], axis=1)
+        reach[~there.any(axis=1)] = 0
+        padded = there.sum(axis=1) < reach
         for d in (0, 1):
             own, back = by_gate(table[d]), by_gate(inner[d])
             h, c = np.zeros((n, hidden), np.float32), np.zeros((n, hidden), np.float32)
             for t in range(length) if d == 0 else range(length - 1, -1, -1):
-                np.matmul(h, back, out=gates)
-                own.take(by_step[t], axis=1, out=drawn, mode="clip")
-                gates += drawn
-                np.exp(gates, out=gates)
-                gates += 1
-                np.reciprocal(gates, out=gates)
-                np.subtract(0.5, g, out=part)
-                part *= i
-                c *= f
-                c += part
+                m = int(reach[t])
+                states[t, m:] = 0
+                if not m:
+                    h = states[t]
+                    continue
+                gate, taken = (w.reshape(-1)[: 4 * m * hidden].reshape(4, m, hidden) for w in (gates, drawn))
+                (i, f, o, g), cell, rest = gate, c[:m], part[:m]
+                np.matmul(h[:m], back, out=gate)
+                own.take(by_step[t, :m], axis=1, out=taken, mode="clip")
+                gate += taken
+                np.exp(gate, out=gate)
+                gate += 1
+                np.reciprocal(gate, out=gate)
+                np.subtract(0.5, g, out=rest)
+                rest *= i
+                cell *= f
+                cell += rest
                 h = states[t]
                 if padded[t]:
-                    c *= there[t][:, None]
-                np.multiply(c, 4, out=part)
-                np.exp(part, out=part)
-                part += 1
-                np.reciprocal(part, out=part)
-                part -= 0.5
-                np.multiply(o, part, out=h)
+                    cell *= there[t, :m, None]
+                np.multiply(cell, 4, out=rest)
+                np.exp(rest, out=rest)
+                rest += 1
+                np.reciprocal(rest, out=rest)
+                rest -= 0.5
+                np.multiply(o, rest, out=h[:m])
             total += out[d * hidden : (d + 1) * hidden].T.astype(np.float32) @ states.reshape(-1, hidden).T
         total = total.reshape(labels, length, n)
         total += self.w["out_bias"].astype(np.float32)[:, None, None]

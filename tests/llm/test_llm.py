@@ -1120,3 +1120,20 @@ def test_lines_of_small_groups_are_compared_together(monkeypatch):
     calls, together = [], lines._bunched
     assert components(lambda items, group: calls.append(len(items)) or together(items, group)) == plain
     assert calls == [len(rows)] and len(set(plain)) > 40 and len(set(plain)) < len(rows)
+
+
+def test_the_tagger_takes_no_steps_over_padding(monkeypatch):
+    from lodestar.llm import bilstm_crf
+
+    tagger = bilstm_crf.Tagger.fresh(99, 5, 4, 1)
+    rng = np.random.default_rng(2)
+    x = rng.integers(1, 98, (50, 200))
+    x[1:, 20:] = 0
+    x[7, 5:] = 0
+    taken, plain = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda a, **k: taken.append(np.size(a)) or plain(a, **k))
+    got = tagger.emissions(x)
+    assert sum(taken) <= 2 * 5 * 4 * (200 + 49 * 20)  # both directions, four gates and a cell, four units
+    for k, n in ((0, 200), (1, 20), (7, 5)):
+        alone = tagger.emissions(x[k : k + 1, :n])
+        assert np.allclose(got[:, :n, k], alone[:, :, 0], atol=1e-5) and (got[1:, n:, k] == -1e4).all() and (got[0, n:, k] == 0).all()
