@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import overlap, planner_tokens, tokens
-from lodestar.operators import keyword
+from lodestar.operators import bulk, keyword
 
 from .planner import keywords
 
@@ -46,14 +46,12 @@ def _normalised(scores: DataFrame, k: int) -> DataFrame:
 def prior_art(docs: DataFrame, targets: DataFrame, excluded: DataFrame, k: int = 25) -> DataFrame:
     """The k best documents before each target's date, scored from 0 to 1, for targets (query_id, doc_key, title,
     specification, effective) in one job. A target without a date has no limit."""
-    index = keyword.build(docs)
-    words = keywords(targets, "query_id", F.col("title"), F.col("specification"))
-    asked = words.select("query_id", F.col("keyword").alias("term"))  # a keyword is one token
-    need = words.groupBy("query_id").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 3)).alias("_need"))
-    scores = keyword.scored(index, asked, held=True).where("score > 0").join(need, "query_id").where("_held >= _need").select("query_id", "doc_id", "score")
-    scores = scores.join(docs.select("doc_id", "doc_key", F.col("effective").alias("_date")), "doc_id").join(targets.select("query_id", F.col("effective").alias("_before")), "query_id")
-    scores = scores.where(F.col("_before").isNull() | (F.col("_date") < F.col("_before")))
-    scores = scores.join(excluded.select("query_id", "doc_key").distinct(), ["query_id", "doc_key"], "left_anti")
+    words = keywords(targets, "query_id", F.col("title"), F.col("specification"))  # a keyword is one token
+    asked = words.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "keyword"))), lambda x: x["keyword"]).alias("terms"))
+    left_out = excluded.groupBy("query_id").agg(F.collect_set("doc_key").alias("excluded"))
+    asked = asked.join(targets.select("query_id", F.col("effective").alias("before")), "query_id").join(left_out, "query_id", "left")
+    asked = asked.withColumn("need", F.greatest(F.lit(1), F.floor(F.size("terms") / 3)))
+    scores = bulk.best(docs, asked, k)
     return _normalised(scores, k)
 
 

@@ -337,3 +337,33 @@ def test_few_queries_are_broadcast_to_the_postings(spark):
         assert {(r.query_id, r.doc_id): r._held for r in scores.collect()} == {(7, 1): 2, (7, 2): 1, (7, 3): 2, (8, 2): 1, (8, 3): 1}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_prior_art_hands_on_only_the_best_of_each_task(spark, monkeypatch):
+    """A row for each pair of target and document went through the shuffle, which grows with the square of the documents."""
+    day = lambda i: None if i % 17 == 0 else dt.date(2000, 1, 1) + dt.timedelta(days=i * 37 % 300)
+    words = ["gear", "lever", "shaft", "valve", "pump", "rotor"]
+    text = lambda i: " ".join(words[(i + j) % 6] for j in range(i % 5 + 1)) + (" Gear" * (i % 3))
+    rows = [(i, None if i % 50 == 3 else f"US{i // 2}", text(i) + "\n" + text(i * 7), None if i % 40 == 1 else text(i // 3) * (1 + i % 4), day(i)) for i in range(400)] + [(None, "US9", "gear", "gear lever", None)]
+    kind = "doc_id long, doc_key string, title string, specification string, effective date"
+    docs = spark.createDataFrame(rows, kind).repartition(3).persist()
+    targets = docs.where("doc_id % 20 = 0 or doc_id in (17, 34)").withColumn("query_id", F.col("doc_id").cast("string"))
+    left_out = searches.exclusions(targets, custom=["US3", "US4", "US3"]).unionByName(spark.createDataFrame([("40", None, "x"), ("60", "US7", "x")], "query_id string, doc_key string, reason string"))
+    handed = []
+    ranked = searches.keyword.ranked
+    monkeypatch.setattr(searches.keyword, "ranked", lambda scores, *a: (handed.append(scores), ranked(scores, *a))[1])
+    got = {(r.query_id, r.rank): (r.doc_id, r.score) for r in searches.prior_art(docs, targets, left_out, 5).collect()}
+    asked = planner.keywords(targets, "query_id", F.col("title"), F.col("specification")).select("query_id", F.col("keyword").alias("term"))
+    n = asked.select("query_id").distinct().count()
+    assert handed[0].count() <= 3 * 5 * n
+    keep = {(r.query_id, r.doc_key) for r in left_out.collect()}
+    need = {r.query_id: max(1, r["count"] // 3) for r in asked.groupBy("query_id").count().collect()}
+    limit, known = {r.query_id: r.effective for r in targets.collect()}, {r[0]: r for r in rows}
+    pairs = [r for r in keyword.scored(keyword.build(docs), asked, held=True).collect() if r.score > 0 and r._held >= need[r.query_id]]
+    pairs = [r for r in pairs if (known[r.doc_id][1] is None or (r.query_id, known[r.doc_id][1]) not in keep) and (limit[r.query_id] is None or known[r.doc_id][4] is not None and known[r.doc_id][4] < limit[r.query_id])]
+    want = {}
+    for q in need:
+        best = sorted(((-r.score, r.doc_id) for r in pairs if r.query_id == q))[:5]
+        want |= {(q, i): (doc, round(score / best[0][0], 4)) for i, (score, doc) in enumerate(best, 1)}
+    assert len(pairs) > 3 * 5 * n and got == want
+    assert searches.prior_art(docs, targets.limit(0), left_out, 5).count() == 0
